@@ -1,14 +1,14 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
-A tree is a sorted array of long hash strings (64 bits, one random direction each, drawn for each tree from the leading
-principal directions of a bounded sample and cut where the sample is thinnest near its middle). A query descends in
-every tree to its longest-prefix match; then all trees ascend together, one bit at a time, and everything that shares
-the shorter prefix becomes a candidate, until enough candidates are together. Candidates are compared exactly.
+A tree is a sorted array of long hash strings (24 bits; a character is a cross-polytope hash, the nearest signed axis
+after a random rotation about the mean of a bounded sample). A query descends in every tree to its longest-prefix match;
+then all trees ascend together, one character at a time, and everything that shares the shorter prefix becomes a
+candidate, until enough candidates are together. Candidates are compared exactly.
 
 Every valid vector is indexed. The index is cut by hash of vec_id into shards of about `shard` vectors, each with a
-forest of its own; queries, in blocks of `block`, visit every shard, and the best of all shards are merged. The share of
-a shard that becomes candidates is `share` (a parameter; vectors whose neighbours are hardly nearer than their cluster
-need a large one). Equal vectors are one entry of a tree with their smallest ids, so copies cost nothing.
+forest of its own; queries, in blocks of `block`, visit every shard, and the best of all shards are merged. A query
+ascends until `least` candidates of a shard are together; what recall that gives depends on the vectors (here they are
+spread almost evenly over a sphere, so the trees are many), and a shard of few vectors is compared whole. Equal vectors are one entry of a tree with their smallest ids, so copies cost nothing.
 
 Cases: vectors null, zero or with null or non-finite components take no part; vectors of another length than the query's
 are no candidates; ties go to the smaller vec_id; fewer candidates than k give fewer rows; equal ids are equal rows and
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BITS = 64
+LENGTH = 3
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
@@ -35,34 +35,28 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
 
 
 class Forest:
-    """The directions and cuts of every tree, for one vector length, learned from a sample."""
-
-    def __init__(self, sample: np.ndarray, trees: int = 6, seed: int = 9, tries: int = 48):
-        rng, (n, dim) = np.random.default_rng(seed), sample.shape
-        mean = sample.mean(0)
-        _, spread, axes = np.linalg.svd(sample - mean, full_matrices=False)
-        lead = axes[: max(1, min(16, int((spread > 1e-9).sum())))]
-        self.directions, self.cuts = np.zeros((trees, BITS, dim)), np.zeros((trees, BITS))
-        for t in range(trees):
-            for b in range(BITS):
-                options = rng.standard_normal((tries if b < 12 else 1, len(lead))) @ lead
-                options /= np.maximum(np.linalg.norm(options, axis=1, keepdims=True), 1e-12)
-                at = np.sort((sample - mean) @ options.T, axis=0)
-                # the widest gap between quantiles near the middle, against the spread
-                q = at[np.linspace(0.3 * (n - 1), 0.7 * (n - 1), 21).astype(int)]
-                gap = (q[2:] - q[:-2]) / np.maximum(at.std(0), 1e-12)
-                best = int(np.argmax(gap.max(0)))
-                k = int(np.argmax(gap[:, best]))
-                self.directions[t, b] = options[best]
-                self.cuts[t, b] = (q[k, best] + q[k + 2, best]) / 2 + mean @ options[best]
-
-    def strings(self, x: np.ndarray) -> np.ndarray:
-        """Hash strings of the vectors, as unsigned numbers whose first bit is the highest: one row a tree."""
-        weight = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
-        return np.stack([((x @ d.T > c).astype(np.uint64) * weight).sum(1, dtype=np.uint64) for d, c in zip(self.directions, self.cuts)])
+    """Centre and rotations of every tree, for one vector length. A character of a hash string is the axis that a randomly
+    rotated vector lies nearest to, with its sign (cross-polytope hashing); a string has LENGTH characters of 8 bits."""
 
+    def __init__(self, sample: np.ndarray, trees: int = 56, seed: int = 9):
+        rng, dim = np.random.default_rng(seed), sample.shape[1]
+        self.centre = sample.mean(0)
+        turn = lambda: np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :64]
+        self.rotations = np.stack([np.stack([turn() for _ in range(LENGTH)]) for _ in range(trees)]).astype(np.float32)
 
-def forest_search(forest: Forest, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, share: float, least: int) -> list[tuple[int, int, float]]:
+    def strings(self, x: np.ndarray) -> np.ndarray:
+        """Hash strings of the vectors as numbers whose first character is the highest: one row a tree."""
+        x, out = (x - self.centre).astype(np.float32), np.zeros((len(self.rotations), len(x)), np.uint32)
+        rows = np.arange(len(x))
+        for t, tree in enumerate(self.rotations):
+            for turn in tree:
+                y = x @ turn
+                axis = np.abs(y).argmax(1)
+                out[t] = out[t] << np.uint32(8) | (axis * 2 + (y[rows, axis] > 0)).astype(np.uint32)
+        return out
+
+
+def forest_search(forest: Forest, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, least: int) -> list[tuple[int, int, float]]:
     """(query, vec_id, distance) of up to k nearest found candidates for each query."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], np.ascontiguousarray(x[order])
@@ -73,9 +67,9 @@ def forest_search(forest: Forest, ids: np.ndarray, x: np.ndarray, q_ids: np.ndar
     keys = forest.strings(points)
     sorted_at = np.argsort(keys, axis=1, kind="stable")
     arrays = np.take_along_axis(keys, sorted_at, 1)
-    enough, out = max(least, int(share * len(points))), []
+    out = []
     for q_id, v, own in zip(q_ids, q, forest.strings(q).T):
-        candidates = _ascend(arrays, sorted_at, own, enough)
+        candidates = _ascend(arrays, sorted_at, own, least)
         d = np.sqrt(((points[candidates] - v) ** 2).sum(1))
         if len(d) > k + 1:
             near = np.partition(d, k)[k]  # the query itself may be among them
@@ -90,31 +84,20 @@ def forest_search(forest: Forest, ids: np.ndarray, x: np.ndarray, q_ids: np.ndar
 
 
 def _ascend(arrays: np.ndarray, sorted_at: np.ndarray, own: np.ndarray, enough: int) -> np.ndarray:
-    """Entries sharing the longest prefixes with the query's strings: the trees ascend together until enough are found."""
-    lo, hi = 0, BITS  # the longest prefix length at which enough entries match, by bisection: matches only grow upwards
-    best = None
-    while lo <= hi:
-        mid = (lo + hi) // 2
-        found = _matching(arrays, sorted_at, own, mid)
+    """Entries sharing the longest prefixes with the query's strings: from whole strings, all trees ascend together by one
+    character until enough are found; the empty prefix is shared by all."""
+    for length in range(LENGTH, 0, -1):
+        rest = np.uint32((1 << 8 * (LENGTH - length)) - 1)
+        parts = []
+        for a, at, s in zip(arrays, sorted_at, own):
+            parts.append(at[np.searchsorted(a, s & ~rest, "left") : np.searchsorted(a, s | rest, "right")])
+        found = np.unique(np.concatenate(parts))
         if len(found) >= enough:
-            best, lo = found, mid + 1
-        else:
-            hi = mid - 1
-    return best if best is not None else _matching(arrays, sorted_at, own, 0)
-
-
-def _matching(arrays: np.ndarray, sorted_at: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
-    if length == 0:
-        return np.arange(arrays.shape[1])
-    rest = np.uint64((1 << (BITS - length)) - 1)
-    parts = []
-    for a, at, s in zip(arrays, sorted_at, own):
-        low = s & ~rest
-        parts.append(at[np.searchsorted(a, low, "left") : np.searchsorted(a, low | rest, "right")])
-    return np.unique(np.concatenate(parts))
+            return found
+    return np.arange(arrays.shape[1])
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, trees: int = 6, share: float = 0.3, least: int = 400, shard: int = 20_000, block: int = 4096, sample: int = 4000) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, trees: int = 56, least: int = 500, shard: int = 20_000, block: int = 4096, sample: int = 4000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found rows for each query (frames of vec_id, embedding)."""
     spark = rows.sparkSession
     base, asked = valid_vectors(rows), valid_vectors(queries)
@@ -137,7 +120,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, trees: int = 6, sh
         if index.num_rows and query.num_rows:
             dim = index["dim"][0].as_py()
             unpack = lambda t: (np.asarray(t["vec_id"]), t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            found = forest_search(shared.value[dim], *unpack(index), *unpack(query), k, share, least)
+            found = forest_search(shared.value[dim], *unpack(index), *unpack(query), k, least)
         return pa.table([pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     found = left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, "query_id long, vec_id long, score double").distinct()
