@@ -65,7 +65,7 @@ def parse_table(symbols: list[int], n_symbols: int) -> np.ndarray:
     for c, to in nxt[0].items():
         start[c] = _PHRASE + to
     steps = np.tile(start, (len(nxt), 1))
-    for state, arcs in enumerate(nxt):
+    for state, arcs in enumerate(nxt[1:], 1):  # the start is left as it is: the first step from it begins a phrase
         for c, to in arcs.items():
             steps[state, c] = to
     return steps.ravel()
@@ -115,7 +115,7 @@ class Parser:
         grid = np.zeros((block, len(rows)), np.int32)
         for lane, k in enumerate(order):
             grid[: len(rows[k]), lane] = rows[k]
-        state, count = np.zeros((n_lang, len(rows)), np.int32), np.ones((n_lang, len(rows)), np.int32)
+        state, count = np.zeros((n_lang, len(rows)), np.int32), np.zeros((n_lang, len(rows)), np.int32)
         base = self.offsets[:, None]
         for t in range(int(lengths[0])):
             live = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
@@ -143,7 +143,7 @@ def learn(docs: DataFrame, rows: int = 48, chars: int = 40_000, total: int = 2_0
     ids = known.where("n > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).select("doc_id", "r").collect()
     rank = docs.sparkSession.createDataFrame([(r["doc_id"], r["r"]) for r in ids], "doc_id long, r int").dropDuplicates(["doc_id"])
     cut = F.substring("text", 1, chars)  # one text never fills more than the language's share
-    texts = docs.where("lang is not null").join(F.broadcast(rank), "doc_id").select("lang", "r", "doc_id", cut.alias("text")).collect()
+    texts = docs.where("lang is not null").join(F.broadcast(rank), "doc_id").select("lang", "r", "doc_id", cut.alias("text")).dropDuplicates(["lang", "doc_id"]).collect()
     by: dict[str, dict[str, None]] = {}
     for r in sorted(texts, key=lambda r: (r["r"], r["doc_id"], r["text"])):
         by.setdefault(r["lang"], {})[r["text"]] = None
