@@ -45,7 +45,7 @@ def score_mcq_text(pred: Column, gt: Column, options: Column) -> Column:
 
 def score_choices(pred: Column, gt: Column) -> Column:
     """Comma-separated sets of the same length with every answer in the truth."""
-    parts = lambda c: F.transform(F.split(c, ","), F.trim)
+    parts = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x))
     return flag((F.size(parts(pred)) == F.size(parts(gt))) & (F.size(F.array_except(parts(pred), parts(gt))) == 0))
 
 
