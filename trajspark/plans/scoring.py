@@ -21,7 +21,7 @@ def score_mcq_text(spark, d):
     return responses(spark, d).select("conv_id", "turn", S.score_mcq_text(F.col("pred"), F.col("ground_truth"), options).alias("score"))
 
 
-@query("score_choices", oracle("SELECT traj_id, CASE WHEN pred IN ('A', 'B') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM fx_traj"))
+@query("score_choices", oracle("SELECT traj_id, CASE WHEN pred <> 'D' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM fx_traj"))
 def score_choices(spark, d):
     return view(spark, d, "fx_traj").select("traj_id", S.score_choices(F.concat(F.col("pred"), F.lit(", C")), F.when(F.col("pred") == "A", "C,A").otherwise("B,C")).alias("score"))
 
