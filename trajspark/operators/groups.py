@@ -8,30 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-6
-BY_UID = Window.partitionBy("uid")
 
 
-def adv_grpo(score: str, by=BY_UID, divide: bool = True) -> Column:
+def by_uid():
+    return Window.partitionBy("uid")
+
+
+def adv_grpo(score: str, by=None, divide: bool = True) -> Column:
     """(score - mean) / (sample std + 1e-6); a group of one has mean 0 and std 1."""
+    by = by or by_uid()
     s, one = F.col(score), F.count(F.lit(1)).over(by) == 1
     centred = s - F.when(one, 0.0).otherwise(F.avg(s).over(by))
     return centred / (F.when(one, 1.0).otherwise(F.stddev_samp(s).over(by)) + EPS) if divide else centred
 
 
-def adv_grpo_anb(score: str, by=BY_UID) -> Column:
+def adv_grpo_anb(score: str, by=None) -> Column:
     """As adv_grpo, with mean and std of the 0/1 indicator of a score that is not 0."""
+    by = by or by_uid()
     hit, one = F.when(F.col(score) == 0, 0.0).otherwise(1.0), F.count(F.lit(1)).over(by) == 1
     return (F.col(score) - F.when(one, 0.0).otherwise(F.avg(hit).over(by))) / (F.when(one, 1.0).otherwise(F.stddev_samp(hit).over(by)) + EPS)
 
 
-def adv_rloo(score: str, by=BY_UID) -> Column:
+def adv_rloo(score: str, by=None) -> Column:
     """n/(n-1) * (score - mean); a group of one keeps its score."""
+    by = by or by_uid()
     s, n = F.col(score), F.count(F.lit(1)).over(by)
     return F.when(n == 1, s).otherwise(n / (n - 1) * (s - F.avg(s).over(by)))
 
 
-def centred(score: str, by=BY_UID) -> Column:
+def centred(score: str, by=None) -> Column:
     """score - group mean, the mean of a group of one being 0."""
+    by = by or by_uid()
     s = F.col(score)
     return s - F.when(F.count(F.lit(1)).over(by) == 1, 0.0).otherwise(F.avg(s).over(by))
 
@@ -46,9 +53,10 @@ def advantage(name: str, score: str) -> Column:
     return ADVANTAGES[name](score)
 
 
-def dynamic_sampling(df: DataFrame, score: str, by=BY_UID) -> DataFrame:
+def dynamic_sampling(df: DataFrame, score: str, by=None) -> DataFrame:
     """df with reason: kept for groups whose score varies (population std) or of one row, else std_0_mean_0 or std_0_mean_1
     (any mean but 0)."""
+    by = by or by_uid()
     s = F.col(score)
     varies = (F.stddev_pop(s).over(by) > 0) | (F.count(F.lit(1)).over(by) == 1)
     return df.withColumn("reason", F.when(varies, "kept").when(F.avg(s).over(by) == 0, "std_0_mean_0").otherwise("std_0_mean_1"))

@@ -27,8 +27,8 @@ _estimator("rloo", "CASE WHEN n = 1 THEN accuracy ELSE CAST(n AS DOUBLE) / (n -
 
 @query("group_std", oracle(f"WITH {_W} SELECT traj_id, round(CASE WHEN n = 1 THEN 1.0 ELSE sd END, 6) AS group_std FROM w"))
 def group_std(spark, d):
-    n = F.count(F.lit(1)).over(G.BY_UID)
-    return view(spark, d, "fx_traj").withColumn("s", F.when(n == 1, 1.0).otherwise(F.stddev_samp("accuracy").over(G.BY_UID))).select("traj_id", F.round("s", 6).alias("group_std"))
+    n = F.count(F.lit(1)).over(G.by_uid())
+    return view(spark, d, "fx_traj").withColumn("s", F.when(n == 1, 1.0).otherwise(F.stddev_samp("accuracy").over(G.by_uid()))).select("traj_id", F.round("s", 6).alias("group_std"))
 
 
 @query("group_acc", oracle("WITH g AS (SELECT uid, avg(CASE WHEN accuracy > 0 THEN 1.0 ELSE 0.0 END) AS acc FROM fx_traj GROUP BY 1) SELECT max(acc) AS max_acc, min(acc) AS min_acc, round(avg(CASE WHEN acc = 1 THEN 1.0 ELSE 0.0 END), 6) AS all_right, round(avg(CASE WHEN acc = 0 THEN 1.0 ELSE 0.0 END), 6) AS all_wrong FROM g"))

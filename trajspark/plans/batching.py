@@ -19,7 +19,7 @@ _STD = "s AS (SELECT traj_id, stddev_samp(accuracy) OVER (PARTITION BY uid) AS s
 
 @query("topk_std", oracle(f"WITH {_STD} SELECT traj_id, round(std, 6) AS std FROM s ORDER BY std DESC NULLS LAST, traj_id LIMIT 50"))
 def topk_std(spark, d):
-    t = traj(spark, d).withColumn("std", F.stddev_samp("accuracy").over(groups.BY_UID))
+    t = traj(spark, d).withColumn("std", F.stddev_samp("accuracy").over(groups.by_uid()))
     # the std is rounded for the order, so that the last bit does not decide ties
     return B.top_k(t, 50, F.round("std", 12).desc_nulls_last(), F.col("traj_id")).select("traj_id", F.round("std", 6).alias("std"))
 
