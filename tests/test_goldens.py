@@ -164,3 +164,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "n/direct/x.json").write_text('{"question": "q", "bbox": [[1, 2, 3, 4]]}')
     a = io.read_annotations(spark, str(tmp_path / "n")).collect()
     assert [(r.test_type, r.stem, r.question, r.bbox) for r in a] == [("direct", "x", "q", [[1.0, 2.0, 3.0, 4.0]])]
+
+
+def test_cues_and_expressions(spark):
+    texts = {"Thus the answer is 5.": "5", "the correct answer is: 7 cm": "7 cm", "the answer is none": None, "so 4 ... ANSWER: x = 3": "x = 3", "nothing": None}
+    df = spark.createDataFrame([(k,) for k in texts], "t string").select("t", S.answer_cue_match(F.col("t")).alias("a"))
+    assert {r.t: r.a for r in df.collect()} == texts
+    forms = {"1,234,567": "1234567", "2 million": "2*10^6", "3 1/2": "3+1/2", "45 degrees": "45", "10 cm^2": "10", "1,23": "1,23"}
+    df = spark.createDataFrame([(k,) for k in forms], "t string").select("t", S.expr_normalize(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == forms

@@ -188,3 +188,25 @@ def judge_parse(reply: Column) -> Column:
     """1 or 0 of a stored judge reply, null if it says neither."""
     found = F.regexp_extract(reply, r"(?i)judge?ment\s*:?\s*([01])", 1)
     return F.coalesce(nonempty(found), F.when(F.trim(reply).isin("0", "1"), F.trim(reply))).cast("int")
+
+
+# fixed values: phrases that lead to an answer, the later ones weaker; words and factors of quantities
+CUES = ["is the correct answer", "the correct answer is", "the answer is", "answer:"]
+SCALES = [("billion", "*10^9"), ("million", "*10^6"), ("thousand", "*10^3")]
+UNIT_WORDS = "degrees?|centimeters?|meters?|miles?|seconds?|minutes?|hours?|days?|feet|foot|inch(?:es)?|yards?|cm|mm|km"
+
+
+def answer_cue_match(text: Column) -> Column:
+    """What follows the last answer cue, if it holds a digit: the first cue in order that gives one wins; else null."""
+    found = [F.regexp_extract(text, rf"(?is)^.*{cue}\s*:?\s*(.*)$", 1) for cue in CUES]
+    return F.coalesce(*[F.when(f.rlike("[0-9]"), F.trim(F.regexp_replace(f, r"\.$", ""))) for f in found])
+
+
+def expr_normalize(text: Column) -> Column:
+    """Plain expression: no thousands commas, scale words as powers, mixed numbers as sums, no unit words, lower case."""
+    s = F.regexp_replace(F.lower(F.trim(text)), r"(?<=\d),(?=\d{3}(?:\D|$))", "")
+    for word, power in SCALES:
+        s = F.regexp_replace(s, rf"\s*\b{word}\b", power)
+    s = F.regexp_replace(s, rf"\b(?:{UNIT_WORDS})\b(?:\^[0-9]+)?", "")
+    s = F.regexp_replace(s, r"^([0-9]+)\s+([0-9]+)/([0-9]+)$", "$1+$2/$3")
+    return F.regexp_replace(s, r"\s+", "")

@@ -41,3 +41,13 @@ def group_acc(spark, d):
 def flt_dynamic_sampling(spark, d):
     t = G.dynamic_sampling(view(spark, d, "fx_traj"), "accuracy")
     return t.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("traj_id").alias("first"))
+
+
+_ALL = {"grpo": "CASE WHEN n = 1 THEN accuracy / (1 + 1e-6) ELSE (accuracy - m) / (sd + 1e-6) END", "rloo": "CASE WHEN n = 1 THEN accuracy ELSE CAST(n AS DOUBLE) / (n - 1) * (accuracy - m) END", "centred": "CASE WHEN n = 1 THEN accuracy ELSE accuracy - m END"}
+
+
+@query("adv_dispatch", oracle(f"WITH {_W} SELECT data_source, " + ", ".join(f"round(avg(abs({e})), 5) AS {k}" for k, e in _ALL.items()) + " FROM w GROUP BY 1"))
+def adv_dispatch(spark, d):
+    """Estimators by name; all of them share one shuffle by uid."""
+    t = view(spark, d, "fx_traj").withColumns({k: G.advantage(k, "accuracy") for k in _ALL})
+    return t.groupBy("data_source").agg(*[F.round(F.avg(F.abs(k)), 5).alias(k) for k in _ALL])

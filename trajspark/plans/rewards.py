@@ -152,6 +152,20 @@ def util_answer_fallback(spark, d):
     return _calls(spark, d).select("traj_id", F.col("i").cast("long").alias("step"), R.answer_fallback(F.col("c.output"), F.col("question")).alias("value"))
 
 
+@query("util_call", oracle(f"WITH {UTILITY_CTE} SELECT traj_id, step, round(utility, 6) AS utility FROM util"))
+def util_call(spark, d):
+    one = F.lit(1.0)
+    u = R.call_utilities(F.col("tool_calls"), F.col("question"), F.col("gt_box"), one, one)
+    t = trajectories(spark, d).select("traj_id", F.posexplode(u).alias("step", "utility"))
+    return t.select("traj_id", F.col("step").cast("long").alias("step"), F.round("utility", 6).alias("utility"))
+
+
+@query("token_sim", oracle(f"SELECT c.traj_id, c.step, round({sim_sql('output', 'question')}, 6) AS sim FROM fx_calls c JOIN fx_traj t ON c.traj_id = t.traj_id"))
+def token_sim(spark, d):
+    c = view(spark, d, "fx_calls").join(view(spark, d, "fx_traj").select("traj_id", "question"), "traj_id")
+    return c.select("traj_id", "step", F.round(R.token_sim(F.col("output"), F.col("question")), 6).alias("sim"))
+
+
 @query("util_total", oracle(f"WITH {UTILITY_CTE} SELECT traj_id, round(sum(utility), 6) AS utility FROM util GROUP BY 1"))
 def util_total(spark, d):
     t = trajectories(spark, d).where(F.size("tool_calls") > 0)
@@ -276,6 +290,20 @@ def arm_rewards(spark, d):
     return t.select("traj_id", F.col("accuracy").alias("arm_a"), *[F.round(R.arm_reward(a, F.col("accuracy"), F.col("n"), F.col("delta")), 6).alias(f"arm_{a}") for a in "bd"])
 
 
+def _arm(name, sql):
+    @query(f"arm_{name}", oracle(f"WITH a AS ({_ARM_BASE}) SELECT data_source, round(avg({sql}), 6) AS reward FROM a GROUP BY 1"))
+    def run(spark, d):
+        reward = R.arm_reward(name, F.col("accuracy"), F.col("n"), F.col("delta"))
+        return _arm_frame(spark, d).withColumn("r", reward).groupBy("data_source").agg(F.round(F.avg("r"), 6).alias("reward"))
+
+    return run
+
+
+_arm("a", "accuracy")
+_arm("b", "accuracy + 0.6 * exp(-2.0 * pow((n - 6) / 6, 2))")
+_arm("d", "accuracy + 0.6 * delta * exp(-2.0 * pow((n - 6) / 6, 2))")
+
+
 @query("arm_c", oracle(f"WITH {TOTAL_CTE} SELECT data_source, round(avg(accuracy + u - 0.5 * c + 0.3 * s), 6) AS arm_c FROM r GROUP BY 1"))
 def arm_c(spark, d):
     t = R.with_scores(trajectories(spark, d))

@@ -200,3 +200,14 @@ def score_dispatch(spark, d):
 def job_score_responses(spark, d):
     s = scored(spark, d)
     return s.groupBy("data_source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("score"), F.round(F.avg(S.flag((F.col("strict") == 1) == (F.col("mra") >= 0.5))), 6).alias("agreement"))
+
+
+@query("answer_cue_match")
+def answer_cue_match(spark, d):
+    text = F.concat(F.col("response"), F.lit(". So the answer is: "), F.col("ground_truth"), F.lit("."))
+    return view(spark, d, "fx_numeric").select("id", S.answer_cue_match(text).alias("answer"))
+
+
+@query("expr_normalize")
+def expr_normalize(spark, d):
+    return view(spark, d, "fx_numeric").select("id", S.expr_normalize(F.concat(F.col("ground_truth"), F.lit(",000 Miles"))).alias("text"))
