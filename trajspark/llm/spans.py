@@ -77,16 +77,20 @@ def span_table(docs: DataFrame) -> DataFrame:
                     c.append(v)
         return out
 
-    return map_batches(docs.select("doc_id", "body", "text"), run, "h long, doc_id long, body long, i int, j int")
+    return map_batches(docs.select("doc_id", "body", "text"), run, "h long, doc_id long, body int, i int, j int")
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text (without repeated spans), n_sentences, n_removed, n_chars_removed for every row of docs."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("body"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash("text", F.xxhash64("text")).alias("body"))
     found = stash(span_table(source))
+    # counts first: only the hash is shuffled, and a hash that stands once goes no further. Each small side is written and
+    # read again, so that Spark can split the tasks of a passage that very many documents share.
+    often = stash(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    shared = stash(found.hint("merge").join(often.hint("merge"), "h", "left_semi"))
     where = F.struct("doc_id", "body", "i")
-    first = found.groupBy("h").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("not (first <=> last)").select("h", "first")
-    later = found.hint("merge").join(first.hint("merge"), "h").where(~where.eqNullSafe(F.col("first")))
+    first = stash(shared.groupBy("h").agg(F.min(where).alias("first")))
+    later = shared.hint("merge").join(first.hint("merge"), "h").where(~where.eqNullSafe(F.col("first")))
     cut = later.groupBy("doc_id", "body").agg(F.collect_set(F.struct("i", "j")).alias("cut")).withColumnsRenamed({"doc_id": "cut_doc", "body": "cut_body"})
     joined = source.hint("merge").join(cut.hint("merge"), source["doc_id"].eqNullSafe(cut["cut_doc"]) & (source["body"] == cut["cut_body"]), "left")
 
