@@ -13,18 +13,18 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Each round points every node's larger neighbours at its smallest neighbour (large star), then its smaller neighbours
     likewise (small star), until nothing changes; the link table is then a forest of stars. Every round is two
-    aggregations with map-side combining and two joins whose other side has one row for each key, so a hub with many
-    links can be split. Lineage is cut by a written table in each round. Self-links and repeated links do no harm.
+    aggregations with map-side combining and two joins whose other side has one row for each key and is written first, so
+    Spark can split the tasks of a hub with many links. Lineage is cut by the written tables. Self-links and repeated links do no harm.
     """
     edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
         # large star: for node x with smallest neighbour-or-self m, link each larger neighbour to m
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = edges.hint("merge").join(low.hint("merge"), edges["v"] == low["x"]).select("u", F.col("m").alias("v")).where("u <> v").distinct()
+        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")))
+        large = stash(edges.hint("merge").join(low.hint("merge"), edges["v"] == low["x"]).select("u", F.col("m").alias("v")).where("u <> v").distinct())
         # small star: for node x, link its smaller neighbours and itself to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
+        least = stash(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m"))
         joined = large.hint("merge").join(least.hint("merge"), large["u"] == least["x"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
         edges = stash(small.distinct())
