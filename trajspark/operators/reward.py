@@ -68,9 +68,10 @@ def words(text: Column, least: int = 1) -> Column:
 
 def token_sim(a: Column, b: Column) -> Column:
     """Shared distinct words over those of the richer text; 0 if either has none."""
-    x, y = words(a), words(b)
-    most = F.greatest(F.size(x), F.size(y))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / most).otherwise(F.lit(0.0))
+    # a one-element array holds both word lists, so that each is extracted once
+    both = F.array(F.struct(words(a).alias("x"), words(b).alias("y")))
+    sim = lambda p: F.when((F.size(p["x"]) > 0) & (F.size(p["y"]) > 0), F.size(F.array_intersect(p["x"], p["y"])) / F.greatest(F.size(p["x"]), F.size(p["y"]))).otherwise(0.0)
+    return F.get(F.transform(both, sim), F.lit(0))
 
 
 def spatial(c: Column) -> Column:
