@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from trajspark.llm import components, decontaminate, language, lm, mixing, neighbours, pii, quality, simhash, spans, urls
+from trajspark.llm import components, decontaminate, language, lm, mixing, near_copies, neighbours, pii, quality, simhash, spans, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, rep string, component_id string, word string, body string, score string, row string"
 
@@ -356,3 +356,47 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(range(80)) <= set(kept) and "[EMAIL]" in kept[401]
     final = corpus_pipeline.run(spark, d)
     assert {r.doc_id for r in final.collect()} <= set(kept)
+
+
+def edited(rng, text, gap):
+    """text with every gap-th word changed."""
+    w = text.split()
+    for i in range(2, len(w), gap):
+        w[i] = f"edit{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.choice([1, 4, 5, 6, 40, 120, 300]), 3000)) for i in range(60)]
+    long = [(i, t) for i, t in rows if len(t.split()) > 100]
+    rows += [(1000 + 10 * i + k, edited(rng, t, gap)) for i, t in long for k, gap in enumerate((30, 45, 50, 60, 90))]
+    chain = prose(rng, 200, 3000).split()
+    for k in range(12):  # each is near the one before, the ends are not near each other
+        chain = chain[8:] + prose(rng, 8, 3000).split()
+        rows.append((2000 + k, " ".join(chain)))
+    base = prose(rng, 100, 3000)
+    rows += [(3000 + k, f"{base} extra{k} word{k}") for k in range(40)]
+    rows += [(None, rows[5][1]), (None, f"{base} no id"), (7, "another text of the same id"), (4000, None), (4001, ""), (4002, " \n"), (7, rows[7][1])]
+    line = prose(rng, 12, 3000)
+    rows += [(5000 + k, f"{line} {prose(rng, 10, 3000)}") for k in range(40)]
+    best = {}
+    for g, (d, t) in zip(near_copies.brute_force(rows), rows):
+        best.setdefault(g, []).append((d is None, d or 0, t))
+    got = near_copies.keep_first(docs_frame(spark, [(d, t, "en", "a") for d, t in rows]))
+    assert got.columns == docs_frame(spark, []).columns
+    found = Counter((r.doc_id, r.text) for r in got.collect())
+    assert max(found.values()) == 1 and len(found) == len(best)
+    assert Counter(d for d, _ in found) == Counter(None if min(b)[0] else min(b)[1] for b in best.values())
+    assert near_copies.keep_first(docs_frame(spark, [])).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    rng = random.Random(22)
+    text = prose(rng, 200, 3000)
+    near = text.split()
+    near[20] = near[90] = "changed"
+    near = " ".join(near)
+    assert (simhash.fingerprint_of(text.encode()) ^ simhash.fingerprint_of(near.encode())).bit_count() > 2
+    docs = spark.createDataFrame([(1, text), (2, near), (3, prose(rng, 200, 3000)), (None, near + " end")], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == {1, 3}
