@@ -400,3 +400,15 @@ def test_pipeline_drops_near_copies(spark):
     assert (simhash.fingerprint_of(text.encode()) ^ simhash.fingerprint_of(near.encode())).bit_count() > 2
     docs = spark.createDataFrame([(1, text), (2, near), (3, prose(rng, 200, 3000)), (None, near + " end")], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == {1, 3}
+
+
+def test_decontaminate_blocks_keep_rows_apart(spark):
+    rng = random.Random(23)
+    items = [(i, prose(rng, 12, 10**6)) for i in range(6)]
+    rows = [(None, items[0][1]), (None, items[1][1]), (None, prose(rng, 12, 10**6)), (None, prose(rng, 12, 10**6)), (5, items[2][1]), (5, items[3][1]), (5, items[3][1]), (5, items[4][1] + " " + items[5][1]), (6, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_overlaps(docs_frame(spark, [(d, t, "en", "a") for d, t in rows]), benchmark, max_windows=3)
+    have = Counter((r.doc_id, r.n_words, r.n_hit, hashlib.sha256(",".join(r.item_ids).encode()).hexdigest()) for r in got.collect())
+    assert have == Counter((d, n, hit, sha) for d, n, hit, _, sha, _ in decontaminate.brute_force(rows, items))
+    capitals = spark.createDataFrame([(i, " ".join(["WORD"] * 30)) for i in range(4)], "item_id long, text string")
+    assert len(list(decontaminate._blocks(capitals, 10, 21))) == 4

@@ -15,16 +15,17 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import map_batches, stash, table
 
 #: Lower-cases A-Z, keeps 0-9, a-z and everything beyond ASCII, turns the rest into spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<string>, starts array<long>, ends array<long>"
+_SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<string>, starts array<long>, ends array<long>, row long"
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -86,12 +87,12 @@ def search(w: list[bytes], tables: list[tuple]) -> tuple[list[tuple[int, int]],
 def _blocks(benchmark: DataFrame, width: int, max_windows: int):
     """The benchmark in pieces of about max_windows windows; their number follows from one count."""
     items = benchmark.select("item_id", F.col("text").cast("binary").alias("text"))
-    n = F.regexp_count(benchmark["text"], F.lit(_WORDS))
+    n = F.regexp_count(F.translate(benchmark["text"], ascii_uppercase, ascii_lowercase), F.lit(_WORDS))
     total = benchmark.select(F.sum(F.greatest(n - (width - 1), F.lit(1))).alias("n")).first()["n"] or 0
     pieces = max(1, -(-total // max_windows))
     for k in range(pieces):
-        part = items if pieces == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == k)
-        yield [(r["item_id"], bytes(r["text"])) for r in part.where(F.col("text").isNotNull()).collect()]
+        part = items if pieces == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces)) == k)
+        yield pieces, [(r["item_id"], bytes(r["text"])) for r in part.where(F.col("text").isNotNull()).collect()]
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_windows: int = 1_000_000) -> DataFrame:
@@ -99,33 +100,36 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_wi
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     passes = []
-    for items in _blocks(benchmark, width, max_windows):
+    for pieces, items in _blocks(benchmark, width, max_windows):
+        if not passes:
+            source = source.select("doc_id", "text", F.lit(0).cast("long").alias("row"))
+            if pieces > 1:  # numbered and written once, so that every pass sees the same number for a row
+                source = stash(source.withColumn("row", F.monotonically_increasing_id()))
         shared = spark.sparkContext.broadcast(build_tables(items, width))
 
         def scan(cols, shared=shared):
-            out = [[] for _ in range(6)]
-            for doc, text in zip(*cols):
+            out = [[] for _ in range(7)]
+            for doc, text, row in zip(*cols):
                 w = words(text)
                 ranges, ids = search(w, shared.value)
-                for c, v in zip(out, (doc, len(w), sum(b - a for a, b in ranges), sorted(ids), [a for a, _ in ranges], [b for _, b in ranges])):
+                for c, v in zip(out, (doc, len(w), sum(b - a for a, b in ranges), sorted(ids), [a for a, _ in ranges], [b for _, b in ranges], row)):
                     c.append(v)
             return out
 
         passes.append(map_batches(source, scan, _SCHEMA))
     if len(passes) == 1:
-        return passes[0]
-    return _merge(source, passes)
+        return passes[0].drop("row")
+    return _merge(passes)
 
 
-def _merge(source: DataFrame, passes: list[DataFrame]) -> DataFrame:
-    """Join the passes of several pattern blocks; rows of one doc_id and word count that hit alike are told apart by count."""
-    k = len(passes)
+def _merge(passes: list[DataFrame]) -> DataFrame:
+    """Join the passes of several pattern blocks by the number of the row; a group has one row from each pass."""
     union = passes[0]
     for p in passes[1:]:
         union = union.unionByName(p)
     ranges = F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))
     ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids"))))
-    grouped = union.groupBy("doc_id", "n_words").agg(F.array_sort(ranges).alias("r"), ids.alias("item_ids"), F.count(F.lit(1)).alias("n"))
+    grouped = union.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(ranges).alias("r"), ids.alias("item_ids"))
     last = lambda acc: F.element_at(acc, -1)
     kind = "array<struct<starts:bigint,ends:bigint>>"
     merged = F.aggregate(
@@ -133,7 +137,7 @@ def _merge(source: DataFrame, passes: list[DataFrame]) -> DataFrame:
         F.array().cast(kind),
         lambda acc, x: F.when((F.size(acc) > 0) & (x["starts"] <= F.coalesce(last(acc)["ends"], F.lit(-1))), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["starts"].alias("starts"), F.greatest(last(acc)["ends"], x["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(x))).cast(kind),
     )
-    full = grouped.withColumn("r", F.when(F.size("r") == 0, F.array().cast(kind)).otherwise(merged)).withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / k).cast("int"))))
+    full = grouped.withColumn("r", F.when(F.size("r") == 0, F.array().cast(kind)).otherwise(merged))
     hit = F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["ends"] - x["starts"])
     return full.select("doc_id", "n_words", hit.alias("n_hit"), "item_ids", F.col("r.starts").alias("starts"), F.col("r.ends").alias("ends"))
 
@@ -141,7 +145,7 @@ def _merge(source: DataFrame, passes: list[DataFrame]) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_windows: int = 1_000_000) -> DataFrame:
     """The rows of docs that share no window with the benchmark; all columns stay. Filters inside one pass for each pattern block."""
     spark = docs.sparkSession
-    for items in _blocks(benchmark, width, max_windows):
+    for _, items in _blocks(benchmark, width, max_windows):
         shared = spark.sparkContext.broadcast(build_tables(items, width))
 
         def clean(texts, shared=shared):
