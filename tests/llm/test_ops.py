@@ -147,27 +147,34 @@ def test_cross_parsing_by_definition():
         assert parser.phrases([text], block=1000)[0].tolist() == want
 
 
-def test_lm_score_sums(spark, texts):
-    rows = [r for r in texts if r[0] not in (113,)]
-    docs = docs_frame(spark, rows)
-    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
-    tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + ["\n"]
-    count = Counter(w for _, t, _, _ in train for w in tok(t))
-    total, kinds = sum(count.values()), len(count)
-    base = lambda t: sum(math.log10((count[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in tok(t))
-    want = Counter((d, len(tok(t)), sum(count[w] > 0 for w in tok(t)), round(base(t), 4)) for d, t, _, _ in rows)
+def test_lm_score_equals_brute_force(spark, texts):
+    from pyspark.sql import functions as F
+
     from trajspark.llm.common import crc_mod
 
-    for share in (1e-6, 5e-3):  # all words in the automaton; some only by the join
-        model, counts, n = lm.fit(docs.where(crc_mod("doc_id", 5) != 1), word_share=share, arc_share=2e-3, ngram_share=1e-4)
-        assert n == total
-        got = lm.score(docs, model, counts, share, n).collect()
-        assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
-        if share == 1e-6:
-            for s in range(len(model.arcs)):  # each state's weights are a distribution over the words and the unknown one
-                assert sum(10 ** model.weight(s, w) for w in model.ids.values()) + 10 ** (model.weight(s, -1)) == pytest.approx(1, abs=1e-6)
-    empty, counts, n = lm.fit(docs.limit(0))
-    assert n == 0 and {r.score for r in lm.score(docs, empty, counts, total=0).collect()} == {0.0}
+    rows = [r for r in texts if r[0] != 113] + [(None, "no id w1 w2", "en", "a")]
+    train = [zlib.crc32(b"" if d is None else str(d).encode()) % 5 != 1 for d, *_ in rows]
+    docs = docs_frame(spark, rows)
+    want = Counter((d, n, known, round(base, 4), round(score, 4)) for d, n, known, base, score in lm.brute_force([r[:2] for r in rows], train))
+    for size in (24 << 20, 3000):  # one block; many blocks that know each other's counts by the replies alone
+        scored, total = lm.score(docs, crc_mod("doc_id", 5) != 1, block_bytes=size)
+        got = scored.collect()
+        assert total == sum(len(lm.tokens((t or "").encode())) for (_, t, _, _), use in zip(rows, train) if use)
+        assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in got) == want
+    nothing, total = lm.score(docs, F.lit(False))
+    assert total == 0 and {(r.score, r.base_score, r.n_known) for r in nothing.collect()} == {(0.0, 0.0, 0)}
+    assert lm.score(docs.limit(0), F.lit(True))[0].count() == 0
+
+
+def test_lm_weights_after_a_history_sum_to_one():
+    rows = [(1, "a b a c a b"), (2, "b b c")]
+    count = Counter(w for _, t in rows for w in [*t.split(), "\n"])
+    whole = lambda text: lm.brute_force([*rows, (9, text)], [True, True, False])[-1][4]
+    first = lambda w: math.log10((count[w] + 0.5) / (sum(count.values()) + 0.5 * (len(count) + 1)))
+    end = lambda h: whole(h) - first(h)
+    for h in ("a", "b", "c", "unknown"):
+        others = sum(10 ** (whole(f"{h} {w}") - first(h) - end(w)) for w in ("a", "b", "c", "never"))
+        assert others + 10 ** end(h) == pytest.approx(1, abs=1e-9)
 
 
 def test_quality_learns_and_cases(spark):

@@ -1,14 +1,17 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Counts come from all training texts. Smoothed n-grams (1 to 3 words, absolute discounting) become states - one for each
-history - and arcs; a failure arc from each history to the next shorter one carries the backoff weight. A text is
-scored in one traversal from left to right: follow the word's arc, or add the failure weight and try again from the
-shorter history; at the empty history every word has its add-half unigram probability.
-
-The automaton must fit every worker, so it holds the n-grams whose count is at least a share of all tokens: of each
-order no more than 1/share can be (counts add up to the tokens). A word below `word_share` (at most 1e6 words are above)
-leads to the empty history; its exact count is joined to it by word, so that every word of the corpus, however rare,
-has its own count in the score.
+The model is a bigram model that holds every pair of words of every training text: p(b | a) = (n(ab) + K p(b)) / (n(a) + K)
+with the add-half unigram p(b) (hierarchical Dirichlet smoothing, which sums to one). As an automaton: each word of the
+training texts is a state; a pair is an arc from the state of its first word with weight p(b | a); every state has a
+failure arc to the empty history with weight K / (n(a) + K), where each word has an arc of weight p(b). One traversal from
+left to right carries the state and adds up logarithms.
+
+The whole automaton grows with the corpus, so no worker holds it. Texts fall into blocks of about `block_bytes`; a block
+needs the states and arcs of its own words and pairs only, which are known from its texts. Every block counts them in its
+training texts and sends (key, block, count), once for each distinct word or pair; a window over the key adds the blocks
+up, and what a block could not know (the count in other blocks) goes back to it. There the block's part of the automaton
+is put together and its texts are traversed. Nothing is cut: each count is that of the whole training corpus. A key has at
+most one row a block, so frequent words make no hot task. Words and pairs are keyed by 64-bit hashes.
 
 Cases: null and empty texts are one end token; with no training text N and V are 0 and every token has probability 1;
 a null doc_id counts as empty text in the crc; repeated rows give one result each; other columns are ignored.
@@ -16,18 +19,18 @@ a null doc_id counts as empty text in the crc; repeated rows give one result eac
 
 from __future__ import annotations
 
-from collections import Counter
-from math import log10
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .common import crc_mod, map_batches, slices, stash, table
+from .common import crc_mod, slices, table
 
 END = b"\n"  # no word holds white space
-DISCOUNT = 0.5
+#: Weight of the unigram in a history's distribution, in tokens.
+PRIOR = 200.0
+_U = np.uint64
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -36,173 +39,174 @@ def tokens(text: bytes | None) -> list[bytes]:
     return w
 
 
-def word_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
-    """word (binary), n: tokens of all rows of docs; tasks count before they shuffle."""
-
-    def run(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for part in slices(batch, 512, 4 << 20):
-                for t in part.column(0).to_pylist():
-                    seen.update(tokens(t))
-                if len(seen) >= flush:
-                    yield _counted(seen)
-                    seen = Counter()
-        if seen:
-            yield _counted(seen)
-
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+def word_keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the tokens of all texts in a row, and the place where each text begins (one more: the end)."""
+    keys, begins = [], [0]
+    for t in texts:
+        w = tokens(t)
+        keys.append(np.fromiter(map(xxh3_64_intdigest, w), _U, len(w)))
+        begins.append(begins[-1] + len(w))
+    return (np.concatenate(keys) if keys else np.zeros(0, _U)).view(np.int64), np.array(begins)
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+def pair_keys(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Key of the pair that ends at each token; 0 for the first token of a text."""
+    w = words.view(_U)
+    out = np.zeros(len(w), _U)
+    a = w[:-1] * _U(0x9E3779B97F4A7C15)
+    h = (a ^ (a >> _U(29))) * _U(0xBF58476D1CE4E5B9) + w[1:]
+    h *= _U(0x94D049BB133111EB)
+    out[1:] = h ^ (h >> _U(31))
+    out[begins[:-1]] = 0
+    return out.view(np.int64)
 
 
-def ngram_counts(docs: DataFrame, arc_words: dict[bytes, int], least: int) -> list[tuple[int, int]]:
-    """(key, n) of the pairs and triples of arc words with count at least `least`; ids are from 1, the key is
-    (a*k + b)*k + c with k = number of arc words + 1 and a = 0 for a pair."""
-    k = len(arc_words) + 1
-    shared = docs.sparkSession.sparkContext.broadcast(arc_words)
+def corpus_size(docs: DataFrame, flush: int = 4_000_000) -> tuple[int, int]:
+    """(N, V): tokens and distinct tokens of all rows of docs; tasks count before they shuffle."""
 
     def run(batches):
-        get = shared.value.get
         held, size = [], 0
         for batch in batches:
             for part in slices(batch, 512, 4 << 20):
-                ids: list[int] = []
-                for t in part.column(0).to_pylist():
-                    ids.append(0)
-                    ids.extend([get(w, 0) for w in tokens(t)])
-                a = np.array(ids, np.int64)
-                two = (a[:-1] > 0) & (a[1:] > 0)
-                held.append((a[:-1] * k + a[1:])[two])
-                three = two[:-1] & two[1:]
-                held.append(((a[:-2] * k + a[1:-1]) * k + a[2:])[three])
-                size += int(two.sum() + three.sum())
-                if size >= 3_000_000:
-                    yield _unique(held)
+                held.append(word_keys(part.column(0).to_pylist())[0])
+                size += len(held[-1])
+                if size >= flush:
+                    yield _counted(held)
                     held, size = [], 0
         if size:
-            yield _unique(held)
+            yield _counted(held)
 
-    keys = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, n long")
-    return [tuple(r) for r in keys.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()]
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, n long")
+    words = counted.groupBy("key").agg(F.sum("n").alias("n"))
+    return tuple(words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
 
 
-def _unique(held: list[np.ndarray]) -> pa.RecordBatch:
+def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
     keys, n = np.unique(np.concatenate(held), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
 class Automaton:
-    """arcs[state]: word id -> (next state, log10 weight); fail[state], bow[state]: where a missing arc leads."""
-
-    def __init__(self, frequent: list[tuple[bytes, int]], arc_words: dict[bytes, int], ngrams: list[tuple[int, int]], total: int, kinds: int):
-        self.denominator = total + 0.5 * (kinds + 1)
-        self.unknown = log10(0.5 / self.denominator) if total else 0.0
-        names = {w: i for w, i in arc_words.items()}
-        self.ids = dict(names)
-        for w, _ in frequent:
-            self.ids.setdefault(w, len(self.ids) + 1)
-        count = {self.ids[w]: n for w, n in frequent}
-        uni = {i: (n + 0.5) / self.denominator for i, n in count.items()}
-        k = len(arc_words) + 1
-        pairs: dict[tuple, dict[int, int]] = {}
-        for key, n in sorted(ngrams):
-            rest, c = divmod(key, k)
-            a, b = divmod(rest, k)
-            pairs.setdefault((a, b) if a else (b,), {})[c] = n
-        histories = sorted(pairs, key=lambda h: (len(h), h))
-        state = {h: i + 1 for i, h in enumerate(histories)}
-        size = len(state) + 1
-        self.arcs: list[dict[int, tuple[int, float]]] = [{} for _ in range(size)]
-        self.fail, self.bow = [0] * size, [0.0] * size
-        self.arcs[0] = {i: (state.get((i,), 0), log10(p)) for i, p in uni.items()}
-        for h in histories:
-            s, follow = state[h], pairs[h]
-            lower = state.get(h[1:], 0) if len(h) > 1 else 0
-            seen = count[h[0]] if len(h) == 1 else pairs[(h[0],)][h[1]]
-            mass = back = 0.0
-            for w, n in follow.items():
-                p = (n - DISCOUNT) / seen
-                mass += p
-                back += 10 ** self.weight(lower, w)
-                self.arcs[s][w] = (state.get((h[-1], w)) or state.get((w,), 0), log10(p))
-            self.fail[s], self.bow[s] = lower, log10(max(1e-9, 1 - mass) / max(1e-9, 1 - back))
-
-    def weight(self, s: int, w: int) -> float:
-        """log10 of the probability of word w after state s."""
-        total = 0.0
-        while w not in self.arcs[s]:
-            if s == 0:
-                return total + self.unknown
-            total += self.bow[s]
-            s = self.fail[s]
-        return total + self.arcs[s][w][1]
-
-    def traverse(self, words: list[bytes]) -> tuple[float, float, int, Counter]:
-        """(log10 probability, unigram part, tokens found, the other words' counts); the other words' own probabilities
-        are left out of both sums."""
-        arcs, fail, bow, root = self.arcs, self.fail, self.bow, self.arcs[0]
-        s, score, base, found, rare = 0, 0.0, 0.0, 0, []
-        for w, i in zip(words, map(self.ids.get, words)):
-            if i is None:
-                while s:
-                    score += bow[s]
-                    s = fail[s]
-                rare.append(w)
-                continue
-            found += 1
-            base += root[i][1]
-            arc = arcs[s].get(i)
-            while arc is None:
-                score += bow[s]
-                s = fail[s]
-                arc = arcs[s].get(i)
-            s = arc[0]
-            score += arc[1]
-        return score, base, found, Counter(rare)
-
-
-def fit(docs: DataFrame, word_share: float = 1e-6, arc_share: float = 2e-4, ngram_share: float = 2e-6) -> tuple[Automaton, DataFrame, int]:
-    """The automaton, the word counts and the number of tokens of docs."""
-    counts = stash(word_counts(docs))
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = sorted(((bytes(r["word"]), r["n"]) for r in counts.where(F.col("n") >= word_share * total).collect()), key=lambda x: (-x[1], x[0]))
-    arc_words = {w: i + 1 for i, (w, n) in enumerate(frequent) if n >= arc_share * total}
-    ngrams = ngram_counts(docs, arc_words, max(2, int(ngram_share * total))) if arc_words else []
-    return Automaton(frequent, arc_words, ngrams, total, kinds), counts, total
-
-
-def score(docs: DataFrame, automaton: Automaton, counts: DataFrame, word_share: float = 1e-6, total: int = 0) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-
-    def run(cols):
-        model, out = shared.value, ([], [], [], [])
-        for row, doc, text in zip(*cols):
-            w = tokens(text)
-            s, b, found, rare = model.traverse(w)
-            # the document's own row has a key that no word has
-            out[0].append(row), out[1].append(END + row.to_bytes(8, "big")), out[2].append(0), out[3].append({"doc_id": doc, "score": s, "base": b, "n_tokens": len(w), "n_known": found})
-            out[0].extend([row] * len(rare)), out[1].extend(rare), out[2].extend(rare.values()), out[3].extend([None] * len(rare))
-        return list(out)
-
-    parts = map_batches(source, run, "row long, word binary, tf int, doc struct<doc_id:long,score:double,base:double,n_tokens:long,n_known:long>")
-    rare = counts.where(F.col("n") < word_share * total)
-    known = parts.hint("merge").join(rare.hint("merge"), "word", "left")
-    own = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(automaton.denominator)) * F.col("tf") if total else F.lit(0.0)
-    each = known.select("row", "doc", F.when(F.col("tf") > 0, own).otherwise(0.0).alias("own"), F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0).alias("known"))
-    whole = each.groupBy("row").agg(F.max("doc").alias("doc"), F.sum("own").alias("own"), F.sum("known").alias("known"))
-    d = F.col
-    return whole.select(d("doc.doc_id"), d("doc.n_tokens"), (d("doc.n_known") + d("known")).alias("n_known"), (d("doc.base") + d("own")).alias("base_score"), (d("doc.score") + d("own")).alias("score"))
+    """The states and arcs that a block of texts can meet. Keys are sorted; `count` is the whole corpus's count of a word
+    or pair. A state is the place of its word in `keys`, the empty history is -1."""
+
+    def __init__(self, keys: np.ndarray, count: np.ndarray, total: int, kinds: int, prior: float = PRIOR):
+        self.keys, self.count, self.prior = keys, count, prior
+        self.denominator = total + 0.5 * (kinds + 1) if total else 0.5
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = self.place(keys)
+        return np.where(self.keys[at] == keys, self.count[at], 0)
+
+    def traverse(self, words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token in order: log10 weight of the path that reads it, log10 weight of the empty history's arc, and
+        its count. The state after a token is the token's own if the model has one, else the empty history, so the states
+        of all tokens are known at once and the whole block is read in one step."""
+        n = self.counts(words)
+        root = (n + 0.5) / self.denominator
+        history = np.zeros(len(words), np.int64)
+        history[1:] = n[:-1]
+        history[begins[:-1]] = 0  # a text starts at the empty history
+        arc = self.counts(pair_keys(words, begins))
+        arc[begins[:-1]] = 0
+        # an arc where there is one; the failure arc and the empty history's arc otherwise: n(ab) is 0 there
+        path = (arc + self.prior * root) / (history + self.prior)
+        return np.log10(path), np.log10(root), n
+
+
+def _blocked(docs: DataFrame, training: Column, block_bytes: int) -> DataFrame:
+    """block, doc_id, text, train: rows dealt over blocks by their place, so that equal rows are dealt as well."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    return rows.select(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text", "train")
+
+
+def _own_counts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, begins, distinct keys, their counts in training texts) of a block's table."""
+    words, begins = word_keys(t["text"].to_pylist())
+    train = np.repeat(np.asarray(t["train"].to_pylist(), bool), np.diff(begins))
+    pairs = pair_keys(words, begins)
+    inside = np.ones(len(words), bool)
+    inside[begins[:-1]] = False
+    keys, n = [], []
+    for k, flag in ((words, train), (pairs[inside], train[inside])):
+        every, at = np.unique(k, return_inverse=True)
+        keys.append(every)
+        n.append(np.bincount(at[flag], minlength=len(every)))
+    # words and pairs share one space of keys; equal ones of both kinds would be a collision of hashes
+    keys, n = np.concatenate(keys), np.concatenate(n).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    return words, begins, keys[order], n[order]
+
+
+def score(docs: DataFrame, training: Column, prior: float = PRIOR, block_bytes: int = 24 << 20) -> tuple[DataFrame, int]:
+    """(doc_id, train, n_tokens, n_known, base_score, score for every row of docs; N). The rows where `training` holds
+    are learned from."""
+    total, kinds = corpus_size(docs.where(training))
+    blocks = _blocked(docs, training, block_bytes)
+
+    def ask(t: pa.Table) -> pa.Table:
+        _, _, keys, n = _own_counts(t)
+        return pa.table([pa.array(keys), pa.array(np.full(len(keys), t["block"][0].as_py(), np.int32)), pa.array(n.astype(np.int32))], ["key", "block", "n"])
+
+    asked = blocks.groupBy("block").applyInArrow(ask, "key long, block int, n int")
+    whole = asked.withColumn("others", F.sum("n").over(Window.partitionBy("key")) - F.col("n"))
+    replies = whole.where("others > 0").select("block", "key", "others")
+
+    def read(texts: pa.Table, more: pa.Table) -> pa.Table:
+        names = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"]
+        kinds_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        if not texts.num_rows:
+            return pa.table([pa.array([], k) for k in kinds_], names)
+        words, begins, keys, n = _own_counts(texts)
+        n[np.searchsorted(keys, np.asarray(more["key"]))] += np.asarray(more["others"])
+        path, root, known = Automaton(keys, n, total, kinds, prior).traverse(words, begins)
+        sums = lambda x: np.add.reduceat(x, begins[:-1])
+        out = [texts["doc_id"], texts["train"], np.diff(begins), sums((known > 0).astype(np.int64)), sums(root) if total else np.zeros(texts.num_rows), sums(path) if total else np.zeros(texts.num_rows)]
+        return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(out, kinds_)], names)
+
+    scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(read, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored, total
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document under the model of the training rows, and under their add-half unigrams."""
-    docs = table(spark, sf_dir, "documents")
-    automaton, counts, total = fit(docs.where(crc_mod("doc_id", 5) != 1))
-    scored = score(docs, automaton, counts, total=total)
-    return scored.select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    scored, total = score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def brute_force(rows: list[tuple], train: list[bool], prior: float = PRIOR) -> list[tuple]:
+    """For tests: (doc_id, n_tokens, n_known, base_score, score) with plain counters and the automaton walked arc by arc."""
+    import re
+    from collections import Counter
+    from math import log10
+
+    low = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + ["\n"]
+    words, arcs = Counter(), Counter()
+    for (_, t), use in zip(rows, train):
+        if use:
+            words.update(low(t))
+            arcs.update(zip(low(t), low(t)[1:]))
+    total = sum(words.values())
+    out = []
+    for doc, t in rows:
+        state, base, path, known = None, 0.0, 0.0, 0
+        for w in low(t):
+            p = (words[w] + 0.5) / (total + 0.5 * (len(words) + 1)) if total else 1.0
+            base += log10(p)
+            known += words[w] > 0
+            if state is None:
+                path += log10(p)
+            elif (state, w) in arcs:
+                path += log10((arcs[state, w] + prior * p) / (words[state] + prior))
+            else:
+                path += log10(prior / (words[state] + prior)) + log10(p)
+            state = w if w in words else None
+        out.append((doc, len(low(t)), known, base, path))
+    return out
