@@ -129,22 +129,39 @@ def test_language_held_out_and_cases(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
-def test_cross_parsing_by_definition():
+def phrases_by_definition(text, known):
+    count = at = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in known:
+            n += 1
+        count, at = count + 1, at + n
+    return count
+
+
+@pytest.mark.parametrize(("block", "room"), [(1024, 12_000_000), (7, 12_000_000), (5, 40), (1, 1)])
+def test_cross_parsing_by_definition(block, room):
     rng = random.Random(4)
     ref = "".join(rng.choice("abc") for _ in range(300))
-    parser = language.Parser({"r": ref, "s": "ab" * 30})
-    for text in ("".join(rng.choice("abcd") for _ in range(400)), "abab", "z", ""):
-        want = []
-        for known in ("".join(ref), "ab" * 30):
-            phrases, at = 0, 0
-            while at < len(text):
-                n = 1
-                while at + n < len(text) and text[at : at + n + 1] in known:
-                    n += 1
-                phrases += 1
-                at += n
-            want.append(phrases)
-        assert parser.phrases([text], block=1000)[0].tolist() == want
+    han = "".join(chr(0x4E00 + rng.randrange(500)) for _ in range(400))
+    kana = "".join(chr(0x3041 + rng.randrange(60)) for _ in range(400))
+    samples = {"r": ref, "s": "ab" * 30, "han": han, "kana": kana}
+    parser = language.Parser(samples)
+    texts = ["".join(rng.choice("abcd") for _ in range(400)), "abab" * 30, "z", "", han[50:90] + kana[:30] + han[200:230], kana[100:300], ref * 3, "\U00020000\U0001f600 \uac00" * 9]
+    low = lambda t: "".join("0" if not c.isalpha() else c if any(c in x for x in samples.values()) else "?" for c in t)
+    want = [[phrases_by_definition(low(t), samples[k]) for k in parser.languages] for t in texts]
+    assert parser.phrases(texts, block=block, room=room).tolist() == want
+
+
+def test_language_tells_scripts_and_whole_texts(spark):
+    rng = random.Random(12)
+    words = {"zh": [chr(0x4E00 + rng.randrange(3000)) + chr(0x4E00 + rng.randrange(3000)) for _ in range(60)], "ja": [chr(0x3041 + rng.randrange(80)) * 2 + chr(0x4E00 + rng.randrange(3000)) for _ in range(60)], "ko": [chr(0xAC00 + rng.randrange(2000)) + chr(0xAC00 + rng.randrange(2000)) for _ in range(60)], "ru": [chr(0x430 + rng.randrange(32)) * 3 for _ in range(30)]}
+    rows = [(i, "".join(rng.choice(words[k]) for _ in range(60)), k, "a") for i, k in enumerate(["zh", "ja", "ko", "ru"] * 15)]
+    rows += [(100, "x" * 50_000, "long", "a"), (None, "x" * 60_000, "long", "a")]  # no text within the sample's bound: the shortest is taken
+    parser = language.learn(docs_frame(spark, [r for r in rows if r[0] is None or r[0] < 30 or r[0] >= 100]))
+    assert parser.languages == ["ja", "ko", "long", "ru", "zh"]
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs_frame(spark, rows), parser).collect()}
+    assert all(got[d] == k for d, _, k, _ in rows if d is not None)
 
 
 def test_lm_score_equals_brute_force(spark, texts):

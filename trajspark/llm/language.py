@@ -2,13 +2,17 @@
 
 For each language a suffix automaton of labelled text recognises all its substrings. A text is cross-parsed against
 every language: the longest match from the current place is one phrase, then the next phrase starts. Phrases for each
-character, normalised, estimate the cross entropy; the language that needs fewest wins. The automata are turned into
-tables of next states in which a failing step already holds the first step of the next phrase, so a batch of texts is
-parsed against all languages in step, in numpy. Texts longer than `block` characters are parsed in blocks of that
-length whose phrases are added up.
+character, normalised, estimate the cross entropy; the language that needs fewest wins. Every letter of Unicode that the
+sample shows is a symbol of its own, lower-cased; letters that no sample has share one symbol, everything else another.
 
-Learning takes a bounded sample: at most `rows` labelled texts for each language, the smallest by hash of doc_id, and of
-them `chars` characters in all (less with many languages: `total` over all).
+The arcs of all automata lie in one open hash table (arrays of numpy), so memory goes with the sample and not with the
+alphabet. Texts are parsed in step, a lane for each `block` characters. A lane begins with a new phrase; where the lane
+before it ends inside a phrase, it is parsed again from that state up to the place where both parses are in the same
+state, which repeats until all lanes fit together: the phrases are those of an unbroken parse, however long the text.
+
+Learning takes a bounded sample of labelled rows, with whole texts: for each language the first `rows` by hash of doc_id,
+of those the ones that together stay within `chars` characters (less with many languages: `total` over all). Where no text
+is as short as that, the language's shortest is taken.
 
 Cases: null texts and texts without a letter are `und` with score 0; ties go to the language first by code point; with
 nothing to learn from all texts are `und`; repeated rows give one result each; other columns are ignored.
@@ -16,6 +20,7 @@ nothing to learn from all texts are `und`; repeated rows give one result each; o
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -28,6 +33,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 _PHRASE = np.int32(1 << 30)
 
 
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def suffix_automaton(symbols: list[int]) -> tuple[list[dict[int, int]], list[int]]:
     """Transitions and suffix links of the automaton of all substrings; state 0 is the start."""
     nxt, link, length, last = [{}], [-1], [0], 0
@@ -57,74 +66,140 @@ def suffix_automaton(symbols: list[int]) -> tuple[list[dict[int, int]], list[int
     return nxt, link
 
 
-def parse_table(symbols: list[int], n_symbols: int) -> np.ndarray:
-    """Next states, flat by (state, symbol). A step that ends a phrase has _PHRASE added and leads to the state after the
-    first symbol of the next phrase; a symbol unknown to the language is a phrase by itself."""
-    nxt, _ = suffix_automaton(symbols)
-    start = np.full(n_symbols, _PHRASE, np.int32)
-    for c, to in nxt[0].items():
-        start[c] = _PHRASE + to
-    steps = np.tile(start, (len(nxt), 1))
-    for state, arcs in enumerate(nxt[1:], 1):  # the start is left as it is: the first step from it begins a phrase
-        for c, to in arcs.items():
-            steps[state, c] = to
-    return steps.ravel()
+@functools.cache
+def _folded() -> np.ndarray:
+    """For each code point the code point of its lower-case letter, 0 for what is no letter."""
+    out = np.zeros(0x110000, np.int32)
+    for cp in range(0x110000):
+        if _LETTER.match(chr(cp)):
+            out[cp] = ord(chr(cp).lower()[0])
+    return out
+
+
+class Arcs:
+    """Hash table from (state, symbol), as one number, to the next state."""
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.keys[slot[first]] == -1]
+            self.keys[slot[first]], self.to[slot[first]] = keys[first], to[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, to, slot = keys[rest], to[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Next state for each key, -1 where there is no arc."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.to[slot], np.int32(-1))
+        rest = np.flatnonzero((there != keys) & (there != -1))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self.mask
+            there = self.keys[slot[rest]]
+            hit = there == keys[rest]
+            out[rest[hit]] = self.to[slot[rest[hit]]]
+            rest = rest[~hit & (there != -1)]
+        return out
 
 
 class Parser:
-    """Automata of all languages over one alphabet; symbol 0 stands for every character that is no letter."""
+    """Automata of all languages; symbol 0 stands for every character that is no letter. A step that begins a phrase has
+    _PHRASE added to the state it leads to."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        seen: dict[str, int] = {}
-        for text in samples.values():
-            for ch in text.lower():
-                seen[ch] = seen.get(ch, 0) + 1
-        letters = sorted((c for c in seen if _LETTER.match(c)), key=lambda c: (-seen[c], c))[:120]
-        self.code = {c: i + 1 for i, c in enumerate(letters)}
+        folded = _folded()
+        lower = {x: folded[_code_points(samples[x])] for x in self.languages}
+        letters = np.unique(np.concatenate([*lower.values(), np.zeros(1, np.int32)]))[1:]
         self.n_symbols = len(letters) + 2  # the last one: letters that no language has shown
-        self.low = np.zeros(0x3000, np.int32)
-        for cp in range(0x3000):
-            self.low[cp] = self._symbol(chr(cp))
-        tables = [parse_table(self.symbols(samples[x]).tolist(), self.n_symbols) for x in self.languages]
-        self.offsets = np.cumsum([0] + [len(t) for t in tables])[:-1]
-        self.steps = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-
-    def _symbol(self, ch: str) -> int:
-        if not _LETTER.match(ch):
-            return 0
-        return self.code.get(ch.lower()[:1], self.n_symbols - 1)
+        self.symbol_of = np.where(folded == 0, 0, self.n_symbols - 1).astype(np.int32)
+        known = np.flatnonzero(np.isin(folded, letters) & (folded > 0))
+        self.symbol_of[known] = np.searchsorted(letters, folded[known]) + 1
+        keys, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        self.roots, begin = [], 0
+        # first steps of a phrase; a symbol unknown to the language is a phrase by itself and leads back to the root
+        self.first = np.zeros((len(self.languages), self.n_symbols), np.int32)
+        for k, x in enumerate(self.languages):
+            nxt, _ = suffix_automaton(self.symbol_of[_code_points(samples[x])].tolist())
+            self.roots.append(begin)
+            self.first[k] = _PHRASE + begin
+            for c, q in nxt[0].items():
+                self.first[k, c] = _PHRASE + begin + q
+            # the root has no arcs in the table: the first step from it begins a phrase
+            arcs = [(state, c, q) for state, out in enumerate(nxt[1:], 1) for c, q in out.items()]
+            if arcs:
+                a = np.array(arcs, np.int64)
+                keys.append((a[:, 0] + begin) * self.n_symbols + a[:, 1])
+                to.append((a[:, 2] + begin).astype(np.int32))
+            begin += len(nxt)
+        self.arcs = Arcs(np.concatenate(keys), np.concatenate(to))
+        self.roots = np.array(self.roots, np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
-        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return np.where(cps < 0x3000, self.low[np.minimum(cps, 0x2FFF)], self.n_symbols - 1)
+        return self.symbol_of[_code_points(text)]
 
-    def phrases(self, texts: list[str], block: int = 512) -> np.ndarray:
-        """Phrases of each text against each language, one row for each text."""
-        n_lang, owner, rows = len(self.languages), [], []
+    def _step(self, state: np.ndarray, symbol: np.ndarray, language: np.ndarray) -> np.ndarray:
+        to = self.arcs.find(state * np.int64(self.n_symbols) + symbol)
+        return np.where(to >= 0, to, self.first[language, symbol])
+
+    def phrases(self, texts: list[str], block: int = 1024, room: int = 12_000_000) -> np.ndarray:
+        """Phrases of each text against each language, one row for each text; `room` bounds the states held at once."""
+        out, lanes = np.zeros((len(texts), len(self.languages)), np.int64), []
         for i, text in enumerate(texts):
             s = self.symbols(text)
-            for at in range(0, len(s), block):
-                owner.append(i)
-                rows.append(s[at : at + block])
-        out = np.zeros((len(texts), n_lang), np.int64)
-        if not rows:
-            return out
-        order = sorted(range(len(rows)), key=lambda k: -len(rows[k]))
-        lengths = np.array([len(rows[k]) for k in order])
-        grid = np.zeros((block, len(rows)), np.int32)
-        for lane, k in enumerate(order):
-            grid[: len(rows[k]), lane] = rows[k]
-        state, count = np.zeros((n_lang, len(rows)), np.int32), np.zeros((n_lang, len(rows)), np.int32)
-        base = self.offsets[:, None]
-        for t in range(int(lengths[0])):
-            live = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
-            to = self.steps[base + state[:, :live] * np.int64(self.n_symbols) + grid[t, :live]]
-            count[:, :live] += to >= _PHRASE
-            state[:, :live] = to & (_PHRASE - 1)
-        np.add.at(out, np.array(owner)[order], count.T)
+            lanes += [(i, s[at : at + block]) for at in range(0, len(s), block)]
+        most = max(1, room // (block * max(1, len(self.languages))))
+        end = None
+        for at in range(0, len(lanes), most):
+            part = lanes[at : at + most]
+            owner = np.array([i for i, _ in part])
+            entry = end if at and lanes[at - 1][0] == owner[0] else self.roots
+            count, end = self._parse([s for _, s in part], np.append(False, owner[1:] == owner[:-1]), entry)
+            np.add.at(out, owner, count.T)
         return out
 
+    def _parse(self, lanes: list[np.ndarray], follows: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases (language, lane) and the states at the end of the last lane. Lane 0 is entered in the states `entry`;
+        where follows[i], lane i goes on where lane i-1 ends; other lanes are entered at the roots."""
+        n_lang, n = len(self.languages), len(lanes)
+        lengths = np.array([len(s) for s in lanes])
+        order = np.argsort(-lengths, kind="stable")
+        grid = np.zeros((lengths.max(), n), np.int32)
+        for i, s in enumerate(lanes):
+            grid[: len(s), i] = s
+        states = np.zeros((len(grid), n_lang, n), np.int32)  # after each step, with its mark
+        used = np.repeat(self.roots[:, None], n, 1)
+        used[:, 0] = entry
+        state, language = used[:, order].copy(), np.arange(n_lang)[:, None]
+        for t in range(len(grid)):
+            live = int(np.searchsorted(-lengths[order], -t, side="left"))  # lanes longer than t
+            to = self._step(state[:, :live].ravel(), np.tile(grid[t, order[:live]], n_lang), np.repeat(language.ravel(), live)).reshape(n_lang, live)
+            states[t][:, order[:live]] = to
+            state[:, :live] = to & (_PHRASE - 1)
+        last = lambda: states[lengths - 1, :, np.arange(n)].T & (_PHRASE - 1)
+        while True:
+            due = used.copy()
+            due[:, 1:] = np.where(follows[1:], last()[:, :-1], used[:, 1:])
+            which, lane = np.nonzero(due != used)
+            if not len(lane):
+                break
+            used, now, t = due, due[which, lane], 0
+            while len(lane):
+                to = self._step(now, grid[t, lane], which)
+                before, states[t, which, lane] = states[t, which, lane], to
+                t += 1
+                on = ((to ^ before) & (_PHRASE - 1) != 0) & (lengths[lane] > t)
+                which, lane, now = which[on], lane[on], to[on] & (_PHRASE - 1)
+        return (states >= _PHRASE).sum(0), last()[:, -1]
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) for each text; score is the share that the runner-up's phrases exceed the winner's by."""
         use = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
@@ -136,28 +211,29 @@ class Parser:
         return found
 
 
-def learn(docs: DataFrame, rows: int = 48, chars: int = 40_000, total: int = 2_000_000) -> Parser:
+def learn(docs: DataFrame, rows: int = 48, chars: int = 40_000, total: int = 1_000_000) -> Parser:
     """Parser from a bounded sample of the labelled rows of docs (doc_id, text, lang)."""
-    known = docs.where("lang is not null and text is not null").select("lang", "doc_id", F.length("text").alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where("n > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).select("doc_id", "r").collect()
-    rank = docs.sparkSession.createDataFrame([(r["doc_id"], r["r"]) for r in ids], "doc_id long, r int").dropDuplicates(["doc_id"])
-    cut = F.substring("text", 1, chars)  # one text never fills more than the language's share
-    texts = docs.where("lang is not null").join(F.broadcast(rank), "doc_id").select("lang", "r", "doc_id", cut.alias("text")).dropDuplicates(["lang", "doc_id"]).collect()
-    by: dict[str, dict[str, None]] = {}
-    for r in sorted(texts, key=lambda r: (r["r"], r["doc_id"], r["text"])):
-        by.setdefault(r["lang"], {})[r["text"]] = None
-    share = min(chars, total // max(1, len(by)))
-    return Parser({lang: _fill(list(t), share) for lang, t in by.items()})
-
-
-def _fill(texts: list[str], share: int) -> str:
-    """Texts in turn, each up to twice its even part, until the share is used."""
-    out, left, part = [], share, max(200, 2 * share // max(1, len(texts)))
-    for t in texts:
-        out.append(t[: min(part, left)])
-        left -= len(out[-1])
-    return "\n".join(out)
+    known = docs.where("lang is not null and text is not null").select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.length("text").alias("n")).where("n > 0")
+    order = F.struct(F.xxhash64("doc_id").alias("o"), "doc_id", "h")
+    shortest = known.groupBy("lang").agg(F.min(F.struct("n", order.alias("key"))).alias("s")).collect()
+    share = min(chars, total // max(1, len(shortest)))
+    w = Window.partitionBy("lang").orderBy(order)
+    first = known.where(F.col("n") <= share).withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).collect()
+    chosen = {(r["lang"], r["s"]["key"]["doc_id"], r["s"]["key"]["h"]): 0 for r in shortest if r["s"]["n"] > share}
+    used: dict[str, tuple[int, set]] = {}
+    for r in sorted(first, key=lambda r: r["r"]):
+        size, seen = used.setdefault(r["lang"], (0, set()))
+        if r["h"] not in seen and size + r["n"] <= share:
+            chosen[r["lang"], r["doc_id"], r["h"]] = r["r"]
+            used[r["lang"]] = (size + r["n"], seen | {r["h"]})
+    picked = docs.sparkSession.createDataFrame([(*k, r) for k, r in chosen.items()], "p_lang string, p_doc long, p_h long, r int")
+    # at most `rows` rows for each language
+    on = (F.col("lang") == F.col("p_lang")) & F.col("doc_id").cast("long").eqNullSafe(F.col("p_doc")) & (F.xxhash64("text") == F.col("p_h"))
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), on).groupBy("p_lang", "r").agg(F.min("text").alias("text")).collect()
+    by: dict[str, list[str]] = {}
+    for r in sorted(texts, key=lambda r: r["r"]):
+        by.setdefault(r["p_lang"], []).append(r["text"])
+    return Parser({lang: "\n".join(t) for lang, t in by.items()})
 
 
 def identify(docs: DataFrame, parser: Parser) -> DataFrame:
@@ -169,7 +245,7 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
         return [cols[0], [x for x, _ in found], [s for _, s in found]]
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(source, run, "doc_id long, lang_pred string, score double", max_rows=1024, max_bytes=2 << 20)
+    return map_batches(source, run, "doc_id long, lang_pred string, score double", max_rows=2048, max_bytes=4 << 20)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,11 @@ left to right carries the state and adds up logarithms.
 
 The whole automaton grows with the corpus, so no worker holds it. Texts fall into blocks of about `block_bytes`; a block
 needs the states and arcs of its own words and pairs only, which are known from its texts. Every block counts them in its
-training texts and sends (key, block, count), once for each distinct word or pair; a window over the key adds the blocks
-up, and what a block could not know (the count in other blocks) goes back to it. There the block's part of the automaton
-is put together and its texts are traversed. Nothing is cut: each count is that of the whole training corpus. A key has at
-most one row a block, so frequent words make no hot task. Words and pairs are keyed by 64-bit hashes.
+training texts and sends them, each distinct word or pair once, as sorted lists to ranges of the key space; a range adds
+the blocks up, and what a block could not know (the count in other blocks) goes back to it. There the block's part of the
+automaton is put together and its texts are traversed. Nothing is cut: each count is that of the whole training corpus. A
+block has each key at most once, and there are as many ranges as blocks, so frequent words make no hot task. Words and
+pairs are keyed by 64-bit hashes.
 
 Cases: null and empty texts are one end token; with no training text N and V are 0 and every token has probability 1;
 a null doc_id counts as empty text in the crc; repeated rows give one result each; other columns are ignored.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -46,19 +47,18 @@ def word_keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         w = tokens(t)
         keys.append(np.fromiter(map(xxh3_64_intdigest, w), _U, len(w)))
         begins.append(begins[-1] + len(w))
-    return (np.concatenate(keys) if keys else np.zeros(0, _U)).view(np.int64), np.array(begins)
+    return (np.concatenate(keys) if keys else np.zeros(0, _U)), np.array(begins)
 
 
 def pair_keys(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Key of the pair that ends at each token; 0 for the first token of a text."""
-    w = words.view(_U)
-    out = np.zeros(len(w), _U)
+    w, out = words, np.zeros(len(words), _U)
     a = w[:-1] * _U(0x9E3779B97F4A7C15)
     h = (a ^ (a >> _U(29))) * _U(0xBF58476D1CE4E5B9) + w[1:]
     h *= _U(0x94D049BB133111EB)
     out[1:] = h ^ (h >> _U(31))
     out[begins[:-1]] = 0
-    return out.view(np.int64)
+    return out
 
 
 def corpus_size(docs: DataFrame, flush: int = 4_000_000) -> tuple[int, int]:
@@ -83,24 +83,21 @@ def corpus_size(docs: DataFrame, flush: int = 4_000_000) -> tuple[int, int]:
 
 def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
     keys, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
 class Automaton:
     """The states and arcs that a block of texts can meet. Keys are sorted; `count` is the whole corpus's count of a word
-    or pair. A state is the place of its word in `keys`, the empty history is -1."""
+    or pair; a word with a count is a state."""
 
     def __init__(self, keys: np.ndarray, count: np.ndarray, total: int, kinds: int, prior: float = PRIOR):
         self.keys, self.count, self.prior = keys, count, prior
         self.denominator = total + 0.5 * (kinds + 1) if total else 0.5
 
-    def place(self, keys: np.ndarray) -> np.ndarray:
-        return np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-
     def counts(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(keys), np.int64)
-        at = self.place(keys)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.count[at], 0)
 
     def traverse(self, words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,12 +116,29 @@ class Automaton:
         return np.log10(path), np.log10(root), n
 
 
-def _blocked(docs: DataFrame, training: Column, block_bytes: int) -> DataFrame:
-    """block, doc_id, text, train: rows dealt over blocks by their place, so that equal rows are dealt as well."""
+def _blocked(docs: DataFrame, training: Column, block_bytes: int) -> tuple[DataFrame, int]:
+    """(block, doc_id, text, train; number of blocks): rows dealt by their place, so that equal rows are dealt as well."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    return rows.select(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text", "train")
+    return rows.select(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text", "train"), blocks
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit numbers as eight runs of bytes, lowest first, so that the shuffle's compression leaves small ones short."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(_U).ravel()
+
+
+def _lists(group: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+    """One row for each run of equal values in group: the value, the run's ascending keys as differences, and its counts."""
+    at = np.flatnonzero(np.diff(group, prepend=-1))
+    ends = np.append(at[1:], len(group))
+    first = [_pack(np.diff(keys[i:j], prepend=_U(0))) for i, j in zip(at, ends)]
+    return group[at].tolist(), first, [_pack(n[i:j]) for i, j in zip(at, ends)]
 
 
 def _own_counts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,15 +163,28 @@ def score(docs: DataFrame, training: Column, prior: float = PRIOR, block_bytes:
     """(doc_id, train, n_tokens, n_known, base_score, score for every row of docs; N). The rows where `training` holds
     are learned from."""
     total, kinds = corpus_size(docs.where(training))
-    blocks = _blocked(docs, training, block_bytes)
+    blocks, ranges = _blocked(docs, training, block_bytes)
 
     def ask(t: pa.Table) -> pa.Table:
         _, _, keys, n = _own_counts(t)
-        return pa.table([pa.array(keys), pa.array(np.full(len(keys), t["block"][0].as_py(), np.int32)), pa.array(n.astype(np.int32))], ["key", "block", "n"])
-
-    asked = blocks.groupBy("block").applyInArrow(ask, "key long, block int, n int")
-    whole = asked.withColumn("others", F.sum("n").over(Window.partitionBy("key")) - F.col("n"))
-    replies = whole.where("others > 0").select("block", "key", "others")
+        part, lists, counts = _lists(((keys >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64), keys, n)
+        return pa.table([pa.array(part, pa.int64()), pa.array([t["block"][0].as_py()] * len(part), pa.int32()), pa.array(lists, pa.binary()), pa.array(counts, pa.binary())], ["part", "block", "keys", "counts"])
+
+    def add_up(t: pa.Table) -> pa.Table:
+        lists, counts = [np.cumsum(_unpack(k), dtype=_U) for k in t["keys"].to_pylist()], [_unpack(c).view(np.int64) for c in t["counts"].to_pylist()]
+        keys, n = np.concatenate(lists), np.concatenate(counts)
+        block = np.repeat(np.asarray(t["block"], np.int64), [len(x) for x in lists])
+        order = np.argsort(keys, kind="stable")
+        begins = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] ^ _U(1)))
+        whole = np.empty(len(keys), np.int64)
+        whole[order] = np.repeat(np.add.reduceat(n[order], begins), np.diff(np.append(begins, len(keys))))
+        others = whole - n
+        keep = others > 0  # lists stay in the order of blocks and keys
+        back, lists, counts = _lists(block[keep], keys[keep], others[keep])
+        return pa.table([pa.array(back, pa.int32()), pa.array(lists, pa.binary()), pa.array(counts, pa.binary())], ["block", "keys", "others"])
+
+    asked = blocks.groupBy("block").applyInArrow(ask, "part long, block int, keys binary, counts binary")
+    replies = asked.groupBy("part").applyInArrow(add_up, "block int, keys binary, others binary")
 
     def read(texts: pa.Table, more: pa.Table) -> pa.Table:
         names = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"]
@@ -165,7 +192,8 @@ def score(docs: DataFrame, training: Column, prior: float = PRIOR, block_bytes:
         if not texts.num_rows:
             return pa.table([pa.array([], k) for k in kinds_], names)
         words, begins, keys, n = _own_counts(texts)
-        n[np.searchsorted(keys, np.asarray(more["key"]))] += np.asarray(more["others"])
+        for k, c in zip(more["keys"].to_pylist(), more["others"].to_pylist()):
+            n[np.searchsorted(keys, np.cumsum(_unpack(k), dtype=_U))] += _unpack(c).view(np.int64)
         path, root, known = Automaton(keys, n, total, kinds, prior).traverse(words, begins)
         sums = lambda x: np.add.reduceat(x, begins[:-1])
         out = [texts["doc_id"], texts["train"], np.diff(begins), sums((known > 0).astype(np.int64)), sums(root) if total else np.zeros(texts.num_rows), sums(path) if total else np.zeros(texts.num_rows)]
