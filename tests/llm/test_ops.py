@@ -360,6 +360,63 @@ def test_url_parts_and_rules(spark):
     assert {r.verdict for r in urls.filter_urls(pages, labelled.limit(0)).where("rule is null").collect()} == {"allow"}
 
 
+def rules_by_counting(baskets, min_support, min_lift, min_z):
+    """(items, verdict) of all rules, by counting every combination of items of every basket."""
+    from itertools import combinations
+
+    both, alone, total = Counter(), Counter(), len(baskets)
+    share = Counter(v for _, v in baskets)
+    for items, v in baskets:
+        for k in range(1, len(items) + 1):
+            for c in combinations(sorted(items), k):
+                alone[c] += 1
+                both[c, v] += 1
+    found = {}
+    for (c, v), n in both.items():
+        conf, base = n / alone[c], share[v] / total
+        if n >= math.ceil(min_support * total) and conf >= min_lift * base and (conf - base) * math.sqrt(alone[c] / (base * (1 - base))) >= min_z:
+            found[c, v] = conf
+    return {(c, v): conf / (share[v] / total) for (c, v), conf in found.items() if not any(w == v and set(d) < set(c) and found[d, w] >= conf for d, w in found)}
+
+
+def labelled_urls(rng, n):
+    """URLs whose path word spam goes with block, and on the host other more so."""
+    out = []
+    for i in range(n):
+        host, word = rng.choice(["fair", "some", "other"]), rng.choice(["spam", "news", "blog"])
+        bad = rng.random() < ((0.95 if host == "other" else 0.8) if word == "spam" else 0.1)
+        out.append((f"http{rng.choice(['', 's'])}://{host}.example.info/{word}/{i}?a=1&b=2", "block" if bad else "allow"))
+    return out
+
+
+def test_url_rules_equal_counting_and_flip_held_out_verdicts(spark):
+    rng = random.Random(31)
+    train, held = labelled_urls(rng, 900), labelled_urls(rng, 600)
+    frame = spark.createDataFrame(train, "url string, verdict string")
+    rules, groups = urls.mine(frame, min_support=0.02)
+    item = {r["token"]: r["item"] for r in groups.collect()}
+    assert item["key:a"] == item["key:b"]  # they stand in the same URLs
+    tokens = frame.select(urls.url_tokens(frame["url"]).alias("t"), "verdict").collect()
+    want = rules_by_counting([({item[t] for t in r["t"] if t in item}, r["verdict"]) for r in tokens], 0.02, 1.2, 4.0)
+    got = {(tuple(sorted(r["items"])), r["verdict"]): r["lift"] for r in rules.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+    found = {r.page_id: (r.verdict, r.mined_rule) for r in urls.filter_urls(pages, frame, listed=[("nowhere", "/", "block")], min_support=0.02).collect()}
+    for i, (u, _) in enumerate(held):
+        assert found[i][0] == ("block" if "/spam/" in u else "allow"), u
+        basket = {item[t] for t in spark_tokens(u) if t in item}
+        fits = [(want[c, v], v) for c, v in want if set(c) <= basket]
+        assert found[i][0] == (max(fits)[1] if fits else "allow")
+    assert np.mean([found[i][0] == v for i, (_, v) in enumerate(held)]) > 0.8
+
+
+def spark_tokens(url):
+    """url_tokens of the labelled test URLs, in Python."""
+    scheme, rest = url.split("://")
+    host, word = rest.split("/")[0], rest.split("/")[1]
+    return {f"scheme:{scheme}", "tld:info", "key:a", "key:b", f"path:{word}", *(f"host:{h}" for h in host.split("."))}
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(11)
     rows = [(i, prose(rng, 80, 3000), "en", rng.choice("abc")) for i in range(80)]
