@@ -256,7 +256,7 @@ def test_neighbours_recall_and_cases(spark):
     rows += [(5000 + i, rows[100][1]) for i in range(30)] + [(6000, None), (6001, [0.0] * 16), (6002, [float("nan")] * 16), (6003, [1.0, None] * 8), (6004, [1.0] * 3), (0, rows[0][1]), (100, rows[100][1])]
     df = spark.createDataFrame([(i, e, 1, "q") for i, e in rows], "vec_id long, embedding array<float>, rank int, shard string")
     got = {}
-    for r in neighbours.nearest(df, df.where("vec_id % 100 = 0"), shard=1000, least=150, block=10).collect():
+    for r in neighbours.nearest(df, df.where("vec_id % 100 = 0"), shard=1000, block=10).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     ok = {i: np.array(e, float) for i, e in rows if e and len(e) == 16 and None not in e and np.isfinite(e).all() and np.any(e)}
     hits = []
@@ -274,6 +274,25 @@ def test_neighbours_recall_and_cases(spark):
     assert [(r.rank, r.vec_id) for r in sorted(few, key=lambda r: r.rank)] and len(few) == 2
 
 
+def test_neighbours_meet_few_entries(spark):
+    """Recall and the share of entries that are compared, at two sizes of evenly spread and of clustered vectors."""
+    rng = np.random.default_rng(8)
+    for n, clusters in ((2500, 0), (8000, 0), (8000, 40)):
+        x = rng.standard_normal((n, 32)) + (rng.standard_normal((clusters, 32)) * 3)[rng.integers(0, clusters, n)] if clusters else rng.standard_normal((n, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        forest = neighbours.Forest(x[:1000])
+        shard = neighbours.Shard.unpack(32, neighbours.Shard.build(forest, np.arange(n), x, 11).pack())
+        q = np.arange(0, n, n // 50)
+        enough = max(200, int(0.08 * n))
+        assert all(len(c) == enough for c in shard.met(forest.strings(x[q]), enough))
+        found = {}
+        for i, v, d in shard.search(q, x[q], forest.strings(x[q]), 10, enough):
+            found.setdefault(i, set()).add(v)
+            assert d == float(np.sqrt(((x[i] - x[v]) ** 2).sum()))
+        exact = [set(np.argsort(np.where(np.arange(n) == i, 9, ((x - x[i]) ** 2).sum(1)))[:10].tolist()) for i in q]
+        assert np.mean([len(found[i] & e) / 10 for i, e in zip(q.tolist(), exact)]) >= 0.9, (n, clusters)
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 

@@ -1,17 +1,18 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
-A tree is a sorted array of long hash strings (24 bits; a character is a cross-polytope hash, the nearest signed axis
-after a random rotation about the mean of a bounded sample). A query descends in every tree to its longest-prefix match;
-then all trees ascend together, one character at a time, and everything that shares the shorter prefix becomes a
-candidate, until enough candidates are together. Candidates are compared exactly.
+A tree is a sorted array of hash strings. The characters of a string are the axes that a randomly rotated vector lies
+nearest to, the nearest first, each with its sign (cross-polytope hashing about the mean of a bounded sample). A query
+descends in every tree to its longest-prefix match; then all trees ascend together, one character at a time, and every
+entry of the shorter prefix is met, until `share` of a shard (at least `least`) has been met. Of those met, that many with
+the most characters in common over all trees are compared exactly.
 
-Every valid vector is indexed. The index is cut by hash of vec_id into shards of about `shard` vectors, each with a
-forest of its own; queries, in blocks of `block`, visit every shard, and the best of all shards are merged. A query
-ascends until `least` candidates of a shard are together; what recall that gives depends on the vectors (here they are
-spread almost evenly over a sphere, so the trees are many), and a shard of few vectors is compared whole. Equal vectors are one entry of a tree with their smallest ids, so copies cost nothing.
+Every valid vector is indexed: shards of about `shard` vectors, dealt by hash of vec_id, are built once and written, each
+with the sorted arrays of all trees. Queries come in blocks of at most `block`, which are broadcast and look up their own
+prefixes in each shard; the index is not shuffled again, and of every task only the k best of a query go on. Equal
+vectors of a shard are one entry of a tree with their smallest ids, so copies cost nothing.
 
 Cases: vectors null, zero or with null or non-finite components take no part; vectors of another length than the query's
-are no candidates; ties go to the smaller vec_id; fewer candidates than k give fewer rows; equal ids are equal rows and
+are no candidates; ties go to the smaller vec_id; fewer candidates than k give fewer rows; equal rows count once and
 never answer each other; an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,108 +23,156 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
-LENGTH = 3
+LENGTH = 4
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, embedding (array<double>), dim of the rows that take part."""
+    """vec_id, embedding (array<double>), dim of the rows that take part, equal rows once."""
     e = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return e.where(finite & F.exists("embedding", lambda x: x != 0)).withColumn("dim", F.size("embedding"))
+    return e.where(finite & F.exists("embedding", lambda x: x != 0)).distinct().withColumn("dim", F.size("embedding"))
 
 
 class Forest:
-    """Centre and rotations of every tree, for one vector length. A character of a hash string is the axis that a randomly
-    rotated vector lies nearest to, with its sign (cross-polytope hashing); a string has LENGTH characters of 8 bits."""
+    """Centre and rotation of every tree, for one vector length of at most 128 rotated axes."""
 
-    def __init__(self, sample: np.ndarray, trees: int = 56, seed: int = 9):
+    def __init__(self, sample: np.ndarray, trees: int = 128, seed: int = 9):
         rng, dim = np.random.default_rng(seed), sample.shape[1]
         self.centre = sample.mean(0)
-        turn = lambda: np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :64]
-        self.rotations = np.stack([np.stack([turn() for _ in range(LENGTH)]) for _ in range(trees)]).astype(np.float32)
+        self.rotations = np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :128] for _ in range(trees)]).astype(np.float32)
 
     def strings(self, x: np.ndarray) -> np.ndarray:
-        """Hash strings of the vectors as numbers whose first character is the highest: one row a tree."""
+        """Hash strings of the vectors as numbers whose first character is the highest byte: one row a tree."""
         x, out = (x - self.centre).astype(np.float32), np.zeros((len(self.rotations), len(x)), np.uint32)
         rows = np.arange(len(x))
-        for t, tree in enumerate(self.rotations):
-            for turn in tree:
-                y = x @ turn
-                axis = np.abs(y).argmax(1)
+        for t, turn in enumerate(self.rotations):
+            y = x @ turn
+            size = np.abs(y)
+            for _ in range(LENGTH):
+                axis = size.argmax(1)
                 out[t] = out[t] << np.uint32(8) | (axis * 2 + (y[rows, axis] > 0)).astype(np.uint32)
+                size[rows, axis] = -1
         return out
 
 
-def forest_search(forest: Forest, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, least: int) -> list[tuple[int, int, float]]:
-    """(query, vec_id, distance) of up to k nearest found candidates for each query."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], np.ascontiguousarray(x[order])
-    _, first, entry = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    by_entry = np.argsort(entry, kind="stable")  # ids ascend inside an entry
-    begin = np.searchsorted(entry[by_entry], np.arange(len(first) + 1))
-    points = x[first]
-    keys = forest.strings(points)
-    sorted_at = np.argsort(keys, axis=1, kind="stable")
-    arrays = np.take_along_axis(keys, sorted_at, 1)
-    out = []
-    for q_id, v, own in zip(q_ids, q, forest.strings(q).T):
-        candidates = _ascend(arrays, sorted_at, own, least)
-        d = np.sqrt(((points[candidates] - v) ** 2).sum(1))
-        if len(d) > k + 1:
-            near = np.partition(d, k)[k]  # the query itself may be among them
-            candidates, d = candidates[d <= near], d[d <= near]
-        found = []
-        for c, dist in zip(candidates, d):
-            members = ids[by_entry[begin[c] : begin[c + 1]]]
-            members = np.unique(members[: np.searchsorted(members, q_id, "right") + k + 1] if len(members) > 4 * k else members)
-            found += [(float(dist), int(i)) for i in members[members != q_id][:k]]
-        out += [(int(q_id), i, dist) for dist, i in sorted(found)[:k]]
-    return out
-
-
-def _ascend(arrays: np.ndarray, sorted_at: np.ndarray, own: np.ndarray, enough: int) -> np.ndarray:
-    """Entries sharing the longest prefixes with the query's strings: from whole strings, all trees ascend together by one
-    character until enough are found; the empty prefix is shared by all."""
-    for length in range(LENGTH, 0, -1):
-        rest = np.uint32((1 << 8 * (LENGTH - length)) - 1)
-        parts = []
-        for a, at, s in zip(arrays, sorted_at, own):
-            parts.append(at[np.searchsorted(a, s & ~rest, "left") : np.searchsorted(a, s | rest, "right")])
-        found = np.unique(np.concatenate(parts))
-        if len(found) >= enough:
-            return found
-    return np.arange(arrays.shape[1])
-
-
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, trees: int = 56, least: int = 500, shard: int = 20_000, block: int = 4096, sample: int = 4000) -> DataFrame:
+class Shard:
+    """Entries (distinct vectors, each with its smallest ids) and, for every tree, their strings in order."""
+
+    NAMES = ("ids", "begin", "points", "strings", "order")
+    KINDS = (np.int64, np.int64, np.float64, np.uint32, np.int32)
+
+    def __init__(self, ids: np.ndarray, begin: np.ndarray, points: np.ndarray, strings: np.ndarray, order: np.ndarray):
+        self.ids, self.begin, self.points, self.strings, self.order = ids, begin, points, strings, order
+
+    @classmethod
+    def build(cls, forest: Forest, ids: np.ndarray, x: np.ndarray, most: int) -> Shard:
+        """`most` ids are kept for each distinct vector: k nearest and the query itself."""
+        at = np.lexsort((ids, *x.T[::-1]))
+        new = np.append(True, (x[at][1:] != x[at][:-1]).any(1))
+        first = np.flatnonzero(new)
+        rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        keep = rank < most
+        begin = np.append(np.flatnonzero(new[keep]), keep.sum())
+        points = np.ascontiguousarray(x[at[first]])
+        strings = forest.strings(points)
+        order = np.argsort(strings, axis=1, kind="stable")
+        return cls(ids[at[keep]], begin, points, np.take_along_axis(strings, order, 1), order)
+
+    def pack(self) -> list[bytes]:
+        return [np.ascontiguousarray(getattr(self, n), k).tobytes() for n, k in zip(self.NAMES, self.KINDS)]
+
+    @classmethod
+    def unpack(cls, dim: int, data: list[bytes]) -> Shard:
+        ids, begin, points, strings, order = (np.frombuffer(d, k) for d, k in zip(data, cls.KINDS))
+        n = len(points) // dim
+        return cls(ids, begin, points.reshape(n, dim), strings.reshape(-1, n), order.reshape(-1, n))
+
+    def met(self, own: np.ndarray, enough: int):
+        """For each query (column of own: its strings), the `enough` entries met first and most often."""
+        trees, n = self.strings.shape
+        enough = min(enough, n)
+        levels = []
+        for length in range(LENGTH, 0, -1):
+            rest = np.uint32((1 << 8 * (LENGTH - length)) - 1)
+            low = np.stack([np.searchsorted(a, s & ~rest, "left") for a, s in zip(self.strings, own)])
+            high = np.stack([np.searchsorted(a, s | rest, "right") for a, s in zip(self.strings, own)])
+            levels.append((low, high - low))
+        flat = self.order.ravel()
+        for q in range(own.shape[1]):
+            common = np.zeros(n, np.int32)
+            for low, size in levels:
+                m = size[:, q]
+                base = np.repeat(np.arange(trees) * n + low[:, q] - np.append(0, np.cumsum(m)[:-1]), m)
+                common += np.bincount(flat[base + np.arange(len(base))], minlength=n)
+                if np.count_nonzero(common) >= enough:
+                    break
+            yield np.sort(np.argpartition(-common, enough - 1)[:enough]) if enough < n else np.arange(n)
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, enough: int):
+        """(query, vec_id, distance) of the k nearest entries met, for each query."""
+        for q_id, v, candidates in zip(q_ids, q, self.met(own, enough)):
+            d = np.sqrt(((self.points[candidates] - v) ** 2).sum(1))
+            if len(d) > k + 1:  # the query itself may be among them
+                near = d <= np.partition(d, k)[k]
+                candidates, d = candidates[near], d[near]
+            found = [(x, i) for c, x in zip(candidates, d.tolist()) for i in self.ids[self.begin[c] : self.begin[c + 1]].tolist() if i != q_id]
+            yield from ((int(q_id), i, x) for x, i in sorted(set(found))[:k])
+
+
+_INDEX = "dim int, shard int, ids binary, begin binary, points binary, strings binary, order binary"
+
+
+def build_index(rows: DataFrame, forests: dict[int, Forest], counts: dict[int, int], k: int, shard: int) -> DataFrame:
+    """One row for each shard, written once; rows: valid vectors of the lengths in counts."""
+    shared = rows.sparkSession.sparkContext.broadcast(forests)
+    shards = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, -(-n // shard))])
+    dealt = rows.select("vec_id", "embedding", "dim", F.pmod(F.xxhash64("vec_id"), shards[F.col("dim")]).cast("int").alias("shard"))
+
+    def build(t: pa.Table) -> pa.Table:
+        dim, part = t["dim"][0].as_py(), t["shard"][0].as_py()
+        x = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        data = Shard.build(shared.value[dim], np.asarray(t["vec_id"]), x, k + 1).pack()
+        return pa.table([pa.array([dim], pa.int32()), pa.array([part], pa.int32()), *(pa.array([d], pa.binary()) for d in data)], ["dim", "shard", *Shard.NAMES])
+
+    return stash(dealt.groupBy("dim", "shard").applyInArrow(build, _INDEX))
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, trees: int = 128, share: float = 0.08, least: int = 200, shard: int = 8192, block: int = 20_000, sample: int = 4000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found rows for each query (frames of vec_id, embedding)."""
     spark = rows.sparkSession
-    base, asked = valid_vectors(rows), valid_vectors(queries)
+    asked = stash(valid_vectors(queries))
+    wanted = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    base = valid_vectors(rows).where(F.col("dim").isin(list(wanted)))
     counts = {r["dim"]: r["n"] for r in base.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = "query_id long, vec_id long, score double"
+    found = spark.createDataFrame([], out)
     forests = {}
     for dim in counts:
         picked = base.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "embedding").collect()
-        forests[dim] = Forest(np.array([r["embedding"] for r in sorted(picked, key=lambda r: r["vec_id"])], float), trees)
-    shared = spark.sparkContext.broadcast(forests)
-    shards = max(1, -(-max(counts.values(), default=1) // shard))
-    blocks = max(1, -(-asked.count() // block))
-    cell = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    left = base.select("vec_id", "embedding", "dim", cell.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-    right = asked.select("vec_id", "embedding", "dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), part.alias("part"))
-    key = ["dim", "shard", "part"]
-
-    def run(index: pa.Table, query: pa.Table) -> pa.Table:
-        found = []
-        if index.num_rows and query.num_rows:
-            dim = index["dim"][0].as_py()
-            unpack = lambda t: (np.asarray(t["vec_id"]), t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            found = forest_search(shared.value[dim], *unpack(index), *unpack(query), k, least)
-        return pa.table([pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    found = left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, "query_id long, vec_id long, score double").distinct()
+        forests[dim] = Forest(np.array([r["embedding"] for r in sorted(picked, key=lambda r: (r["vec_id"], r["embedding"]))], float), trees)
+    if counts:
+        index = build_index(base, forests, counts, k, shard)
+    for dim in counts:
+        pieces = -(-wanted[dim] // block)
+        for piece in range(pieces):
+            # about `block` queries at a time
+            part = asked.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(pieces)) == piece)).select("vec_id", "embedding").collect()
+            if not part:
+                continue
+            q = np.array([r["embedding"] for r in part], float)
+            shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in part], np.int64), q, forests[dim].strings(q)))
+
+            def look(batches, dim=dim, shared=shared):
+                for batch in batches:
+                    for row in range(batch.num_rows):
+                        s = Shard.unpack(dim, [batch.column(c)[row].as_py() for c in range(len(Shard.NAMES))])
+                        hits = list(s.search(*shared.value, k, max(least, k + 1, int(share * len(s.points)))))
+                        columns = list(zip(*hits)) or [(), (), ()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+            found = found.unionByName(index.where(F.col("dim") == dim).select(*Shard.NAMES).mapInArrow(look, out))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
