@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after . ! ? and white space, and at line ends); a sentence of more than 24 words is cut
-further after words chosen by their hash, so equal passages are cut alike wherever they stand. From every sentence a
-span runs on until it has at least 3 sentences and 20 words, or 50 words. Spans are hashed (lower case, single spaces)
+A text is cut into sentences (after . ! ? and white space, after 。！？, and at line ends); a sentence of more than 16 words
+is cut further after the words of least hash in every window of 8 (winnowing), so that equal passages are cut alike wherever
+they stand and no piece is longer than 8 words. Characters of scripts without spaces count as words. From every sentence a
+span runs on until it has at least 3 sentences and 20 words. Spans are hashed (lower case, single spaces)
 and joined globally by hash: the occurrence with the smallest (doc_id, place) is the first; sentences covered by any
 other occurrence are removed.
 
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, stash, table
 
-_BREAK = re.compile(r"[.!?]+\s+|\n+")
-_WORD = re.compile(r"\S+\s*")
+_BREAK = re.compile(r"(?<![.!?])[.!?]+\s+|[。！？]+\s*|\n+")
+#: Scripts without spaces: Thai, kana, Han, Hangul syllables.
+_WIDE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
+_WORD = re.compile(rf"[{_WIDE}]\s*|[^\s{_WIDE}]+\s*")
 
 
-def sentences(text: str, long: int = 24) -> list[str]:
+def sentences(text: str, long: int = 16) -> list[str]:
     """Pieces that put together are the text."""
     out, at = [], 0
     for m in _BREAK.finditer(text):
@@ -36,33 +39,41 @@ def sentences(text: str, long: int = 24) -> list[str]:
     return out
 
 
-def _pieces(sentence: str, long: int) -> list[str]:
-    if len(sentence) < 2 * long or len(sentence.split()) <= long:
+def count_words(s: str) -> int:
+    return len(s.split()) if s.isascii() else len(_WORD.findall(s))
+
+
+def _pieces(sentence: str, long: int, window: int = 8) -> list[str]:
+    if count_words(sentence) <= long:
         return [sentence]
-    out, at = [], 0
-    for m in _WORD.finditer(sentence):
-        if crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) % 8 == 0:
-            out.append(sentence[at : m.end()])
-            at = m.end()
+    words = list(_WORD.finditer(sentence))
+    h = [crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) for m in words]
+    out, at, last = [], 0, -1
+    for end in range(window, len(h) + 1):
+        low = min(h[end - window : end])
+        if last < end - window or h[last] > low:
+            last = max(i for i in range(end - window, end) if h[i] == low)
+            out.append(sentence[at : words[last].end()])
+            at = words[last].end()
     return out + [sentence[at:]] if at < len(sentence) else out
 
 
-def spans(text: str, size: int = 3, least: int = 20, enough: int = 50) -> list[tuple[int, int, int]]:
+def spans(text: str, size: int = 3, least: int = 20) -> list[tuple[int, int, int]]:
     """(hash, first sentence, end sentence) of the span that starts at each sentence, if the text is long enough for it."""
     from xxhash import xxh64_intdigest
 
-    words = [s.lower().encode("utf-8", "surrogatepass").split() for s in sentences(text)]
-    joined, out, end, total = [b" ".join(w) for w in words], [], 0, 0
-    for i in range(len(words)):
-        if end < i:
-            end = i
-        while end < len(words) and not (end - i >= size and total >= least or total >= enough):
-            total += len(words[end])
+    parts = sentences(text)
+    joined = [b" ".join(s.lower().encode("utf-8", "surrogatepass").split()) for s in parts]
+    words, out, end, total = [count_words(s) for s in parts], [], 0, 0
+    for i in range(len(parts)):
+        while end < len(parts) and not (end - i >= size and total >= least):
+            total += words[end]
             end += 1
-        if end - i >= size and total >= least or total >= enough:
-            h = xxh64_intdigest(b"\n".join(joined[i:end]), 1)
-            out.append((h - (1 << 64) if h >> 63 else h, i, end))
-        total -= len(words[i])
+        if end - i < size or total < least:
+            break
+        h = xxh64_intdigest(b"\n".join(joined[i:end]), 1)
+        out.append((h - (1 << 64) if h >> 63 else h, i, end))
+        total -= words[i]
     return out
 
 
@@ -112,3 +123,22 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 def op1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentence spans that an earlier one has."""
     return dedup_spans(table(spark, sf_dir, "documents"))
+
+
+def brute_force(rows: list[tuple], size: int = 3, least: int = 20) -> list[tuple]:
+    """For tests: (doc_id, text, n_removed) with every span kept as words in a dictionary; rows have different doc_ids."""
+    first, later = {}, []
+    for doc, text in sorted(rows):
+        parts = sentences(text or "")
+        for i in range(len(parts)):
+            ends = [j for j in range(i + size, len(parts) + 1) if sum(map(count_words, parts[i:j])) >= least]
+            if ends:
+                key = tuple(tuple(p.lower().split()) for p in parts[i : ends[0]])
+                if first.setdefault(key, (doc, i)) != (doc, i):
+                    later.append((doc, i, ends[0]))
+    out = []
+    for doc, text in rows:
+        parts = sentences(text or "")
+        gone = {k for d, i, j in later if d == doc for k in range(i, j)}
+        out.append((doc, text if not gone else "".join(p for k, p in enumerate(parts) if k not in gone), len(gone)))
+    return out
