@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -270,9 +272,10 @@ def all_spans(texts: list[str | None], field: Field) -> list[tuple[list, list]]:
                 k += 1
     out = []
     for b, more in zip(base, added):
-        extra, taken = [], [(x, y) for _, x, y in b]
+        starts, ends, extra = [x for _, x, _ in b], list(accumulate((y for _, _, y in b), max)), []
         for kind, x, y in sorted(more, key=lambda s: (s[1], s[2])):
-            if not any(x < q and p < y for p, q in taken):
+            before = bisect_left(starts, y)  # base spans that begin before this one ends
+            if not before or ends[before - 1] <= x:
                 extra.append((kind, x, y))
         out.append((b, sorted(b + extra, key=lambda s: (s[1], KINDS.index(s[0])))))
     return out
