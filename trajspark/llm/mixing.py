@@ -8,7 +8,8 @@ in cells of about `cell` documents of one source; what each cell leaves over fli
 `cell` others, level by level, until one cell a source is left, whose last one or two units land: the rounding that
 misses the words by least. Large sources have many cells, so no task holds a source.
 
-Directions come from a hash of the ids, so reruns agree. Cases: null and empty texts have size 0, are taken 0 words and
+Directions come from a hash of the ids, so reruns agree. Sources are few by nature: one row for each is collected to set
+the targets and broadcast. Cases: null and empty texts have size 0, are taken 0 words and
 stay in the result; a source of size 0 has target 0; the null source is the last; repeated rows are documents of their
 own; an empty table gives no rows; other columns are ignored.
 """
@@ -152,11 +153,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken, with mix_copy numbering the copies from 1."""
+    """The rows of docs that the mix takes, each as often as it is taken, with mix_copy numbering the copies from 1 (a
+    column of that name is replaced)."""
     choice = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("body").alias("mix_body"), "copies")
-    # equal rows: their copies are added up and dealt to one of them
-    choice = choice.groupBy("mix_doc", "mix_source", "mix_body").agg(F.sum("copies").cast("int").alias("copies"))
-    keyed = docs.withColumn("mix_key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "mix_key"])
-    on = keyed["doc_id"].eqNullSafe(choice["mix_doc"]) & keyed["source"].eqNullSafe(choice["mix_source"]) & (keyed["mix_key"] == choice["mix_body"])
-    out = keyed.hint("merge").join(choice.hint("merge"), on)
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_copy"))
+    # rows of equal doc_id, source and text: their copies are added up and dealt to one of them
+    choice = choice.groupBy("mix_doc", "mix_source", "mix_body").agg(F.sum("copies").cast("int").alias("mix_copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("mix_row"), F.col("doc_id").cast("long").alias("doc"), F.col("source").cast("string").alias("origin"), F.xxhash64("text").alias("body"))
+    on = rows["doc"].eqNullSafe(choice["mix_doc"]) & rows["origin"].eqNullSafe(choice["mix_source"]) & (rows["body"] == choice["mix_body"])
+    taken = rows.hint("merge").join(choice.hint("merge"), on).groupBy("doc", "origin", "body").agg(F.min_by("mix_row", F.xxhash64("mix_row")).alias("mix_row"), F.first("mix_copies").alias("mix_copies"))
+    own = [F.col("mix_row")[c].alias(c) for c in docs.columns if c != "mix_copy"]
+    return taken.select(*own, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))

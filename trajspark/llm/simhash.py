@@ -127,14 +127,6 @@ def near_duplicates(docs: DataFrame, size: int = 3, crowd: int = 4096) -> DataFr
     return prints.hint("merge").join(labelled.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = 3) -> DataFrame:
-    """docs without the near-duplicates: of each group the smallest doc_id stays, as one row. Rows without doc_id stay."""
-    drop = near_duplicates(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), size)
-    drop = drop.where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.hint("merge").join(drop.hint("merge"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
-
-
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
