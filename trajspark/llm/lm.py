@@ -32,6 +32,8 @@ END = b"\n"  # no word holds white space
 #: Weight of the unigram in a history's distribution, in tokens.
 PRIOR = 200.0
 _U = np.uint64
+#: Keys are hashes of 63 bits; their lowest bit is free to mark what stands in a training text.
+_EVEN = ~_U(1)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -47,7 +49,7 @@ def word_keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         w = tokens(t)
         keys.append(np.fromiter(map(xxh3_64_intdigest, w), _U, len(w)))
         begins.append(begins[-1] + len(w))
-    return (np.concatenate(keys) if keys else np.zeros(0, _U)), np.array(begins)
+    return (np.concatenate(keys) & _EVEN if keys else np.zeros(0, _U)), np.array(begins)
 
 
 def pair_keys(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -56,13 +58,23 @@ def pair_keys(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
     a = w[:-1] * _U(0x9E3779B97F4A7C15)
     h = (a ^ (a >> _U(29))) * _U(0xBF58476D1CE4E5B9) + w[1:]
     h *= _U(0x94D049BB133111EB)
-    out[1:] = h ^ (h >> _U(31))
+    out[1:] = (h ^ (h >> _U(31))) & _EVEN
     out[begins[:-1]] = 0
     return out
 
 
-def corpus_size(docs: DataFrame, flush: int = 4_000_000) -> tuple[int, int]:
-    """(N, V): tokens and distinct tokens of all rows of docs; tasks count before they shuffle."""
+def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of the key space that each key falls into."""
+    return ((keys >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+
+
+def corpus_size(docs: DataFrame, ranges: int, flush: int = 4_000_000) -> tuple[int, int]:
+    """(N, V): tokens and distinct tokens of all rows of docs; tasks count before they shuffle sorted lists to key ranges."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        part, lists, counts = _lists(_ranges(keys, ranges), keys, n)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(lists, pa.binary()), pa.array(counts, pa.binary())], names=["part", "keys", "counts"])
 
     def run(batches):
         held, size = [], 0
@@ -71,46 +83,38 @@ def corpus_size(docs: DataFrame, flush: int = 4_000_000) -> tuple[int, int]:
                 held.append(word_keys(part.column(0).to_pylist())[0])
                 size += len(held[-1])
                 if size >= flush:
-                    yield _counted(held)
+                    yield counted(held)
                     held, size = [], 0
         if size:
-            yield _counted(held)
-
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, n long")
-    words = counted.groupBy("key").agg(F.sum("n").alias("n"))
-    return tuple(words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
+            yield counted(held)
 
+    def add_up(t: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([np.cumsum(_unpack(k), dtype=_U) for k in t["keys"].to_pylist()]))
+        return pa.table([pa.array([sum(int(_unpack(c).sum()) for c in t["counts"].to_pylist())]), pa.array([len(keys)])], ["n", "v"])
 
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    keys, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+    lists = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "part long, keys binary, counts binary")
+    parts = lists.groupBy("part").applyInArrow(add_up, "n long, v long")
+    return tuple(parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
 
 
 class Automaton:
-    """The states and arcs that a block of texts can meet. Keys are sorted; `count` is the whole corpus's count of a word
-    or pair; a word with a count is a state."""
+    """The states and arcs that a block of texts can meet: `count` is the whole corpus's count of a word or pair. A word with
+    a count is a state."""
 
-    def __init__(self, keys: np.ndarray, count: np.ndarray, total: int, kinds: int, prior: float = PRIOR):
-        self.keys, self.count, self.prior = keys, count, prior
+    def __init__(self, count: np.ndarray, total: int, kinds: int, prior: float = PRIOR):
+        self.count, self.prior = count, prior
         self.denominator = total + 0.5 * (kinds + 1) if total else 0.5
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.count[at], 0)
-
-    def traverse(self, words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token in order: log10 weight of the path that reads it, log10 weight of the empty history's arc, and
-        its count. The state after a token is the token's own if the model has one, else the empty history, so the states
-        of all tokens are known at once and the whole block is read in one step."""
-        n = self.counts(words)
+    def traverse(self, word: np.ndarray, pair: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token in order (the places in count of its word and of the pair that it ends): log10 weight of the path
+        that reads it, log10 weight of the empty history's arc, and its count. The state after a token is the token's own if
+        the model has one, else the empty history, so all states are known at once and the block is read in one step."""
+        n = self.count[word]
         root = (n + 0.5) / self.denominator
-        history = np.zeros(len(words), np.int64)
+        history = np.zeros(len(n), np.int64)
         history[1:] = n[:-1]
-        history[begins[:-1]] = 0  # a text starts at the empty history
-        arc = self.counts(pair_keys(words, begins))
-        arc[begins[:-1]] = 0
+        arc = self.count[pair]
+        history[begins[:-1]] = arc[begins[:-1]] = 0  # a text starts at the empty history
         # an arc where there is one; the failure arc and the empty history's arc otherwise: n(ab) is 0 there
         path = (arc + self.prior * root) / (history + self.prior)
         return np.log10(path), np.log10(root), n
@@ -141,33 +145,34 @@ def _lists(group: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[list[int
     return group[at].tolist(), first, [_pack(n[i:j]) for i, j in zip(at, ends)]
 
 
-def _own_counts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, begins, distinct keys, their counts in training texts) of a block's table."""
+def _marked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the words and then of the pairs of a block's tokens, their lowest bit set in training texts; begins). A
+    text's first token has the key of its word in place of a pair, without a mark."""
     words, begins = word_keys(t["text"].to_pylist())
-    train = np.repeat(np.asarray(t["train"].to_pylist(), bool), np.diff(begins))
-    pairs = pair_keys(words, begins)
-    inside = np.ones(len(words), bool)
-    inside[begins[:-1]] = False
-    keys, n = [], []
-    for k, flag in ((words, train), (pairs[inside], train[inside])):
-        every, at = np.unique(k, return_inverse=True)
-        keys.append(every)
-        n.append(np.bincount(at[flag], minlength=len(every)))
-    # words and pairs share one space of keys; equal ones of both kinds would be a collision of hashes
-    keys, n = np.concatenate(keys), np.concatenate(n).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    return words, begins, keys[order], n[order]
-
-
-def score(docs: DataFrame, training: Column, prior: float = PRIOR, block_bytes: int = 24 << 20) -> tuple[DataFrame, int]:
+    pairs, train = pair_keys(words, begins), np.repeat(np.asarray(t["train"].to_pylist(), _U), np.diff(begins))
+    both = np.concatenate([words | train, pairs | train])
+    both[len(words) + begins[:-1]] = words[begins[:-1]]
+    return both, begins
+
+
+def _own_counts(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, their counts in training texts, where each begins) of sorted marked keys."""
+    keys = marked & _EVEN
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[at], np.add.reduceat(marked & _U(1), at).astype(np.int64), at
+
+
+def score(docs: DataFrame, training: Column, prior: float = PRIOR, block_bytes: int = 12 << 20) -> tuple[DataFrame, int]:
     """(doc_id, train, n_tokens, n_known, base_score, score for every row of docs; N). The rows where `training` holds
     are learned from."""
-    total, kinds = corpus_size(docs.where(training))
     blocks, ranges = _blocked(docs, training, block_bytes)
+    total, kinds = corpus_size(docs.where(training), ranges)
 
     def ask(t: pa.Table) -> pa.Table:
-        _, _, keys, n = _own_counts(t)
-        part, lists, counts = _lists(((keys >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64), keys, n)
+        marked, _ = _marked(t)
+        marked.sort()
+        keys, n, _ = _own_counts(marked)
+        part, lists, counts = _lists(_ranges(keys, ranges), keys, n)
         return pa.table([pa.array(part, pa.int64()), pa.array([t["block"][0].as_py()] * len(part), pa.int32()), pa.array(lists, pa.binary()), pa.array(counts, pa.binary())], ["part", "block", "keys", "counts"])
 
     def add_up(t: pa.Table) -> pa.Table:
@@ -191,10 +196,16 @@ def score(docs: DataFrame, training: Column, prior: float = PRIOR, block_bytes:
         kinds_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not texts.num_rows:
             return pa.table([pa.array([], k) for k in kinds_], names)
-        words, begins, keys, n = _own_counts(texts)
+        marked, begins = _marked(texts)
+        order = np.argsort(marked)
+        keys, n, at = _own_counts(marked[order])
+        place = np.empty(len(order), np.int32)
+        place[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(order))))
+        del marked, order, at
         for k, c in zip(more["keys"].to_pylist(), more["others"].to_pylist()):
             n[np.searchsorted(keys, np.cumsum(_unpack(k), dtype=_U))] += _unpack(c).view(np.int64)
-        path, root, known = Automaton(keys, n, total, kinds, prior).traverse(words, begins)
+        word, pair = place[: len(place) // 2], place[len(place) // 2 :]
+        path, root, known = Automaton(n, total, kinds, prior).traverse(word, pair, begins)
         sums = lambda x: np.add.reduceat(x, begins[:-1])
         out = [texts["doc_id"], texts["train"], np.diff(begins), sums((known > 0).astype(np.int64)), sums(root) if total else np.zeros(texts.num_rows), sums(path) if total else np.zeros(texts.num_rows)]
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(out, kinds_)], names)
