@@ -147,8 +147,9 @@ class Parser:
         return self.symbol_of[_code_points(text)]
 
     def _step(self, state: np.ndarray, symbol: np.ndarray, language: np.ndarray) -> np.ndarray:
-        to = self.arcs.find(state * np.int64(self.n_symbols) + symbol)
-        return np.where(to >= 0, to, self.first[language, symbol])
+        """The next states; language is the number of each state's language times n_symbols."""
+        to = self.arcs.find((state * np.int64(self.n_symbols) + symbol).ravel()).reshape(state.shape)
+        return np.where(to >= 0, to, self.first.ravel()[language + symbol])
 
     def phrases(self, texts: list[str], block: int = 1024, room: int = 12_000_000) -> np.ndarray:
         """Phrases of each text against each language, one row for each text; `room` bounds the states held at once."""
@@ -178,10 +179,11 @@ class Parser:
         states = np.zeros((len(grid), n_lang, n), np.int32)  # after each step, with its mark
         used = np.repeat(self.roots[:, None], n, 1)
         used[:, 0] = entry
-        state, language = used[:, order].copy(), np.arange(n_lang)[:, None]
+        state, language = used[:, order].copy(), np.arange(n_lang)[:, None] * self.n_symbols
+        in_order, falling = np.ascontiguousarray(grid[:, order]), -lengths[order]
         for t in range(len(grid)):
-            live = int(np.searchsorted(-lengths[order], -t, side="left"))  # lanes longer than t
-            to = self._step(state[:, :live].ravel(), np.tile(grid[t, order[:live]], n_lang), np.repeat(language.ravel(), live)).reshape(n_lang, live)
+            live = int(np.searchsorted(falling, -t, side="left"))  # lanes longer than t
+            to = self._step(state[:, :live], in_order[t, :live], language)
             states[t][:, order[:live]] = to
             state[:, :live] = to & (_PHRASE - 1)
         last = lambda: states[lengths - 1, :, np.arange(n)].T & (_PHRASE - 1)
@@ -193,7 +195,7 @@ class Parser:
                 break
             used, now, t = due, due[which, lane], 0
             while len(lane):
-                to = self._step(now, grid[t, lane], which)
+                to = self._step(now, grid[t, lane], which * self.n_symbols)
                 before, states[t, which, lane] = states[t, which, lane], to
                 t += 1
                 on = ((to ^ before) & (_PHRASE - 1) != 0) & (lengths[lane] > t)

@@ -26,6 +26,7 @@ _BREAK = re.compile(r"(?<![.!?])[.!?]+\s+|[。！？]+\s*|\n+")
 #: Scripts without spaces: Thai, kana, Han, Hangul syllables.
 _WIDE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
 _WORD = re.compile(rf"[{_WIDE}]\s*|[^\s{_WIDE}]+\s*")
+_ANY_WIDE = re.compile(f"[{_WIDE}]")
 
 
 def sentences(text: str, long: int = 16) -> list[str]:
@@ -40,11 +41,11 @@ def sentences(text: str, long: int = 16) -> list[str]:
 
 
 def count_words(s: str) -> int:
-    return len(s.split()) if s.isascii() else len(_WORD.findall(s))
+    return len(_WORD.findall(s)) if not s.isascii() and _ANY_WIDE.search(s) else len(s.split())
 
 
 def _pieces(sentence: str, long: int, window: int = 8) -> list[str]:
-    if count_words(sentence) <= long:
+    if len(sentence) <= long or count_words(sentence) <= long:
         return [sentence]
     words = list(_WORD.finditer(sentence))
     h = [crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) for m in words]
@@ -62,9 +63,10 @@ def spans(text: str, size: int = 3, least: int = 20) -> list[tuple[int, int, int
     """(hash, first sentence, end sentence) of the span that starts at each sentence, if the text is long enough for it."""
     from xxhash import xxh64_intdigest
 
-    parts = sentences(text)
-    joined = [b" ".join(s.lower().encode("utf-8", "surrogatepass").split()) for s in parts]
-    words, out, end, total = [count_words(s) for s in parts], [], 0, 0
+    parts, wide = sentences(text), not text.isascii() and _ANY_WIDE.search(text)
+    split = [s.lower().encode("utf-8", "surrogatepass").split() for s in parts]
+    words = [count_words(s) for s in parts] if wide else [len(w) for w in split]
+    joined, out, end, total = [b" ".join(w) for w in split], [], 0, 0
     for i in range(len(parts)):
         while end < len(parts) and not (end - i >= size and total >= least):
             total += words[end]
