@@ -125,5 +125,6 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     call = F.struct("step", F.col("raw_tool").alias("raw_name"), "tool_name", box.alias("bbox"), "output")
     calls = c.groupBy("traj_id").agg(F.array_sort(F.collect_list(call)).alias("tool_calls"))
     gt = view(spark, sf_dir, "fx_gt").where("box_idx = 0").select("traj_id", F.array("x1", "y1", "x2", "y2").alias("gt_box"))
-    t = view(spark, sf_dir, "fx_traj").join(calls, "traj_id", "left").join(gt, "traj_id", "left")
+    # by key: broadcasting a side would leave the scores to as many tasks as orders has file splits
+    t = view(spark, sf_dir, "fx_traj").hint("merge").join(calls.hint("merge"), "traj_id", "left").join(gt.hint("merge"), "traj_id", "left")
     return t.withColumn("tool_calls", F.coalesce("tool_calls", F.expr("cast(array() as array<struct<step:bigint,raw_name:string,tool_name:string,bbox:array<double>,output:string>>)")))

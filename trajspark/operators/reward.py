@@ -63,15 +63,40 @@ PRESETS = {
 
 def words(text: Column, least: int = 1) -> Column:
     """Distinct lower-case words (letters, digits and underscore of any script) of at least so many characters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b\w{{{least},}}\b" if least > 1 else r"(?U)\w+"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
+    return found if least == 1 else longer(found, least)
+
+
+def longer(found: Column, least: int) -> Column:
+    return F.filter(found, lambda w: F.length(w) >= least)
+
+
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once: as the only element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def word_sim(x: Column, y: Column) -> Column:
+    """Shared words over those of the richer list; 0 if either has none."""
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(0.0)
 
 
 def token_sim(a: Column, b: Column) -> Column:
-    """Shared distinct words over those of the richer text; 0 if either has none."""
-    # a one-element array holds both word lists, so that each is extracted once
-    both = F.array(F.struct(words(a).alias("x"), words(b).alias("y")))
-    sim = lambda p: F.when((F.size(p["x"]) > 0) & (F.size(p["y"]) > 0), F.size(F.array_intersect(p["x"], p["y"])) / F.greatest(F.size(p["x"]), F.size(p["y"]))).otherwise(0.0)
-    return F.get(F.transform(both, sim), F.lit(0))
+    """word_sim of two texts."""
+    return bind(F.struct(words(a).alias("x"), words(b).alias("y")), lambda p: word_sim(p["x"], p["y"]))
+
+
+def with_words(calls: Column) -> Column:
+    """The calls with the distinct words of their outputs, each extracted once; a null output reads "None" in `text`."""
+    text = lambda c: F.coalesce(c["output"], F.lit("None"))
+    fields = lambda c: [c[f].alias(f) for f in ("tool_name", "raw_name", "bbox", "output")]
+    first = F.transform(calls, lambda c: F.struct(*fields(c), text(c).alias("text"), words(text(c)).alias("words")))
+    return F.transform(first, lambda c: F.struct(*fields(c), c["text"].alias("text"), c["words"].alias("words"), longer(c["words"], 3).alias("words3"), longer(c["words"], 4).alias("words4")))
+
+
+def asked(question: Column) -> Column:
+    """What the scores need of a question, computed once a row."""
+    return F.struct(F.lower(question).alias("low"), words(question, 3).alias("words3"), F.split(F.trim(F.lower(question)), r"\s+").alias("known"))
 
 
 def spatial(c: Column) -> Column:
@@ -100,7 +125,11 @@ def dup_spatial_pairs(calls: Column, config=RewardConfig()) -> Column:
 
 
 def dup_ocr_pairs(calls: Column, config=RewardConfig()) -> Column:
-    own = lambda c, i: F.size(F.filter(before(calls, i), lambda p: reads(p) & (token_sim(p["output"], c["output"]) > config.text_threshold)))
+    return bind(with_words(calls), lambda k: _dup_ocr(k, config))
+
+
+def _dup_ocr(calls: Column, config=RewardConfig()) -> Column:
+    own = lambda c, i: F.size(F.filter(before(calls, i), lambda p: reads(p) & (word_sim(p["words"], c["words"]) > config.text_threshold)))
     return F.transform(calls, lambda c, i: F.when(reads(c), own(c, i)).otherwise(0))
 
 
@@ -123,10 +152,10 @@ def over_budget(calls: Column, config=RewardConfig()) -> Column:
 
 
 def cost_parts(calls: Column, config=RewardConfig()) -> Column:
-    """One struct for each call: dup_spatial and dup_ocr (pairs), oscillation, consecutive, budget."""
+    """One struct for each call (with its words): dup_spatial and dup_ocr (pairs), oscillation, consecutive, budget."""
     return F.arrays_zip(
         dup_spatial_pairs(calls, config).alias("dup_spatial"),
-        dup_ocr_pairs(calls, config).alias("dup_ocr"),
+        _dup_ocr(calls, config).alias("dup_ocr"),
         oscillation(calls).alias("middle"),
         F.transform(calls, lambda c, i: _zoom_middle(calls, i - 1)).alias("third"),
         consecutive_same(calls).alias("consecutive"),
@@ -150,7 +179,9 @@ def count_true(values: Column) -> Column:
 def with_costs(df: DataFrame, config=RewardConfig(), calls: str = "tool_calls") -> DataFrame:
     """cost (C) and the five counters cost_dup_spatial (pairs), cost_dup_ocr (pairs), cost_oscillation, cost_consecutive_same,
     cost_call_budget."""
-    out = df.withColumn("_parts", cost_parts(F.col(calls), config))
+    if calls != "_calls":
+        df = df.withColumn("_calls", with_words(F.col(calls)))
+    out = df.withColumn("_parts", cost_parts(F.col("_calls"), config))
     total = lambda f: F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p[f])
     count = lambda f: F.size(F.filter("_parts", lambda p: p[f])).cast("long")
     return out.withColumns(
@@ -162,7 +193,7 @@ def with_costs(df: DataFrame, config=RewardConfig(), calls: str = "tool_calls")
             "cost_consecutive_same": count("consecutive"),
             "cost_call_budget": count("budget"),
         }
-    ).drop("_parts")
+    ).drop("_parts", *([] if calls == "_calls" else ["_calls"]))
 
 
 # --- utility ------------------------------------------------------------------------------------------------------
@@ -170,11 +201,15 @@ def with_costs(df: DataFrame, config=RewardConfig(), calls: str = "tool_calls")
 
 def relevance(output: Column, question: Column) -> Column:
     """0 to 0.8: shared words come first, then the question's kind."""
-    q, o = F.lower(question), F.lower(output)
-    ladder = F.when((F.size(words(q, 3)) == 0) | (F.size(words(o, 3)) == 0), 0.0).when(F.arrays_overlap(words(q, 3), words(o, 3)), 0.6)
-    for asked, given, value in KINDS:
-        ladder = ladder.when(q.rlike(asked) & o.rlike(given), value)
-    return ladder.when(q.rlike(EXISTENCE) & (F.length(output) > 20), 0.5).otherwise(0.0)
+    return bind(F.struct(words(output, 3).alias("o"), asked(question).alias("q")), lambda p: _relevance(output, p["o"], p["q"]))
+
+
+def _relevance(output: Column, words3: Column, q: Column) -> Column:
+    o = F.lower(output)
+    ladder = F.when((F.size(q["words3"]) == 0) | (F.size(words3) == 0), 0.0).when(F.arrays_overlap(q["words3"], words3), 0.6)
+    for kind, given, value in KINDS:
+        ladder = ladder.when(q["low"].rlike(kind) & o.rlike(given), value)
+    return ladder.when(q["low"].rlike(EXISTENCE) & (F.length(output) > 20), 0.5).otherwise(0.0)
 
 
 def answer_fallback(output: Column, answer: Column) -> Column:
@@ -189,8 +224,11 @@ def number_hint(output: Column, question: Column) -> Column:
 
 
 def novelty(output: Column, question: Column) -> Column:
-    known = F.split(F.trim(F.lower(question)), r"\s+")
-    return F.when(F.size(F.array_except(words(output, 4), known)) >= 3, 0.15).otherwise(0.0)
+    return _novelty(words(output, 4), asked(question))
+
+
+def _novelty(words4: Column, q: Column) -> Column:
+    return F.when(F.size(F.array_except(words4, q["known"])) >= 3, 0.15).otherwise(0.0)
 
 
 def gt_bonus(c: Column, gt: Column, config=RewardConfig()) -> Column:
@@ -207,9 +245,14 @@ def lazy_crop(c: Column, i: Column, calls: Column, w: Column, h: Column, config=
 
 
 def ocr_gain(c: Column, i: Column, calls: Column, config=RewardConfig()) -> Column:
+    """For one call by its place; the calls need no words."""
+    return F.when(reads(c), bind(with_words(calls), lambda k: _ocr_gain(F.get(k, i), i, k, config))).otherwise(0.0)
+
+
+def _ocr_gain(c: Column, i: Column, calls: Column, config=RewardConfig()) -> Column:
     text = c["output"]
     found = F.when(text.rlike("[0-9]"), 0.15).otherwise(0.0) + F.when(F.lower(text).rlike(UNITS), 0.15).otherwise(0.0)
-    seen = F.exists(before(calls, i), lambda p: (p["tool_name"] == "ocr") & (token_sim(text, p["output"]) > config.text_threshold))
+    seen = F.exists(before(calls, i), lambda p: (p["tool_name"] == "ocr") & (word_sim(c["words"], p["words"]) > config.text_threshold))
     return F.when(reads(c), found - F.when(seen, 0.2).otherwise(0.0)).otherwise(0.0)
 
 
@@ -224,12 +267,16 @@ def refine_bonus(c: Column, i: Column, calls: Column, as_coded: bool = True) ->
 
 def call_utilities(calls: Column, question: Column, gt: Column, w: Column, h: Column, config=RewardConfig()) -> Column:
     """Utility of every call, each within [-0.5, 1]."""
+    return bind(F.struct(with_words(calls).alias("calls"), asked(question).alias("q")), lambda p: _utilities(p["calls"], p["q"], gt, w, h, config))
+
 
+def _utilities(calls: Column, q: Column, gt: Column, w: Column, h: Column, config=RewardConfig()) -> Column:
     def one(c, i):
-        text = F.coalesce(c["output"], F.lit("None"))  # an absent output is empty, a null one reads "None"
+        text = c["text"]
         useful = (F.length(text) > 0) & ~F.lower(text).isin("none", "null")
-        evidence = F.when(useful, relevance(text, question) * 0.4 + number_hint(text, question) + novelty(text, question)).otherwise(0.0)
-        total = evidence + gt_bonus(c, gt, config) + lazy_crop(c, i, calls, w, h, config) + ocr_gain(c, i, calls, config) + refine_bonus(c, i, calls)
+        hint = F.when(text.rlike("[0-9]") & q["low"].rlike(NUMBER_CUES), 0.15).otherwise(0.0)
+        evidence = F.when(useful, _relevance(text, c["words3"], q) * 0.4 + hint + _novelty(c["words4"], q)).otherwise(0.0)
+        total = evidence + gt_bonus(c, gt, config) + lazy_crop(c, i, calls, w, h, config) + _ocr_gain(c, i, calls, config) + refine_bonus(c, i, calls)
         return F.greatest(F.lit(-0.5), F.least(F.lit(1.0), total))
 
     return F.transform(calls, one)
@@ -309,9 +356,10 @@ def asym_fusion(s: Column, v: Column, accuracy: Column, config=RewardConfig()) -
 def with_scores(df: DataFrame, config=RewardConfig()) -> DataFrame:
     """utility (U), cost (C, with counters), sequence (S) and validities of every trajectory: computed once for all
     reward variants. Needs tool_calls, question, gt_box; boxes are normalised, so the image is 1 x 1."""
-    calls, one = F.col("tool_calls"), F.lit(1.0)
-    out = with_costs(df, config)
-    return out.withColumns({"utility": add(call_utilities(calls, F.col("question"), F.col("gt_box"), one, one, config)), "sequence": seq_score(calls), "validities": call_validities(calls)})
+    calls, one = F.col("_calls"), F.lit(1.0)
+    out = with_costs(df.withColumns({"_calls": with_words(F.col("tool_calls")), "_asked": asked(F.col("question"))}), config, "_calls")
+    scores = {"utility": add(_utilities(calls, F.col("_asked"), F.col("gt_box"), one, one, config)), "sequence": seq_score(calls), "validities": call_validities(calls)}
+    return out.withColumns(scores).drop("_calls", "_asked")
 
 
 def reward_column(config: RewardConfig) -> Column:
