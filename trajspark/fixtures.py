@@ -61,7 +61,7 @@ FROM events
 SELECT conv_id, turn, concat(
   '<tool_call>', chr(10), '{"name": "', CASE turn % 3 WHEN 0 THEN 'zoom_in' WHEN 1 THEN 'crop' ELSE 'mystery' END,
   '", "arguments": {"bbox_2d": [0.125, 0.25, 0.5, 0.75], "label": "c', CAST(conv_id AS VARCHAR(20)), '"}}', chr(10), '</tool_call>', chr(10),
-  substr(text, 1, 80), chr(10),
+  text, chr(10),
   CASE WHEN conv_id % 4 = 0 THEN concat('<tool_call>', chr(10), '{"name": broken', chr(10), '</tool_call>', chr(10)) ELSE '' END,
   CASE WHEN conv_id % 9 = 8 THEN '' ELSE concat('<answer> ', CASE conv_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'the flag is red.' END, ' </answer>') END) AS response,
   'The flag is red.' AS ground_truth

@@ -34,7 +34,7 @@ def parse_tool_calls(text: Column) -> Column:
 
 def outputs(text: Column) -> Column:
     """Trimmed text after each block, up to the next."""
-    return F.transform(F.slice(F.split(text, ANY_BLOCK), 2, 100_000), lambda x: F.trim(x))
+    return F.transform(F.slice(F.split(text, ANY_BLOCK), F.lit(2), F.size(F.split(text, ANY_BLOCK))), lambda x: F.trim(x))
 
 
 def parse_first_call(text: Column) -> Column:

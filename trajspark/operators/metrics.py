@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import written
+
 
 def long_metrics(df: DataFrame, by: list[str], metrics: dict[str, Column]) -> DataFrame:
     """One aggregation for all metrics, then one row a metric."""
@@ -54,8 +56,10 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     blocks = counts.withColumn("_b", F.floor(F.col("_at") / 4096))
     inside = F.sum("_n").over(Window.partitionBy("_b").orderBy("_at"))
     totals = blocks.groupBy("_b").agg(F.sum("_n").alias("_t")).select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"))
-    ranked = blocks.withColumn("_in", inside).join(totals, "_b").select(F.col(column).alias("_c"), (F.col("_before") + F.col("_in") - (F.col("_n") - 1) / 2.0).alias(out))
-    return df.join(ranked, df[column].eqNullSafe(ranked["_c"])).drop("_c")
+    ranked = blocks.withColumn("_in", inside).join(F.broadcast(totals), "_b").select(F.col(column).alias("_c"), (F.col("_before") + F.col("_in") - (F.col("_n") - 1) / 2.0).alias(out))
+    # written, so that a value with very many rows can be split
+    ranked = written(ranked)
+    return df.hint("merge").join(ranked.hint("merge"), df[column].eqNullSafe(ranked["_c"])).drop("_c")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

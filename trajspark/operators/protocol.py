@@ -1,8 +1,9 @@
 """Batch protocol: tables of rows with a position (row_idx, from 0) as DataFrames.
 
 Spark has no row order, so every operator takes and keeps an explicit position. Positions are dealt without a
-single-partition window: rows fall into ranges of the first order key whose bounds come from a bounded sample, are numbered
-inside their range, and the counts of the ranges before (one row a range) are added.
+single-partition window: rows fall into ranges of all order keys together (so a value that most rows share in the first
+key is dealt over many ranges), are numbered inside their range, and the counts of the ranges before (one row a range) are
+added.
 """
 
 from __future__ import annotations
@@ -12,19 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import written
+
 
 def with_position(df: DataFrame, *keys: str | Column, name: str = "row_idx", partitions: int | None = None) -> DataFrame:
     """df with its position (long, from 0) in the order of keys, which must order the rows fully."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a bounded sample of the first key, the same at each run
-    seen = df.select(cols[0].alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(32 * n)
-    bounds = [r["k"] for r in seen.distinct().orderBy("k").collect()]
-    bounds = sorted(set(bounds[len(bounds) * i // n] for i in range(1, n))) if bounds else []
-    part = F.lit(0)
-    for k, b in enumerate(bounds):
-        part = F.when(cols[0] >= F.lit(b), k + 1).otherwise(part) if k else F.when(cols[0] >= F.lit(b), 1).otherwise(0)
-    dealt = df.withColumn("_part", part)
+    # written, so that every later read sees the same ranges
+    dealt = written(df.repartitionByRange(n, *cols).withColumn("_part", F.spark_partition_id()))
     inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*cols)) - 1)
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # one row a range: its running sum is a window over as many rows as there are ranges
@@ -35,7 +32,7 @@ def with_position(df: DataFrame, *keys: str | Column, name: str = "row_idx", par
 
 def select_idxs(df: DataFrame, idxs: DataFrame) -> DataFrame:
     """Rows at the positions of idxs (columns pos, idx), repeats and order kept: the result's row_idx is pos."""
-    return idxs.join(df, idxs["idx"] == df["row_idx"]).drop("row_idx", "idx").withColumnRenamed("pos", "row_idx")
+    return idxs.hint("merge").join(df.hint("merge"), idxs["idx"] == df["row_idx"]).drop("row_idx", "idx").withColumnRenamed("pos", "row_idx")
 
 
 def slice_rows(df: DataFrame, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
@@ -61,7 +58,7 @@ def union_columns(a: DataFrame, b: DataFrame, key: str = "row_idx") -> DataFrame
     """Columns of both, row by row; a shared column must hold equal values, else the job fails with raise_error."""
     shared = [c for c in b.columns if c in a.columns and c != key]
     other = b.withColumnsRenamed({c: f"_b_{c}" for c in shared})
-    joined = a.join(other, key)
+    joined = a.hint("merge").join(other.hint("merge"), key)
     for c in shared:
         same = F.col(c).eqNullSafe(F.col(f"_b_{c}"))
         joined = joined.withColumn(c, F.when(same, F.col(c)).otherwise(F.raise_error(F.lit(f"column {c} differs")).cast(a.schema[c].dataType)))
@@ -122,8 +119,9 @@ def minibatches(df: DataFrame, size: int, epochs: int, seed: int | None = None,
     """epoch and batch_id of every row in every epoch; with a seed each epoch has an order of its own, by hash."""
     e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     order = F.md5(F.concat_ws("-", F.lit(str(seed)), "epoch", key)) if seed is not None else F.lpad(F.col(key).cast("string"), 20, "0")
-    w = Window.partitionBy("epoch").orderBy(order, key)
-    return e.withColumn("batch_id", F.floor((F.row_number().over(w) - 1) / size))
+    placed = with_position(e.withColumn("_o", order), "epoch", "_o", key, name="_at").drop("_o")
+    # every epoch has as many rows as df
+    return placed.withColumn("batch_id", F.floor((F.col("_at") - F.col("epoch") * F.lit(df.count())) / size)).drop("_at")
 
 
 def collate(df: DataFrame, by: str, columns: list[str], order: str = "row_idx") -> DataFrame:

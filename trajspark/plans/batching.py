@@ -251,9 +251,9 @@ def audit_gate(spark, d):
     return s.select("step", F.round("acc", 6).alias("acc"), (F.max("acc").over(Window.orderBy("step").rowsBetween(-2, 0)) < 0.55).alias("stop"))
 
 
-@query("check_report", oracle("SELECT t.traj_id, accuracy, substr(question, 1, 12) AS question, substr(pred, 1, 4) AS pred, string_agg(tool_name, '>' ORDER BY c.step) AS tools FROM fx_traj t JOIN fx_calls c ON t.traj_id = c.traj_id WHERE t.traj_id % 50 = 0 GROUP BY ALL"))
+@query("check_report", oracle("SELECT t.traj_id, accuracy, substr(question, 1, 12) AS question, substr(pred, 1, 4) AS pred, string_agg(tool_name, '>' ORDER BY c.step) AS tools FROM fx_traj t JOIN fx_calls c ON t.traj_id = c.traj_id GROUP BY ALL"))
 def check_report(spark, d):
-    t = trajectories(spark, d).where("traj_id % 50 = 0 and size(tool_calls) > 0")
+    t = trajectories(spark, d).where("size(tool_calls) > 0")
     return t.select("traj_id", "accuracy", F.substring("question", 1, 12).alias("question"), F.substring("pred", 1, 4).alias("pred"), F.array_join(F.transform("tool_calls", lambda c: c["tool_name"]), ">").alias("tools"))
 
 

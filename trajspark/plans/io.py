@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..fixtures import oracle, table, trajectories, view
 from ..registry import query
 from ..sources import io
-
-
-def scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+from ..sources.io import scratch
 
 
 def _rows(spark, d):
@@ -37,22 +31,22 @@ def sink_jsonl(spark, d):
     return spark.read.schema("status string, accuracy double").json(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("accuracy").alias("accuracy"))
 
 
-@query("src_json_array", oracle("SELECT data_source, count(*) AS n FROM fx_traj WHERE traj_id % 10 = 0 GROUP BY 1"))
-def src_json_array(spark, d):
-    """Arrays of rows, one a text file for each source, read as multi-line JSON."""
+@query("src_json_array", oracle("SELECT data_source, count(*) AS n FROM fx_traj GROUP BY 1"))
+def src_json_array(spark, d, rows: int = 2000):
+    """Arrays of about `rows` rows, one a text file, read as multi-line JSON."""
     path = scratch(spark)
     row = F.to_json(F.struct(F.col("uid").cast("string").alias("uid"), "data_source"))
-    t = view(spark, d, "fx_traj").where("traj_id % 10 = 0")
-    t.groupBy("data_source").agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value")).select("value").repartition(5).write.text(path)
+    t = view(spark, d, "fx_traj")
+    piece = F.pmod(F.xxhash64("traj_id"), F.lit(max(1, t.count() // rows)))
+    arrays = t.groupBy(piece.alias("piece")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return io.read_json_array(spark, [path]).groupBy("data_source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_parquet_multi", "SELECT 'a' AS part, count(*) AS n FROM documents UNION ALL SELECT 'b', count(*) FROM documents")
+@query("src_parquet_multi", "SELECT doc_id, lang, NULL AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
 def src_parquet_multi(spark, d):
-    both = io.read_parquets(spark, [f"{d}/documents.parquet", f"{d}/documents.parquet"], merge=True)
-    # the same file twice: either half of the rows stands for one of the two
-    n = both.agg((F.count(F.lit(1)) / 2).cast("long").alias("n"))
-    return n.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("part"), "n")
+    """Two tables of different columns read as one; what a file lacks is null."""
+    return io.read_parquets(spark, [f"{d}/documents.parquet", f"{d}/labels.parquet"], merge=True).select("doc_id", "lang", "quality")
 
 
 @query("src_big_json_scan", oracle("SELECT image, accuracy FROM (SELECT concat('i', traj_id) AS image, accuracy, status FROM fx_traj) x WHERE status = 'success' AND accuracy = 1"))
@@ -98,12 +92,12 @@ def dump_rollouts(spark, d):
     return spark.read.schema("step long, score double").json(path).groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
 
 
-@query("dump_rollouts_by_item", oracle("SELECT traj_id AS index, pred FROM fx_traj WHERE traj_id % 2 = 0"))
+@query("dump_rollouts_by_item", oracle("SELECT traj_id AS index, pred FROM fx_traj"))
 def dump_rollouts_by_item(spark, d):
     """Appended in two goes, keyed by index: the second one skips what is there."""
     path = scratch(spark)
-    t = view(spark, d, "fx_traj").where("traj_id % 2 = 0").select(F.col("traj_id").alias("index"), "pred")
-    t.where("index % 4 = 0").write.parquet(path)
+    t = view(spark, d, "fx_traj").select(F.col("traj_id").alias("index"), "pred")
+    t.where("pred in ('A', 'B')").write.parquet(path)
     t.join(spark.read.parquet(path), "index", "left_anti").write.mode("append").parquet(path)
     return spark.read.parquet(path)
 

@@ -25,13 +25,13 @@ def bp_select(spark, d):
     return rows(spark, d).select("row_idx", "uid")
 
 
-_PICK = "SELECT row_idx AS pos, (row_idx * 7) % 50 AS idx FROM rows0 WHERE row_idx < 200"
+_PICK = "SELECT row_idx AS pos, (row_idx * 7) % (SELECT count(*) FROM rows0) AS idx FROM rows0"
 
 
 @query("bp_select_idxs", sql(f", pick AS ({_PICK}) SELECT pos AS row_idx, traj_id FROM pick JOIN rows0 ON idx = row_idx"))
 def bp_select_idxs(spark, d):
     r = rows(spark, d)
-    pick = r.where("row_idx < 200").select(F.col("row_idx").alias("pos"), ((F.col("row_idx") * 7) % 50).alias("idx"))
+    pick = r.select(F.col("row_idx").alias("pos"), ((F.col("row_idx") * 7) % F.lit(r.count())).alias("idx"))
     return P.select_idxs(r, pick).select("row_idx", "traj_id")
 
 
@@ -56,10 +56,10 @@ def bp_union(spark, d):
     return P.union_columns(r.select("row_idx", "uid", "accuracy"), r.select("row_idx", "uid", "trajlength"))
 
 
-@query("bp_concat", sql("SELECT traj_id, accuracy FROM rows0 WHERE row_idx < 100 UNION ALL SELECT traj_id, accuracy FROM rows0 WHERE row_idx % 2 = 0"))
+@query("bp_concat", sql("SELECT traj_id, accuracy FROM rows0 WHERE accuracy = 1 UNION ALL SELECT traj_id, accuracy FROM rows0"))
 def bp_concat(spark, d):
     r = rows(spark, d)
-    return P.concat([r.where("row_idx < 100"), r.where("row_idx % 2 = 0")]).select("traj_id", "accuracy")
+    return P.concat([r.where("accuracy = 1"), r]).select("traj_id", "accuracy")
 
 
 @query("bp_repeat", sql("SELECT row_idx * 3 + r AS row_idx, traj_id FROM rows0, range(3) t(r)"))
@@ -129,10 +129,10 @@ def bp_shard(spark, d):
     return P.shard(rows(spark, d), 7, seed=5).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("traj_id").alias("ids"))
 
 
-@query("combine_samples", sql("SELECT traj_id, uid, NULL::DOUBLE AS accuracy FROM rows0 WHERE row_idx < 50 UNION ALL SELECT traj_id, NULL, accuracy FROM rows0 WHERE row_idx >= 50 AND row_idx < 90"))
+@query("combine_samples", sql("SELECT traj_id, uid, NULL::DOUBLE AS accuracy FROM rows0 WHERE accuracy = 1 UNION ALL SELECT traj_id, NULL, accuracy FROM rows0 WHERE accuracy <> 1"))
 def combine_samples(spark, d):
     r = rows(spark, d)
-    return P.combine_samples([r.where("row_idx < 50").select("traj_id", "uid"), r.where("row_idx >= 50 and row_idx < 90").select("traj_id", "accuracy")])
+    return P.combine_samples([r.where("accuracy = 1").select("traj_id", "uid"), r.where("accuracy <> 1").select("traj_id", "accuracy")])
 
 
 @query("reverse_index", sql(", p AS (SELECT row_number() OVER (ORDER BY trajlength, traj_id) - 1 AS pos, row_idx AS idx FROM rows0) SELECT idx AS pos, pos AS idx FROM p"))

@@ -32,10 +32,10 @@ def udtf_parse(spark, d):
     return r.selectExpr("conv_id", "inline(calls)").groupBy("tool_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("attach_outputs", oracle("WITH o AS (SELECT conv_id, turn, regexp_split_to_array(response, '(?s)<tool_call>.*?</tool_call>') AS parts, conv_id % 4 = 0 AS broken FROM fx_responses) SELECT conv_id, turn, trim(replace(parts[len(parts)], chr(10), ' ')) AS output FROM o WHERE NOT broken"))
+@query("attach_outputs", oracle("WITH o AS (SELECT conv_id, turn, regexp_split_to_array(response, '(?s)<tool_call>.*?</tool_call>') AS parts FROM fx_responses) SELECT conv_id, turn, trim(replace(parts[len(parts)], chr(10), ' ')) AS output FROM o"))
 def attach_outputs(spark, d):
-    """The single call's output of the responses without a broken block: all text after it."""
-    r = view(spark, d, "fx_responses").where("conv_id % 4 <> 0").withColumn("c", X.parse_tool_calls(F.col("response"))[0])
+    """The output of the only call that can be read: all text after the last block, be that broken or not."""
+    r = view(spark, d, "fx_responses").withColumn("c", X.parse_tool_calls(F.col("response"))[0])
     return r.select("conv_id", "turn", F.trim(F.replace("c.output", F.lit("\n"), F.lit(" "))).alias("output"))
 
 
@@ -58,22 +58,21 @@ def extract_answer_tag(spark, d):
     return view(spark, d, "fx_responses").select("conv_id", "turn", S.answer_tag(F.col("response")).alias("answer"))
 
 
-@query("extract_answer_or_text", oracle(f"SELECT conv_id, turn, length(coalesce({_TAG}, response)) AS n FROM fx_responses WHERE conv_id % 9 <> 8"))
+@query("extract_answer_or_text", oracle(f"SELECT conv_id, turn, length(coalesce({_TAG}, response)) AS n FROM fx_responses"))
 def extract_answer_or_text(spark, d):
-    return view(spark, d, "fx_responses").where("conv_id % 9 <> 8").select("conv_id", "turn", F.length(S.answer_or_text(F.col("response"))).cast("long").alias("n"))
+    return view(spark, d, "fx_responses").select("conv_id", "turn", F.length(S.answer_or_text(F.col("response"))).cast("long").alias("n"))
 
 
-@query("extract_letter", oracle("SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS letter FROM fx_responses WHERE conv_id % 9 <> 8 AND NOT regexp_matches(response, '\\b[A-E]\\b.*<answer>') AND conv_id % 3 <> 2"))
+@query("extract_letter", oracle(f"SELECT conv_id, turn, CASE WHEN regexp_matches(upper({_TAG}), '^[A-E]$') THEN upper({_TAG}) ELSE nullif(regexp_extract(response, '\\b([A-E])\\b', 1), '') END AS letter FROM fx_responses"))
 def extract_letter(spark, d):
-    r = view(spark, d, "fx_responses").where("conv_id % 9 <> 8 and conv_id % 3 <> 2").where(~F.col("response").rlike(r"\b[A-E]\b.*<answer>"))
-    return r.select("conv_id", "turn", S.letter(F.col("response")).alias("letter"))
+    return view(spark, d, "fx_responses").select("conv_id", "turn", S.letter(F.col("response")).alias("letter"))
 
 
 @query("extract_boxed_answer", "SELECT doc_id, concat('x', CAST(doc_id % 17 AS VARCHAR)) AS answer FROM documents")
 def extract_boxed_answer(spark, d):
     t = table(spark, d, "documents")
     text = F.concat(F.lit("<answer>\n\\boxed{x"), (F.col("doc_id") % 17).cast("string"), F.lit("}\n</answer>"))
-    return t.select("doc_id", X.boxed_answer(F.concat(F.substring("text", 1, 40), text)).alias("answer"))
+    return t.select("doc_id", X.boxed_answer(F.concat("text", text)).alias("answer"))
 
 
 @query("canonical_tool", oracle("SELECT raw_tool, CASE raw_tool WHEN 'zoom_in' THEN 'zoom' WHEN 'select' THEN NULL ELSE raw_tool END AS tool, count(*) AS n FROM fx_calls GROUP BY 1, 2"))
@@ -89,13 +88,13 @@ def normalize_args(spark, d):
     return c.select("traj_id", "step", X.normalize_args(args, {"bbox": "bbox_2d"}, ["bbox_2d"])["bbox_2d"].alias("bbox_2d"))
 
 
-_MEDIA = "md AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('<image>', substr(text, 1, 10), '<video>') WHEN 1 THEN concat(substr(text, 1, 10), '<image> and <image>') ELSE substr(text, 1, 10) END AS t FROM documents WHERE substr(text, 1, 10) NOT LIKE '%<%')"
+_MEDIA = "md AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('<image>', text, '<video>') WHEN 1 THEN concat(text, '<image> and <image>') ELSE text END AS t FROM documents)"
 
 
 def _media(spark, d):
-    s = F.substring("text", 1, 10)
+    s = F.col("text")
     t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<image>"), s, F.lit("<video>"))).when(F.col("doc_id") % 3 == 1, F.concat(s, F.lit("<image> and <image>"))).otherwise(s)
-    return table(spark, d, "documents").where(~s.contains("<")).select("doc_id", t.alias("t"))
+    return table(spark, d, "documents").select("doc_id", t.alias("t"))
 
 
 @query("split_media", f"WITH {_MEDIA} SELECT doc_id, len(regexp_extract_all(t, '<image>')) AS images, len(regexp_extract_all(t, '<video>')) AS videos FROM md")

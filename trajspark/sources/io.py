@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,24 @@ TRAJECTORY = "image string, question string, options array<string>, ground_truth
 RL_ROW = "uid string, data_source string, env_name string, prompt array<struct<role:string,content:string>>, mm_hint struct<hint_type:string,hint_path:string>, reward_model struct<style:string,ground_truth:string>, extra_info string, image string"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or in local mode the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and warehouse.split(":")[0] in ("file", warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = warehouse + "/_scratch"
+    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet and read again: lineage is cut, and what was computed once stays the same."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_trajectories(spark: SparkSession, paths: str | list[str], schema: str = TRAJECTORY, encodings: tuple[str, ...] = ("UTF-8",)) -> DataFrame:
     """JSON lines with source_file and line text kept where a line cannot be read (_corrupt); blank lines are skipped. Each
     encoding reads its own group of paths."""
