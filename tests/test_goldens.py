@@ -173,3 +173,19 @@ def test_cues_and_expressions(spark):
     forms = {"1,234,567": "1234567", "2 million": "2*10^6", "3 1/2": "3+1/2", "45 degrees": "45", "10 cm^2": "10", "1,23": "1,23"}
     df = spark.createDataFrame([(k,) for k in forms], "t string").select("t", S.expr_normalize(F.col("t")).alias("n"))
     assert {r.t: r.n for r in df.collect()} == forms
+
+
+def test_positions_of_a_value_that_most_rows_share(spark):
+    from pyspark.sql import functions as F
+
+    from trajspark.operators.protocol import minibatches, with_position
+
+    df = spark.range(2000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"), "id").repartition(5)
+    placed = with_position(df, "k", "v", "id", partitions=8)
+    rows = sorted(placed.collect(), key=lambda r: (r.k, r.v is not None, r.v or 0, r.id))
+    assert [r.row_idx for r in rows] == list(range(2000))
+    # no range holds what one value of the first key would put together
+    dealt = df.repartitionByRange(8, "k", "v", "id").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in dealt) < 700
+    batches = minibatches(placed, 64, 3, seed=5).groupBy("epoch", "batch_id").count().collect()
+    assert sorted(r["count"] for r in batches) == [16] * 3 + [64] * 93

@@ -37,9 +37,9 @@ def udtf_parse_sql(spark, d):
     return spark.sql("SELECT c.tool_name, count(*) AS n FROM fx_responses, LATERAL parse_calls(response) c GROUP BY 1")
 
 
-@query("dataset_plugin", oracle("SELECT count(*) AS n, count(DISTINCT traj_id // 4) AS prompts FROM (SELECT row_number() OVER (ORDER BY traj_id) - 1 AS traj_id FROM fx_traj) x"))
+@query("dataset_plugin", "SELECT count(*) AS n, count(DISTINCT o_orderkey // 4) AS prompts, sum(o_orderkey) AS ids FROM orders")
 def dataset_plugin(spark, d):
-    """As many numbered rows as there are attempts, from the custom source."""
+    """The table's rows, read by the custom source."""
     U.register_all(spark)
-    n = view(spark, d, "fx_traj").count()
-    return spark.read.format("trajectory_rows").option("rows", n).load().agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("prompts"))
+    rows = spark.read.format("trajectory_rows").option("id", "o_orderkey").load(f"{d}/orders.parquet")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("prompts"), F.sum("id").alias("ids"))

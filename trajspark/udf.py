@@ -88,8 +88,8 @@ class ParseCalls:
 
 
 class RowsSource(DataSource):
-    """A custom dataset class as a data source: format "trajectory_rows" with options rows and parts; rows are numbered, and a
-    subclass overrides `row` to make what it holds."""
+    """A custom dataset class as a data source: format "trajectory_rows" reads the Parquet files below option path, a task for
+    each row group, column `id` named by option id; a subclass overrides `uid` to make what its rows hold."""
 
     @classmethod
     def name(cls) -> str:
@@ -98,20 +98,31 @@ class RowsSource(DataSource):
     def schema(self) -> str:
         return "id long, uid string"
 
+    def uid(self, key: int) -> str:
+        return f"u{key // 4}"
+
     def reader(self, schema) -> DataSourceReader:
-        return _RowsReader(int(self.options.get("rows", 0)), int(self.options.get("parts", 4)))
+        return _RowsReader(self.options["path"], self.options.get("id", "id"), self.uid)
 
 
 class _RowsReader(DataSourceReader):
-    def __init__(self, rows: int, parts: int):
-        self.rows, self.parts = rows, parts
+    def __init__(self, path: str, column: str, uid: Callable[[int], str]):
+        self.path, self.column, self.uid = path, column, uid
+
+    def _files(self):
+        from pyarrow import dataset
+
+        return dataset.dataset(self.path, format="parquet").get_fragments()
 
     def partitions(self):
-        return [InputPartition(p) for p in range(self.parts)]
+        return [InputPartition((f.path, g.id)) for f in self._files() for g in f.row_groups]
 
     def read(self, partition):
-        for i in range(partition.value, self.rows, self.parts):
-            yield i, f"u{i // 4}"
+        path, group = partition.value
+        fragment = next(f for f in self._files() if f.path == path)
+        for batch in fragment.subset(row_group_ids=[group]).to_batches(columns=[self.column]):
+            for key in batch.column(0).to_pylist():
+                yield key, self.uid(key)
 
 
 def register_all(spark: SparkSession) -> None:
