@@ -18,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a folder in the warehouse."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode where that is unset a folder in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base or spark.conf.get("spark.sql.warehouse.dir") + "/_stash"
+    if base:
+        return base
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and warehouse.split(":")[0] in ("file", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return warehouse + "/_stash"
 
 
 def stash(df: DataFrame) -> DataFrame:

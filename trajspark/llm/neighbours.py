@@ -139,7 +139,7 @@ def build_index(rows: DataFrame, forests: dict[int, Forest], counts: dict[int, i
     return stash(dealt.groupBy("dim", "shard").applyInArrow(build, _INDEX))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, trees: int = 128, share: float = 0.08, least: int = 200, shard: int = 8192, block: int = 20_000, sample: int = 4000) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, trees: int = 128, share: float = 0.08, least: int = 250, shard: int = 8192, block: int = 20_000, sample: int = 4000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found rows for each query (frames of vec_id, embedding)."""
     spark = rows.sparkSession
     asked = stash(valid_vectors(queries))
