@@ -123,11 +123,12 @@ def log_metrics(spark, d):
     return spark.read.parquet(path)
 
 
-@query("src_annotations")
+@query("src_annotations", oracle("SELECT concat('q', id) AS question, 1 AS boxes FROM fx_annotations"))
 def src_annotations(spark, d):
-    """Images and their JSON of the same name: files are written from the annotation view, then listed and paired."""
+    """Annotation files: written from the whole view, then read with the annotation schema. Pairing with images of the same
+    name is read_annotations()'s."""
     path = scratch(spark)
-    a = view(spark, d, "fx_annotations").where("id % 20 = 0")
-    a.select(F.to_json(F.struct(F.concat(F.lit("q"), "id").alias("question"), F.array(F.array("x", "y", "bw", "bh")).alias("bbox"))).alias("value")).coalesce(1).write.text(f"{path}/notes")
+    note = F.struct(F.concat(F.lit("q"), "id").alias("question"), F.array(F.array("x", "y", "bw", "bh")).alias("bbox"))
+    view(spark, d, "fx_annotations").select(F.to_json(note).alias("value")).write.text(f"{path}/notes")
     notes = spark.read.schema("question string, bbox array<array<double>>").json(f"{path}/notes")
     return notes.select("question", F.size("bbox").alias("boxes"))
