@@ -125,14 +125,42 @@ def last_line_answer(text: Column) -> Column:
     return F.coalesce(F.get(found, F.size(found) - 1), F.lit("[INVALID]"))
 
 
+# fixed values: replacements and removals of the final-answer normal form, in their order
+FINAL_REPLACED = [
+    ("an ", ""),
+    ("a ", ""),
+    (".$", "$"),
+    ("\\$", ""),
+    ("\\ ", ""),
+    (" ", ""),
+    ("mbox", "text"),
+    (",\\text{and}", ","),
+    ("\\text{and}", ","),
+    ("\\text{m}", "\\text{}"),
+]
+FINAL_REMOVED = [
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet",
+    "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students",
+    "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}",
+    "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
+]
+
+
 def final_answer_normalize(text: Column) -> Column:
-    """Plain part of the final-answer normal form: what follows the last =, without units, spaces, dollars and the commas of
-    whole numbers."""
+    r"""Normal form of a final answer: what follows the last =, without units and spaces; only the inside of $...$, \text,
+    \textbf, \overline and \boxed; \frac and \sqrt of single characters in braces; whole numbers without commas."""
     s = F.element_at(F.split(text, "="), -1)
-    for gone in ("square", "units", "dollars", "degrees", "\\$", "$", " "):  # fixed values
-        s = F.replace(s, F.lit(gone), F.lit(""))
+    for old, new in FINAL_REPLACED + [(gone, "") for gone in FINAL_REMOVED]:
+        s = F.replace(s, F.lit(old), F.lit(new))
+    s = F.regexp_replace(s, r".*?\$(.*?)\$.*", r"\$$1\$")
+    for macro in ("text", "textbf", "overline"):
+        s = F.regexp_replace(s, rf"\\{macro}\{{(.*?)\}}", "$1")
+    s = F.regexp_replace(s, r"\\boxed\{(.*)\}", "$1")
+    s = F.regexp_replace(s, r"frac([^{])(.)", "frac{$1}{$2}")
+    s = F.regexp_replace(s, r"sqrt([^{])", "sqrt{$1}")
+    s = F.replace(s, F.lit("$"), F.lit(""))
     plain = F.replace(s, F.lit(","), F.lit(""))
-    return F.when(plain.rlike("^[0-9]+$"), plain).otherwise(s)
+    return F.regexp_replace(F.when(plain.rlike(r"^[0-9]+\z"), plain).otherwise(s), r"^\s+|\s+$", "")
 
 
 def score_minerva(text: Column, gt: Column) -> Column:

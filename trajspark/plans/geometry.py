@@ -20,12 +20,12 @@ def pairs(spark, d):
     return c.join(g, "traj_id")
 
 
-@query("iou", oracle(f"WITH {_PAIRS} SELECT p.traj_id, p.step, p.box_idx, round(CAST({iou_sql('p', 'gt')} AS DOUBLE), 6) AS value FROM p JOIN gt ON p.traj_id = gt.traj_id AND p.step = gt.step AND p.box_idx = gt.box_idx"))
+@query("iou", oracle(f"SELECT c.traj_id, c.step, g.box_idx, round(CAST({iou_sql('c', 'g')} AS DOUBLE), 6) AS value FROM fx_calls c JOIN fx_gt g ON c.traj_id = g.traj_id WHERE c.x1 IS NOT NULL"))
 def iou(spark, d):
     return pairs(spark, d).select("traj_id", "step", "box_idx", F.round(G.iou(F.col("box"), F.col("gt")), 6).alias("value"))
 
 
-@query("iou_demo", oracle(f"WITH {_PAIRS} SELECT p.traj_id, round(max(CAST({iou_sql('p', 'gt')} AS DOUBLE)), 6) AS value FROM p JOIN gt ON p.traj_id = gt.traj_id AND p.step = gt.step AND p.box_idx = gt.box_idx GROUP BY 1"))
+@query("iou_demo", oracle(f"SELECT c.traj_id, round(max(CAST({iou_sql('c', 'g')} AS DOUBLE)), 6) AS value FROM fx_calls c JOIN fx_gt g ON c.traj_id = g.traj_id WHERE c.x1 IS NOT NULL GROUP BY 1"))
 def iou_demo(spark, d):
     """The demo's variant is the same as iou on valid boxes."""
     return pairs(spark, d).groupBy("traj_id").agg(F.round(F.max(G.iou(F.col("box"), F.col("gt"))), 6).alias("value"))

@@ -97,9 +97,31 @@ def score_exact(spark, d):
     return view(spark, d, "fx_traj").select("traj_id", S.score_exact(text, F.lit("a")).alias("score"))
 
 
-@query("final_answer_normalize", oracle("SELECT id, ground_truth AS answer FROM fx_numeric"))
+# answers as they are written, by id, with # for the number, and their normal forms
+_ANSWERS = [
+    ("x = $#\\$ units", "#"),
+    ("\\boxed{#}", "#"),
+    ("\\frac12 + #", "\\frac{1}{2}+#"),
+    ("\\sqrt3 \\cdot #", "\\sqrt{3}\\cdot#"),
+    ("#,000", "#000"),
+    ("# \\text{ and } 8", "#8"),
+    ("x,# \\text{ and } 8", "x,#,8"),
+    ("#^{\\circ}", "#"),
+    ("\\textbf{#} miles", "#miles"),
+    ("AB = \\overline{#}", "#"),
+    ("so $#$, which is it", "#"),
+    ("about $\\mbox{# cm}$", "#"),
+    ("# \\text{m}^2", "#"),
+    ("a box of #\\,\\mathrm{th}", "boxof#\\,"),
+]
+_WRITTEN = " ".join(f"WHEN {k} THEN replace('{normal}', '#', ground_truth)" for k, (_, normal) in enumerate(_ANSWERS))
+
+
+@query("final_answer_normalize", oracle(f"SELECT id, CASE id % {len(_ANSWERS)} {_WRITTEN} END AS answer FROM fx_numeric"))
 def final_answer_normalize(spark, d):
-    return view(spark, d, "fx_numeric").select("id", S.final_answer_normalize(F.concat(F.lit("x = $"), F.col("ground_truth"), F.lit("\\$ units"))).alias("answer"))
+    """Every row's number, written in one of the ways above."""
+    way = F.get(F.array(*[F.lit(a) for a, _ in _ANSWERS]), (F.col("id") % len(_ANSWERS)).cast("int"))
+    return view(spark, d, "fx_numeric").select("id", S.final_answer_normalize(F.replace(way, F.lit("#"), F.col("ground_truth"))).alias("answer"))
 
 
 @query("score_minerva", oracle("SELECT id, CASE WHEN regexp_extract(response, '#### ([0-9]+)', 1) = ground_truth THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM fx_numeric"))
@@ -114,14 +136,14 @@ def score_strict_box(spark, d):
     return view(spark, d, "fx_numeric").select("id", S.score_strict_box(text, F.col("ground_truth")).alias("score"))
 
 
-@query("score_math")
+@query("score_math", oracle("SELECT id, CASE WHEN regexp_extract(response, '#### ([0-9]+)', 1) = ground_truth THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM fx_numeric"))
 def score_math(spark, d):
     text = F.concat(F.col("response"), F.lit(" \\boxed{\\dfrac{"), S.gsm8k_strict(F.col("response")), F.lit("}{2}}"))
     gt = F.concat(F.lit("\\frac{"), F.col("ground_truth"), F.lit("}{2}"))
     return view(spark, d, "fx_numeric").select("id", S.score_math(text, gt).alias("score"))
 
 
-@query("math_normalize")
+@query("math_normalize", oracle("SELECT id, concat('\\frac{', ground_truth, '}{7}') AS text FROM fx_numeric"))
 def math_normalize(spark, d):
     return view(spark, d, "fx_numeric").select("id", S.math_normalize(F.concat(F.lit(" k = "), F.col("ground_truth"), F.lit("/7 \\%"))).alias("text"))
 
@@ -202,12 +224,12 @@ def job_score_responses(spark, d):
     return s.groupBy("data_source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("score"), F.round(F.avg(S.flag((F.col("strict") == 1) == (F.col("mra") >= 0.5))), 6).alias("agreement"))
 
 
-@query("answer_cue_match")
+@query("answer_cue_match", oracle("SELECT id, ground_truth AS answer FROM fx_numeric"))
 def answer_cue_match(spark, d):
     text = F.concat(F.col("response"), F.lit(". So the answer is: "), F.col("ground_truth"), F.lit("."))
     return view(spark, d, "fx_numeric").select("id", S.answer_cue_match(text).alias("answer"))
 
 
-@query("expr_normalize")
+@query("expr_normalize", oracle("SELECT id, concat(ground_truth, '000') AS text FROM fx_numeric"))
 def expr_normalize(spark, d):
     return view(spark, d, "fx_numeric").select("id", S.expr_normalize(F.concat(F.col("ground_truth"), F.lit(",000 Miles"))).alias("text"))

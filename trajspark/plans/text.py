@@ -175,7 +175,7 @@ def gsm8k_extract(spark, d):
     return view(spark, d, "fx_numeric").select("id", S.gsm8k_strict(F.col("response")).alias("strict"), S.gsm8k_flexible(F.col("response")).alias("flexible"))
 
 
-@query("last_boxed")
+@query("last_boxed", oracle("SELECT id, concat('\\frac{a}{', ground_truth, '}') AS boxed FROM fx_numeric"))
 def last_boxed(spark, d):
     t = F.concat(F.col("response"), F.lit(" so \\boxed{1} or \\boxed{\\frac{a}{"), F.col("ground_truth"), F.lit("}} end"))
     return view(spark, d, "fx_numeric").select("id", S.last_boxed(t).alias("boxed"))
