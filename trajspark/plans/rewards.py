@@ -212,6 +212,24 @@ def call_validity(spark, d):
     return trajectories(spark, d).select(F.explode(R.call_validities(F.col("tool_calls"))).alias("validity")).groupBy("validity").agg(F.count(F.lit(1)).alias("n"))
 
 
+_WAY = "(traj_id + step) % 8"
+_LEVEL = f"""CASE WHEN {_WAY} IN (0, 1) THEN 0 WHEN raw_tool = 'select' THEN 1 WHEN {_WAY} = 3 THEN 2
+WHEN raw_tool IN ('crop','zoom','zoom_in') THEN CASE WHEN {_WAY} IN (4, 5) THEN 2 WHEN x2 > x1 AND y2 > y1 THEN 3 ELSE 2 END
+WHEN raw_tool = 'rotate' AND {_WAY} = 6 THEN 2 ELSE 3 END"""
+
+
+@query("call_validity_levels", oracle(f"SELECT traj_id, step, {_LEVEL} AS validity FROM fx_calls"))
+def call_validity_levels(spark, d):
+    """Every call, damaged in one of eight ways: no name, raw text that is no object, one or two unknown parameters, a
+    turned box, no box, no angle, or not at all."""
+    way, box = F.expr(_WAY), F.array("x1", "y1", "x2", "y2")
+    name = F.when(way == 0, "").otherwise(F.col("raw_tool"))
+    raw = F.when(way == 1, "zoom(1, 2)").when(way == 2, ' {"name": "zoom"}')
+    params = F.when(way == 2, F.array(F.lit("p1"))).when(way == 3, F.array(F.lit("p1"), F.lit("P2"))).otherwise(F.array().cast("array<string>"))
+    bbox = F.when(way == 4, F.array("x2", "y2", "x1", "y1")).when((way != 5) & F.col("x1").isNotNull(), box)
+    return view(spark, d, "fx_calls").select("traj_id", "step", R.validity(name, raw, params, bbox, way != 6).alias("validity"))
+
+
 @query("gate_strict", oracle(f"WITH {VALID_CTE} SELECT t.traj_id, CAST(coalesce(strict, 1) AS DOUBLE) AS gate FROM fx_traj t LEFT JOIN vt ON t.traj_id = vt.traj_id"))
 def gate_strict(spark, d):
     return trajectories(spark, d).select("traj_id", R.gate_strict(R.call_validities(F.col("tool_calls"))).alias("gate"))
