@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP13_SQL, op13_collocations
 from .decontaminate import op3_decontaminate
 from .language import op5_language
 from .lm import op6_lm_score
@@ -17,11 +18,11 @@ from .urls import op10_urls
 def queries() -> dict:
     import corpus_pipeline
 
-    ops = (op1_spans, op2_pii, op3_decontaminate, op4_simhash, op5_language, op6_lm_score, op7_quality, op8_mixing, op9_neighbours, op10_urls)
+    ops = (op1_spans, op2_pii, op3_decontaminate, op4_simhash, op5_language, op6_lm_score, op7_quality, op8_mixing, op9_neighbours, op10_urls, op13_collocations)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Trained models and graph components are beyond SQL, and the rest is too slow there on whole tables; tests/llm has
+    """Trained models and graph components are beyond SQL, and some others are too slow there on whole tables; tests/llm has
     brute-force versions on small tables instead."""
-    return {}
+    return {"op13_collocations": OP13_SQL}
