@@ -50,7 +50,14 @@ def records_of(pages: DataFrame, least: int = 1000, date: str = "2024-01-01T00:0
     groups = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low"))
     # one row for each digest that several page_ids share; written, so that a hot digest's pages can be split
     groups = stash(groups.where("low < top").select(F.col("sha").alias("of_sha"), "top"))
-    rows = rows.hint("merge").join(groups.hint("merge"), F.col("sha") == F.col("of_sha"), "left")
+    # a bitmap of those digests, of at most 2^20 rows: pages outside of it are written where they are read
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << 26) - 1))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(c).bitwiseAND(F.lit(63)).cast("int"))
+    cells = stash(groups.groupBy(F.shiftright(place("of_sha"), 6).alias("cell")).agg(F.bit_or(bit("of_sha")).alias("bits")))
+    rows = rows.join(F.broadcast(cells), F.shiftright(place("sha"), 6) == F.col("cell"), "left").withColumn("shared", F.coalesce(F.col("bits").bitwiseAND(bit("sha")) != 0, F.lit(False)))
+    joined = rows.where("shared").hint("merge").join(groups.hint("merge"), F.col("sha") == F.col("of_sha"), "left")
+    names = ["page_id", "url", "payload", "sha", "top"]
+    rows = rows.where("not shared").withColumn("top", F.lit(None).cast("long")).select(names).unionByName(joined.select(names))
     again = F.coalesce(F.col("page_id") < F.col("top"), F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     block = F.when(again, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
