@@ -3,16 +3,15 @@
 Every word position of a piece starts a suffix of at most `deepest` words. The suffixes are dealt by their word prefix into
 groups, as many as keep a group near half of a memory budget; a group's suffixes are sorted, which lays out its subtree, equal
 suffixes are leaves, and the count of every phrase (an inner node) is the total of the leaves below it. Groups know nothing of
-each other. The prefix has two words to begin with; where a group's load is above the budget all the same (a frequent prefix),
-its suffixes are dealt again by a prefix one word longer, up to whole suffixes, of which each block has one counted row.
+each other. A prefix has two words, and one word more for as long as its group's load would be above the budget (a frequent
+prefix), up to the whole suffix, of which each block has one counted row.
 
 Two passes read the texts, in blocks of whole or cut texts with numpy and Arrow:
 
-1. words of each block with their counts, summed by Spark: f of single words and n. Words of at least `least` occurrences
-   are marked in a bitmap of fixed size (8 MB), broadcast: a word that is not marked cannot stand in a candidate.
-2. suffixes, cut before the first unmarked word; equal ones of a block are one row with a count. A block's suffixes of one
-   group travel packed: its words once and a matrix of their numbers. A filled bitmap (a huge vocabulary) marks more words
-   than it must and changes no result.
+1. words of each block with their counts, and how many suffixes fall into each group at each length of prefix, both summed
+   by Spark: f of single words, n and the loads. Which groups are above the budget is one bit a group, broadcast.
+2. suffixes; equal ones of a block are one row with a count. A block's suffixes of one group travel packed: its words once
+   and a matrix of their numbers.
 
 Counts, cuts, scores and the ranking are DataFrame joins and windows; scores are whole decimals (exact while 1000*a*n is
 below 1e38). The first `top` phrases of a language are found per hash slot first, so no task sorts a language.
@@ -41,8 +40,7 @@ KIND = np.zeros(256, np.uint8)  # 0: of a word, 1: between words, 2: between pie
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 _GAP = re.compile(rb"[ \t.,;:!?\x0A-\x0D]")
-_BITS = 26
-_PACKED = "grp long, lang string, n long, words binary, ids binary, counts binary"
+_PACKED = "grp long, lang string, n long, size long, words binary, ids binary, counts binary"
 
 
 def cut_up(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,41 +94,48 @@ def segments(data: bytes, size: int, deepest: int):
         at = stop
 
 
-def _words(docs: DataFrame, size: int, deepest: int) -> DataFrame:
-    """lang, word, f: how often each word stands in a block; several rows a word."""
+def _loads(hashes: np.ndarray, rows: np.ndarray, depth: int, groups: int) -> np.ndarray:
+    """The group of each row by its first `depth` words."""
+    known = np.concatenate([np.zeros(1, np.uint64), hashes])
+    mix = np.full(len(rows), 0x9E3779B97F4A7C15 * (depth + 1) & (1 << 64) - 1, np.uint64)
+    for c in range(depth):
+        mix = (mix ^ known[rows[:, c]]) * np.uint64(0xFF51AFD7ED558CCD)
+        mix ^= mix >> np.uint64(32)
+    return (mix % np.uint64(groups)).astype(np.int64)
 
-    def run(batches):
-        for lang, data, own in blocks(batches, size, deepest):
-            words, ids, _, start = cut_up(data)
-            n = np.bincount(ids[: np.searchsorted(start, own)], minlength=len(words))
-            seen = np.flatnonzero(n)
-            if len(seen):
-                yield from pa.table({"lang": pa.repeat(pa.scalar(lang), len(seen)), "word": words.take(pa.array(seen)), "f": pa.array(n[seen])}).to_batches(65536)
 
-    return docs.mapInArrow(run, "lang string, word string, f long")
+def _counted(docs: DataFrame, size: int, deepest: int, groups: int) -> DataFrame:
+    """lang, word, grp, f, several rows each: how often a word stands in a block, and (word null) a group's suffixes there."""
 
+    def run(batches):
+        for lang, data, end in blocks(batches, size, deepest):
+            words, ids, fresh, start = cut_up(data)
+            if not len(words):
+                continue
+            own = int(np.searchsorted(start, end))
+            n = np.bincount(ids[:own], minlength=len(words))
+            seen = np.flatnonzero(n)
+            rows, hashes = _suffixes(ids, fresh, own, deepest), _hashes(lang, words)
+            load = np.concatenate([np.bincount(_loads(hashes, rows, d, groups), minlength=groups) for d in range(2, deepest + 1)])
+            full = np.flatnonzero(load)
+            yield from pa.table({"lang": pa.repeat(pa.scalar(lang), len(seen)), "word": words.take(pa.array(seen)), "grp": pa.nulls(len(seen), pa.int64()), "f": pa.array(n[seen])}).to_batches(65536)
+            yield from pa.table({"lang": pa.nulls(len(full), pa.string()), "word": pa.nulls(len(full), pa.string()), "grp": pa.array(full + 2 * groups), "f": pa.array(load[full])}).to_batches(65536)
 
-def _mark(words: DataFrame) -> np.ndarray:
-    """A bitmap of 2^26 places, set where a frequent word's hash falls: at most 2^20 longs reach the driver."""
-    place = F.xxhash64("lang", "word").bitwiseAND(F.lit((1 << _BITS) - 1))
-    cells = words.select(F.shiftright(place, 6).alias("cell"), F.expr("shiftleft(1L, cast(%d & xxhash64(lang, word) as int))" % 63).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (_BITS - 6), np.int64)
-    out[np.asarray(cells["cell"])] = np.asarray(cells["bits"])
-    return out.view(np.uint64)
+    return docs.mapInArrow(run, "lang string, word string, grp long, f long")
 
 
 def _hashes(lang: str, words: pa.Array) -> np.ndarray:
-    """The same hash as Spark's xxhash64(lang, word)."""
+    """A hash of (lang, word) that is the same in every block."""
     seed = xxhash.xxh64_intdigest(lang.encode(), 42)
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
 
 
-def _suffixes(ids: np.ndarray, fresh: np.ndarray, good: np.ndarray, own: int, deepest: int) -> np.ndarray:
-    """A row of word numbers (from 1; 0: none) for each own token that begins a suffix of two good words or more."""
+def _suffixes(ids: np.ndarray, fresh: np.ndarray, own: int, deepest: int) -> np.ndarray:
+    """A row of word numbers (from 1; 0: none) for each own token that begins a suffix of two words or more."""
     n = len(ids)
     out = np.zeros((n, deepest), np.int32)
-    live, goes_on = good, good & ~fresh
-    out[:, 0] = np.where(live, ids + 1, 0)
+    live, goes_on = np.ones(n, bool), ~fresh
+    out[:, 0] = ids + 1
     for d in range(1, min(deepest, n)):
         live = live[: n - d] & goes_on[d:]
         out[: n - d, d] = np.where(live, ids[d:] + 1, 0)
@@ -161,14 +166,15 @@ def leaves(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows[first], np.add.reduceat(counts[order], first)
 
 
-def _deal(lang: str, words: pa.Array, hashes: np.ndarray, rows: np.ndarray, counts: np.ndarray, depth: int, groups: int):
-    """Packed chunks of sorted leaves, one for each group that they fall into by their first `depth` words."""
-    known = np.concatenate([np.zeros(1, np.uint64), hashes])
-    mix = np.full(len(rows), 0x9E3779B97F4A7C15 * (depth + 1) & (1 << 64) - 1, np.uint64)
-    for c in range(depth):
-        mix = (mix ^ known[rows[:, c]]) * np.uint64(0xFF51AFD7ED558CCD)
-        mix ^= mix >> np.uint64(32)
-    grp = (mix % np.uint64(groups)).astype(np.int64)
+def _deal(lang: str, words: pa.Array, hashes: np.ndarray, rows: np.ndarray, counts: np.ndarray, groups: int, over: np.ndarray):
+    """Packed chunks of sorted leaves, one for each group that they fall into. over: by length of prefix and group, whether
+    its load is above the budget; group numbers begin at depth * groups."""
+    grp = np.full(len(rows), -1)
+    for depth in range(2, rows.shape[1] + 1):
+        open_ = np.flatnonzero(grp < 0)
+        g = _loads(hashes, rows[open_], depth, groups)
+        fits = ~over[depth - 2, g] if depth < rows.shape[1] else np.ones(len(g), bool)
+        grp[open_[fits]] = g[fits] + depth * groups
     order = np.argsort(grp, kind="stable")
     grp, rows, counts = grp[order], rows[order], counts[order]
     edges = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1], [True]])) if len(grp) else []
@@ -181,25 +187,31 @@ def _deal(lang: str, words: pa.Array, hashes: np.ndarray, rows: np.ndarray, coun
         else:
             local = local + 1
         kind = np.uint16 if len(used) < 65535 else np.int32
-        text = b"\n".join(words.take(pa.array(used - 1)).cast(pa.binary()).to_pylist())
-        yield int(grp[a]), lang, int(b - a), text, codec.compress(local.astype(kind).tobytes("F"), asbytes=True), codec.compress(counts[a:b].astype(np.int64).tobytes(), asbytes=True)
+        chosen = words.take(pa.array(used - 1)).cast(pa.binary())
+        order = pc.sort_indices(chosen).to_numpy()  # sorted words pack well
+        place = np.zeros(len(used) + 1, np.int32)
+        place[order + 1] = np.arange(1, len(used) + 1)
+        local = place[local]
+        text = b"\n".join(chosen.take(pa.array(order)).to_pylist())
+        yield int(grp[a]), lang, int(b - a), len(text), codec.compress(text, asbytes=True), codec.compress(local.astype(kind).tobytes("F"), asbytes=True), codec.compress(counts[a:b].astype(np.int64).tobytes(), asbytes=True)
 
 
 def _open(chunk: dict, deepest: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """words, rows, counts of a packed chunk."""
-    words = pc.split_pattern(pa.array([chunk["words"]], pa.binary()).cast(pa.string()), "\n").values
-    kind, codec, n = np.uint16 if len(words) < 65535 else np.int32, pa.Codec("zstd"), chunk["n"]
+    codec, n = pa.Codec("zstd"), chunk["n"]
+    words = pc.split_pattern(pa.array([codec.decompress(chunk["words"], chunk["size"], asbytes=True).decode()]), "\n").values
+    kind = np.uint16 if len(words) < 65535 else np.int32
     ids = np.frombuffer(codec.decompress(chunk["ids"], n * deepest * np.dtype(kind).itemsize), kind).reshape(deepest, n).T
     return words, ids.astype(np.int32), np.frombuffer(codec.decompress(chunk["counts"], n * 8), np.int64)
 
 
 def _as_batches(rows, rows_each: int = 256):
     names = [c.split()[0] for c in _PACKED.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     held, size = [], 0
     for r in rows:
         held.append(r)
-        size += len(r[3]) + len(r[4]) + len(r[5])
+        size += len(r[4]) + len(r[5]) + len(r[6])
         if len(held) == rows_each or size > 4 << 20:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
             held, size = [], 0
@@ -207,12 +219,12 @@ def _as_batches(rows, rows_each: int = 256):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
 
 
-def _subtrees(parts: DataFrame, depth: int, deepest: int, least: int) -> DataFrame:
-    """lang, phrase, words, f of the nodes of each group's subtree, from its sorted leaves. Nodes of at least `depth` words are
-    whole in their group and are kept from `least` on; shorter ones are parts of a total."""
+def _subtrees(parts: DataFrame, groups: int, deepest: int, least: int) -> DataFrame:
+    """lang, phrase, words, f of the nodes of each group's subtree, from its sorted leaves. Nodes of at least the words of the
+    group's prefixes are whole in it and are kept from `least` on; shorter ones are parts of a total."""
 
     def build(t: pa.Table) -> pa.Table:
-        out = []
+        out, depth = [], t["grp"][0].as_py() // groups
         for lang in pc.unique(t["lang"]).to_pylist():
             chunks = [_open(c, deepest) for c in t.filter(pc.equal(t["lang"], lang)).to_pylist()]
             coded = pa.concat_arrays([c[0] for c in chunks]).dictionary_encode()
@@ -239,59 +251,36 @@ def _subtrees(parts: DataFrame, depth: int, deepest: int, least: int) -> DataFra
     return parts.groupBy("grp").applyInArrow(build, "lang string, phrase string, words int, f long")
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, deepest: int = 5, budget: int = 2_000_000, block: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 100, deepest: int = 5, budget: int = 2_000_000, block: int = 6 << 20) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of 1 to `deepest` words that occur at least `least` times, and (lang, n).
 
-    budget: leaves that one task may hold, about 60 bytes each; block: bytes of text that a task cuts up at a time."""
+    budget: suffixes that one task may hold, about 60 bytes each; block: bytes of text that a task cuts up at a time."""
     spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, size // (3 * budget))  # half a budget each at 6 bytes a word
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    single = stash(_words(texts, block, deepest).groupBy("lang", "word").agg(F.sum("f").alias("f")))
-    sums = stash(single.groupBy("lang").agg(F.sum("f").alias("n")))
-    often = stash(single.where(F.col("f") >= least))
-    bitmap = spark.sparkContext.broadcast(_mark(often))
-    tokens = sums.agg(F.sum("n")).first()[0] or 0
-    groups = max(1, -(-tokens * 2 // budget))
+    single = stash(_counted(texts, block, deepest, groups).groupBy("lang", "word", "grp").agg(F.sum("f").alias("f")).where((F.col("f") > budget) | F.col("grp").isNull()))
+    sums = stash(single.where("word is not null").groupBy("lang").agg(F.sum("f").alias("n")))
+    over = np.zeros((deepest - 1, groups), bool)
+    for r in single.where("grp is not null").select("grp").toLocalIterator():  # at most one in `budget` suffixes
+        over[divmod(r["grp"] - 2 * groups, groups)] = True
+    shared = spark.sparkContext.broadcast(over)
 
     def suffixes(batches):
         def rows():
-            for lang, data, own in blocks(batches, block, deepest):
+            for lang, data, end in blocks(batches, block, deepest):
                 words, ids, fresh, start = cut_up(data)
-                if not len(words):
-                    continue
-                hashes = _hashes(lang, words)
-                place = hashes & np.uint64((1 << _BITS) - 1)
-                good = (bitmap.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-                found = _suffixes(ids, fresh, good[ids], int(np.searchsorted(start, own)), deepest)
-                found, counts = leaves(found, np.ones(len(found), np.int64))
-                yield from _deal(lang, words, hashes, found, counts, 2, groups)
+                if len(words):
+                    found = _suffixes(ids, fresh, int(np.searchsorted(start, end)), deepest)
+                    found, counts = leaves(found, np.ones(len(found), np.int64))
+                    yield from _deal(lang, words, _hashes(lang, words), found, counts, groups, shared.value)
 
         yield from _as_batches(rows())
 
-    done, parts = [], stash(texts.mapInArrow(suffixes, _PACKED))
-    for depth in range(2, deepest + 1):
-        load = parts.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") > budget)
-        # read back: its size is that of a file, so Spark may choose how to join it
-        over = stash(load.select("grp"))
-        last = depth == deepest or over.isEmpty()
-        done.append(_subtrees(parts if last else parts.join(over, "grp", "left_anti"), depth, deepest, least))
-        if last:
-            break
-
-        def again(batches, depth=depth + 1):
-            def rows():
-                for batch in batches:
-                    for c in batch.to_pylist():
-                        words, ids, counts = _open(c, deepest)
-                        yield from _deal(c["lang"], words, _hashes(c["lang"], words), ids, counts, depth, groups)
-
-            yield from _as_batches(rows())
-
-        parts = stash(parts.join(over, "grp", "left_semi").mapInArrow(again, _PACKED))
-    nodes = done[0]
-    for more in done[1:]:
-        nodes = nodes.unionByName(more)
-    if len(done) > 1:  # nodes above the prefix of a group that was dealt again are in parts
+    nodes = _subtrees(texts.mapInArrow(suffixes, _PACKED), groups, deepest, least)
+    if over.any():  # nodes above the prefixes of a group are in parts
         nodes = nodes.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    often = single.where((F.col("f") >= least) & F.col("word").isNotNull())
     ones = often.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")
     return stash(ones.unionByName(nodes)), sums
 
