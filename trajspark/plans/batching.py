@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import oracle, table, trajectories, view
 from ..operators import batching as B
+from ..operators import differencing as D
 from ..operators import groups, protocol
 from ..registry import query
 
@@ -57,12 +58,36 @@ def balance_equal(spark, d):
     return b.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("trajlength").alias("tokens"))
 
 
-@query("balance_greedy")
+_GREEDY = """WITH RECURSIVE o AS (SELECT step, trajlength AS w, row_number() OVER (PARTITION BY step ORDER BY trajlength DESC, traj_id) AS r FROM fx_traj),
+g AS (SELECT DISTINCT step, CAST(0 AS BIGINT) AS r, CAST([0, 0, 0, 0] AS BIGINT[]) AS s, CAST([0, 0, 0, 0] AS BIGINT[]) AS c FROM o
+  UNION ALL SELECT g.step, o.r, list_transform(g.s, lambda x, i: x + CASE WHEN i = list_position(g.s, list_min(g.s)) THEN o.w ELSE 0 END),
+    list_transform(g.c, lambda x, i: x + CASE WHEN i = list_position(g.s, list_min(g.s)) THEN 1 ELSE 0 END) FROM g JOIN o ON o.step = g.step AND o.r = g.r + 1),
+e AS (SELECT step, arg_max(s, r) AS s, arg_max(c, r) AS c FROM g GROUP BY 1)
+SELECT step, CAST(unnest(range(0, 4)) AS INTEGER) AS part, unnest(c) AS n, unnest(s) AS tokens FROM e"""
+
+
+@query("balance_greedy", oracle(_GREEDY).replace("WITH fx_traj AS", "WITH RECURSIVE fx_traj AS").replace(", RECURSIVE o AS", ", o AS"))
 def balance_greedy(spark, d):
     b = B.balance_greedy(traj(spark, d), "step", "trajlength", "traj_id", 4)
     return b.groupBy("step", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("trajlength").alias("tokens"))
 
 
+_SERP_STEP = "s AS (SELECT step, trajlength, (row_number() OVER (PARTITION BY step ORDER BY trajlength DESC, traj_id) - 1) % 16 AS t FROM fx_traj), b AS (SELECT step, sum(trajlength) AS w FROM s GROUP BY step, CASE WHEN t < 8 THEN t ELSE 15 - t END), x AS (SELECT step, max(w) - min(w) AS dealt FROM b GROUP BY 1)"
+
+
+@query("balance_differencing", oracle(f"WITH {_SERP_STEP}, n AS (SELECT step, count(*) AS n, sum(trajlength) AS tokens FROM fx_traj GROUP BY 1) SELECT n.step, n.n, CAST(n.tokens AS BIGINT) AS tokens, CAST(8 AS BIGINT) AS parts, n.n % 8 <> 0 AS uneven, true AS no_worse FROM n JOIN x ON n.step = x.step"))
+def balance_differencing(spark, d):
+    """Each step dealt to 8 parts by largest differencing with equal counts: what the parts add up to, whether counts differ,
+    and whether the spread is at most that of the serpentine deal."""
+    t = traj(spark, d)
+    each = D.balance_differencing(t, "step", "trajlength", "traj_id", 8).groupBy("step", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("trajlength").alias("w"))
+    each = each.groupBy("step").agg(F.sum("c").alias("n"), F.sum("w").alias("tokens"), F.count(F.lit(1)).alias("parts"), (F.max("c") > F.min("c")).alias("uneven"), (F.max("w") - F.min("w")).alias("spread"))
+    turn = F.pmod(F.col("_pos"), F.lit(16))
+    dealt = D.placed_in_batch(t, "step", "trajlength", "traj_id").groupBy(F.col("step").alias("s"), F.when(turn < 8, turn).otherwise(15 - turn)).agg(F.sum("trajlength").alias("w"))
+    dealt = dealt.groupBy("s").agg((F.max("w") - F.min("w")).alias("dealt"))
+    return each.hint("merge").join(dealt.hint("merge"), F.col("step") == F.col("s")).select("step", "n", "tokens", "parts", "uneven", (F.col("spread") <= F.col("dealt")).alias("no_worse"))
+
+
 @query("balance_stats", oracle(f"WITH {_SERP}, x AS (SELECT part, sum(trajlength) AS s FROM b GROUP BY 1) SELECT CAST(min(s) AS BIGINT) AS least, CAST(max(s) AS BIGINT) AS most, round(avg(s), 4) AS mean, CAST(max(s) - min(s) AS BIGINT) AS spread FROM x"))
 def balance_stats(spark, d):
     s = B.balance_stats(B.balance_serpentine(traj(spark, d), "trajlength", "traj_id", 8), "trajlength", "part")
@@ -77,6 +102,19 @@ def microbatch_tokens(spark, d):
     return B.balance_serpentine(t, "trajlength", "traj_id", parts).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("trajlength").alias("tokens"))
 
 
+_CHUNKS = "c AS (SELECT step, CAST((row_number() OVER (PARTITION BY step ORDER BY traj_id) - 1) // 512 AS INTEGER) AS chunk, trajlength AS w FROM fx_traj), k AS (SELECT step, chunk, count(*) AS n, sum(w) AS tokens, max(w) AS widest, CAST(ceil(sum(w) / 1000000.0) AS BIGINT) AS parts FROM c GROUP BY 1, 2)"
+
+
+@query("microbatch_differencing", oracle(f"WITH {_CHUNKS} SELECT step, chunk, n, CAST(tokens AS BIGINT) AS tokens, parts, true AS fits FROM k"))
+def microbatch_differencing(spark, d):
+    """Chunks of 512 attempts of a step in as many micro-batches as their tokens need at 1,000,000 each. fits: the spread is
+    at most the longest attempt, which no deal by whole attempts can be held to beat."""
+    m = D.microbatches(traj(spark, d), "step", "trajlength", "traj_id", 1_000_000, 512)
+    parts = m.groupBy("step", "chunk", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("trajlength").alias("w"), F.max("trajlength").alias("x"))
+    k = parts.groupBy("step", "chunk").agg(F.sum("c").alias("n"), F.sum("w").alias("tokens"), F.count(F.lit(1)).alias("parts"), ((F.max("w") - F.min("w")) <= F.max("x")).alias("fits"))
+    return k.select("step", "chunk", "n", "tokens", "parts", "fits")
+
+
 @query("pick_for_check", oracle("WITH r AS (SELECT *, row_number() OVER (PARTITION BY accuracy > 0 ORDER BY trajlength DESC, traj_id) AS r FROM fx_traj) SELECT traj_id, accuracy FROM r WHERE r <= 20 ORDER BY r > 11, trajlength DESC, traj_id LIMIT 20"))
 def pick_for_check(spark, d):
     return B.pick_for_check(traj(spark, d), F.col("accuracy") > 0, [F.col("trajlength").desc()], "traj_id", 20).select("traj_id", "accuracy")

@@ -106,6 +106,45 @@ def val_majority(spark, d):
     return M.majority(view(spark, d, "fx_traj"), ["uid"], "pred", "accuracy", "traj_id")
 
 
+def _draws(draws):
+    """DuckDB: the attempts of each prompt numbered, and the hashed picks for every number of attempts."""
+    return f"""cnt AS (SELECT DISTINCT count(*) AS n FROM fx_traj GROUP BY uid),
+ks AS (SELECT n, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024], lambda x: x < n), n)) AS k FROM cnt),
+bs AS (SELECT n, k, unnest(range(1, {draws + 1})) AS b FROM ks), js AS (SELECT n, k, b, unnest(range(1, k + 1)) AS j FROM bs),
+picks AS (SELECT n, k, b, j, CAST(concat('0x', substr(md5(concat('42-', k, '-', b, '-', j)), 1, 8)) AS BIGINT) % n + 1 AS i FROM js)"""
+
+
+_BOOT = f"""{_draws(1000)}, r AS (SELECT uid, data_source, CAST(trajlength AS DOUBLE) AS v, row_number() OVER (PARTITION BY uid ORDER BY trajlength) AS i, count(*) OVER (PARTITION BY uid) AS n FROM fx_traj),
+ends AS (SELECT n, k, b, max(i) AS hi, min(i) AS lo FROM picks GROUP BY 1, 2, 3),
+up AS (SELECT n, k, hi AS i, count(*) AS w FROM ends GROUP BY 1, 2, 3), down AS (SELECT n, k, lo AS i, count(*) AS w FROM ends GROUP BY 1, 2, 3),
+best AS (SELECT uid, k, sum(v * w) / 1000 AS m, sqrt(greatest(0.0, sum(v * v * w) / 1000 - pow(sum(v * w) / 1000, 2))) AS s FROM r JOIN up ON r.n = up.n AND r.i = up.i GROUP BY 1, 2),
+worst AS (SELECT uid, k, sum(v * w) / 1000 AS m, sqrt(greatest(0.0, sum(v * v * w) / 1000 - pow(sum(v * w) / 1000, 2))) AS s FROM r JOIN down ON r.n = down.n AND r.i = down.i GROUP BY 1, 2)"""
+
+
+@query("val_bootstrap", oracle(f"WITH {_BOOT} SELECT b.uid, CAST(b.k AS BIGINT) AS k, round(b.m, 4) AS best, round(b.s, 3) AS best_std, round(w.m, 4) AS worst, round(w.s, 3) AS worst_std FROM best b JOIN worst w ON b.uid = w.uid AND b.k = w.k"))
+def val_bootstrap(spark, d):
+    """Best and worst of k of a prompt's attempts over 1,000 draws with replacement, k = 2, 4, 8, ... n."""
+    from ..operators.resampling import bootstrap_best_worst
+
+    t = view(spark, d, "fx_traj").withColumn("v", F.col("trajlength").cast("double"))
+    b = bootstrap_best_worst(t, ["uid"], "v")
+    return b.select("uid", "k", F.round("best", 4).alias("best"), F.round("best_std", 3).alias("best_std"), F.round("worst", 4).alias("worst"), F.round("worst_std", 3).alias("worst_std"))
+
+
+_MAJ = f"""{_draws(200)}, r AS (SELECT uid, data_source, pred, accuracy, row_number() OVER (PARTITION BY uid ORDER BY traj_id) AS i, count(*) OVER (PARTITION BY uid) AS n FROM fx_traj),
+votes AS (SELECT uid, k, b, pred, count(*) AS c, min(j) AS j, arg_min(accuracy, j) AS v FROM r JOIN picks p ON r.n = p.n AND r.i = p.i GROUP BY 1, 2, 3, 4),
+won AS (SELECT uid, k, b, arg_max(v, c * 100000 - j) AS v FROM votes GROUP BY 1, 2, 3)"""
+
+
+@query("val_majority_draws", oracle(f"WITH {_MAJ} SELECT uid, CAST(k AS BIGINT) AS k, round(avg(v), 6) AS majority, round(stddev_pop(v), 6) AS majority_std FROM won GROUP BY 1, 2"))
+def val_majority_draws(spark, d):
+    """The value of the most frequent answer among k of a prompt's attempts over 200 draws, k = 2, 4, 8, ... n."""
+    from ..operators.resampling import bootstrap_majority
+
+    b = bootstrap_majority(view(spark, d, "fx_traj"), ["uid"], "pred", "accuracy", "traj_id", draws=200)
+    return b.select("uid", "k", F.round("majority", 6).alias("majority"), F.round("majority_std", 6).alias("majority_std"))
+
+
 @query("val_acc_by_source", oracle("SELECT data_source, round(avg(accuracy), 6) AS acc FROM fx_traj GROUP BY 1"))
 def val_acc_by_source(spark, d):
     return view(spark, d, "fx_traj").groupBy("data_source").agg(F.round(F.avg("accuracy"), 6).alias("acc"))
