@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import oracle, table, trajectories, view
 from ..registry import query
-from ..sources import io
+from ..sources import io, json_arrays
 from ..sources.io import scratch
 
 
@@ -32,15 +32,12 @@ def sink_jsonl(spark, d):
 
 
 @query("src_json_array", oracle("SELECT data_source, count(*) AS n FROM fx_traj GROUP BY 1"))
-def src_json_array(spark, d, rows: int = 2000):
-    """Arrays of about `rows` rows, one a text file, read as multi-line JSON."""
+def src_json_array(spark, d):
+    """Arrays of prompt rows, one a part file, read in byte ranges."""
     path = scratch(spark)
-    row = F.to_json(F.struct(F.col("uid").cast("string").alias("uid"), "data_source"))
-    t = view(spark, d, "fx_traj")
-    piece = F.pmod(F.xxhash64("traj_id"), F.lit(max(1, t.count() // rows)))
-    arrays = t.groupBy(piece.alias("piece")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value"))
-    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return io.read_json_array(spark, [path]).groupBy("data_source").agg(F.count(F.lit(1)).alias("n"))
+    t = view(spark, d, "fx_traj").select(F.col("uid").cast("string").alias("uid"), "data_source", F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"))).alias("prompt"))
+    json_arrays.write_json_array(t, path)
+    return json_arrays.read_json_array(spark, [path], io.RL_ROW).groupBy("data_source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src_parquet_multi", "SELECT doc_id, lang, NULL AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
@@ -49,11 +46,13 @@ def src_parquet_multi(spark, d):
     return io.read_parquets(spark, [f"{d}/documents.parquet", f"{d}/labels.parquet"], merge=True).select("doc_id", "lang", "quality")
 
 
-@query("src_big_json_scan", oracle("SELECT image, accuracy FROM (SELECT concat('i', traj_id) AS image, accuracy, status FROM fx_traj) x WHERE status = 'success' AND accuracy = 1"))
+@query("src_big_json_scan", oracle("SELECT image, accuracy, n_calls FROM (SELECT concat('i', t.traj_id) AS image, accuracy, status, (SELECT count(*) FROM fx_calls c WHERE c.traj_id = t.traj_id) AS n_calls FROM fx_traj t) x WHERE status = 'success' AND accuracy = 1"))
 def src_big_json_scan(spark, d):
+    """One large array a part file; only status and accuracy are parsed of rows that the condition leaves out."""
     path = scratch(spark)
-    io.write_jsonl(_rows(spark, d), path)
-    return io.read_trajectories(spark, path).where("status = 'success' and accuracy = 1").select("image", "accuracy")
+    json_arrays.write_json_array(_rows(spark, d), path)
+    t = json_arrays.read_json_array(spark, [path], io.TRAJECTORY, "status = 'success' and accuracy = 1")
+    return t.select("image", "accuracy", F.size("tool_calls").cast("long").alias("n_calls"))
 
 
 @query("sink_parquet_split", oracle("SELECT CASE WHEN traj_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n, sum(traj_id) AS ids FROM fx_traj GROUP BY 1"))

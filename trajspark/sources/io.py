@@ -43,11 +43,6 @@ def read_trajectories(spark: SparkSession, paths: str | list[str], schema: str =
     return out
 
 
-def read_json_array(spark: SparkSession, paths: list[str], schema: str = RL_ROW) -> DataFrame:
-    """Files that hold one JSON array each; such a file is one task, so convert large ones to Parquet once."""
-    return spark.read.schema(schema).option("multiLine", True).json(paths)
-
-
 def read_parquets(spark: SparkSession, paths: list[str], merge: bool = False) -> DataFrame:
     return spark.read.option("mergeSchema", merge).parquet(*paths)
 
