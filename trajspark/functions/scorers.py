@@ -88,11 +88,55 @@ def score_rule(pred: Column, gt: Column, numeric: Column) -> Column:
     return F.when(F.trim(pred) == F.trim(gt), 1.0).when(numeric, by_number).otherwise(by_letter)
 
 
-def score_numeric_close(pred: Column, gt: Column, rel: float = 1e-4) -> Column:
-    """Equal text, or a number near the truth, its hundredth or its hundredfold."""
+def split_list(text: Column) -> Column:
+    """The parts of text between commas outside of brackets. The fold goes over the pieces between commas, not over characters."""
+    count = lambda t, kinds: F.length(F.regexp_replace(t, f"[^{kinds}]", ""))
+    begin = F.struct(F.lit(0).alias("deep"), F.array().cast("array<string>").alias("parts"))
+
+    def add(acc, piece):
+        n = F.size(acc["parts"])
+        longer = F.concat(F.slice(acc["parts"], 1, n - 1), F.array(F.concat(F.element_at(acc["parts"], -1), F.lit(","), piece)))
+        parts = F.when(acc["deep"] > 0, longer).otherwise(F.array_append(acc["parts"], piece))
+        return F.struct((acc["deep"] + count(piece, r"(\[{") - count(piece, r")\]}")).alias("deep"), parts.alias("parts"))
+
+    return F.transform(F.aggregate(F.split(text, ","), begin, add)["parts"], lambda p: F.trim(p))
+
+
+def matrix_as_list(text: Column) -> Column:
+    r"""\begin{pmatrix} a & b \\ c & d \end{pmatrix} (also bmatrix, matrix, array) as [[a,b],[c,d]]; other text as it is."""
+    kind = r"(?:[pbvB]?matrix|array)"
+    rows = F.regexp_extract(text, r"(?s)^\s*\\begin\{" + kind + r"\}(?:\{[lcr|]*\})?(.*?)(?:\\\\)?\s*\\end\{" + kind + r"\}\s*$", 1)
+    inside = F.array_join(F.transform(F.split(rows, r"\\\\"), lambda r: F.concat(F.lit("["), F.replace(r, F.lit("&"), F.lit(",")), F.lit("]"))), ",")
+    return F.when(rows != "", F.concat(F.lit("["), inside, F.lit("]"))).otherwise(text)
+
+
+def near_number(pred: Column, gt: Column, rel: float = 1e-4) -> Column:
+    """pred is a number near gt, its hundredth or its hundredfold."""
     p, g = F.trim(pred).try_cast("double"), F.trim(gt).try_cast("double")
     near = F.exists(F.array(g / 100, g, g * 100), lambda x: F.abs(p - x) <= rel * F.greatest(F.abs(p), F.abs(x)))
-    return flag((F.trim(pred) == F.trim(gt)) | F.coalesce(near, F.lit(False)))
+    return F.coalesce(near, F.lit(False))
+
+
+def _close(pred: Column, gt: Column, rel: float, deep: int) -> Column:
+    bare = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    scalar = (bare(pred) == bare(gt)) | near_number(pred, gt, rel)
+    if deep == 0:
+        return scalar
+    p, g = F.trim(pred), F.trim(gt)
+    ends = lambda c: F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    bracketed = lambda c: ends(c).isin("()", "[]", "(]", "[)", "{}") & (F.size(split_list(c)) == 1)
+    inner = lambda c: F.substr(c, F.lit(2), F.greatest(F.length(c) - 2, F.lit(0)))
+    both, neither = bracketed(p) & bracketed(g) & (ends(p) == ends(g)), ~bracketed(p) & ~bracketed(g)
+    a, b = (split_list(F.when(both, inner(c)).otherwise(c)) for c in (p, g))
+    # one pair of brackets, or lists of two and more
+    listed = (both | (neither & (F.size(a) > 1))) & (F.size(a) == F.size(b))
+    return scalar | (listed & F.forall(F.zip_with(a, b, lambda x, y: _close(x, y, rel, deep - 1)), lambda ok: ok))
+
+
+def score_numeric_close(pred: Column, gt: Column, rel: float = 1e-4, deep: int = 2) -> Column:
+    """Equal text but for spaces and case, or a number near the truth, its hundredth or its hundredfold, or lists (tuples,
+    intervals with the same brackets, matrices, plain comma lists) of as many elements that are all close, `deep` levels down."""
+    return flag(F.coalesce(_close(matrix_as_list(pred), matrix_as_list(gt), rel, deep), F.lit(False)))
 
 
 def qa_normalize(text: Column) -> Column:

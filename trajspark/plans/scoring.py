@@ -62,6 +62,22 @@ def score_numeric_close(spark, d):
     return n.select("id", S.score_numeric_close(S.gsm8k_strict(F.col("response")), F.col("ground_truth")).alias("score"))
 
 
+_LISTS = """p AS (SELECT id, id % 7 AS k, ground_truth AS x, regexp_extract(response, '#### ([0-9]+)', 1) AS y FROM fx_numeric),
+l AS (SELECT id, k, x, y,
+  CASE WHEN k = 0 THEN concat('(', x, ', ', y, ')') WHEN k = 1 THEN concat('[', x, ', (', y, ', 1)]') WHEN k = 2 THEN concat('(', x, ', ', y, ')') WHEN k = 3 THEN concat(x, ', ', y)
+    WHEN k = 4 THEN concat(chr(92), 'begin{pmatrix} ', x, ' & ', y, ' ', chr(92), chr(92), ' 1 & 2 ', chr(92), 'end{pmatrix}') WHEN k = 5 THEN concat('(', x, ', [', y, ', 2])') ELSE concat('(', x, ', ', y, ')') END AS pred,
+  CASE WHEN k = 0 THEN concat('(', y, ', ', x, ')') WHEN k = 1 THEN concat('[ ', x, '.0 , ( ', y, ' , 1 ) ]') WHEN k = 2 THEN concat('[', x, ', ', y, ']') WHEN k = 3 THEN concat(x, ', ', y, ', 0')
+    WHEN k = 4 THEN concat('[[', x, ', ', y, '.00], [1, 2]]') WHEN k = 5 THEN concat('(', x, ', [', x, ', 2])') ELSE concat('(', x, '00, ', y, ')') END AS gt FROM p)"""
+
+
+@query("score_lists", oracle(f"WITH {_LISTS} SELECT id, pred, gt, CASE WHEN k IN (1, 4, 6) OR (k IN (0, 5) AND x = y) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM l"))
+def score_lists(spark, d):
+    """Tuples, nested lists, differing brackets and lengths, a matrix, and hundredfold elements, made of the table's numbers."""
+    view(spark, d, "fx_numeric").createOrReplaceTempView("fx_numeric")
+    lists = spark.sql(f"WITH {_LISTS} SELECT id, pred, gt FROM l")
+    return lists.select("id", "pred", "gt", S.score_numeric_close(F.col("pred"), F.col("gt")).alias("score"))
+
+
 _QA = "trim(regexp_replace(regexp_replace(regexp_replace(lower(replace({c}, '_', ' ')), '[^a-z0-9\\s]', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
