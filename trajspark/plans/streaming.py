@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import oracle, trajectories, view
+from ..fixtures import oracle, table, trajectories, view
 from ..registry import query
+from ..sources.io import written
 from ..streaming import jobs as J
+from ..streaming import state
 from .io import scratch
 from .rewards import TOTAL_CTE
 
@@ -20,15 +22,21 @@ def streamed(spark, df, files=4):
 
 @query("stream_score", oracle(f"WITH {TOTAL_CTE} SELECT traj_id, round(accuracy + u - 0.5 * c + 0.3 * s, 6) AS reward FROM r"))
 def stream_score(spark, d):
-    s, path = streamed(spark, trajectories(spark, d))
+    """Eight files in one trigger: the nested plan is made once for each micro-batch."""
+    t = trajectories(spark, d)
+    path = scratch(spark)
+    t.repartition(8, "traj_id").write.parquet(f"{path}/in")
+    s = J.read_stream(spark, f"{path}/in", t.schema, 8)
     J.run_once(J.score(s).select("traj_id", F.round("reward", 6).alias("reward")), f"{path}/out", f"{path}/ck")
     return spark.read.parquet(f"{path}/out")
 
 
 @query("stream_dedupe", oracle("SELECT DISTINCT uid FROM fx_traj"))
 def stream_dedupe(spark, d):
-    s, path = streamed(spark, view(spark, d, "fx_traj").select("traj_id", "uid"))
-    J.run_once(J.dedupe(s.select("uid"), "uid"), f"{path}/out", f"{path}/ck")
+    """A key's state goes when the watermark passes it; the delay is the time that the table spans, so every copy meets it."""
+    t = table(spark, d, "orders").select(F.col("o_custkey").alias("uid"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    s, path = streamed(spark, t)
+    J.run_once(J.dedupe(s, "uid", "ts", _span(t)).select("uid"), f"{path}/out", f"{path}/ck")
     return spark.read.parquet(f"{path}/out")
 
 
@@ -45,27 +53,42 @@ def stream_step_metrics(spark, d):
 
 @query("stream_windows", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
-    """Tumbling event-time windows with a watermark; the batch that closes all windows is a last row far ahead."""
-    from ..fixtures import table
-
+    """Tumbling event-time windows over files of no order: the watermark waits for the time that the table spans. The batch that
+    closes all windows is a last row far ahead."""
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    last = e.agg(F.max("event_id").alias("event_id"), (F.max("ts") + F.expr("interval 10 days")).alias("ts")).withColumn("event_type", F.lit("end"))
     path = scratch(spark)
-    e.repartition(1).write.parquet(f"{path}/in/a")
-    last.write.parquet(f"{path}/in/b")
-    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{path}/in")
-    w = J.windowed_metrics(s, "ts", "1 hour", "1 hour", ["event_type"], {"n": F.count(F.lit(1))})
+    e.repartition(4, "event_id").write.parquet(f"{path}/in")
+    _far_ahead(e, {"event_id": -1, "event_type": "end"}).write.mode("append").parquet(f"{path}/in")
+    s = J.read_stream(spark, f"{path}/in", e.schema, 2)
+    w = J.windowed_metrics(s, "ts", "1 hour", _span(e), ["event_type"], {"n": F.count(F.lit(1))})
     J.run_once(w, f"{path}/out", f"{path}/ck")
     out = spark.read.parquet(f"{path}/out").where("event_type <> 'end'")
     return out.select(F.unix_timestamp("w.start").alias("hour"), "event_type", "n")
 
 
-@query("stream_group", oracle("SELECT uid, count(*) AS n, round(avg(accuracy), 6) AS mean FROM fx_traj GROUP BY 1 HAVING count(*) >= 4"))
+_WAITED = """WITH RECURSIVE o AS (SELECT o_custkey AS uid, o_orderkey AS traj_id, accuracy AS score, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders JOIN fx_traj f ON f.traj_id = o_orderkey),
+g AS (SELECT uid, r, traj_id, score, 1 AS gid, 1 AS c, t AS begun FROM o WHERE r = 1
+  UNION ALL SELECT o.uid, o.r, o.traj_id, o.score, CASE WHEN g.c = 4 OR o.t > g.begun + 17280000000 THEN g.gid + 1 ELSE g.gid END, CASE WHEN g.c = 4 OR o.t > g.begun + 17280000000 THEN 1 ELSE g.c + 1 END, CASE WHEN g.c = 4 OR o.t > g.begun + 17280000000 THEN o.t ELSE g.begun END FROM g JOIN o ON o.uid = g.uid AND o.r = g.r + 1),
+w AS (SELECT uid, traj_id, score, count(*) OVER k AS n, avg(score) OVER k AS m, stddev_samp(score) OVER k AS sd FROM g WINDOW k AS (PARTITION BY uid, gid))
+SELECT uid, traj_id, CAST(n AS INTEGER) AS n, n = 4 AS complete, round(CASE WHEN n = 1 THEN score / (1 + 1e-6) ELSE (score - m) / (sd + 1e-6) END, 5) AS advantage FROM w"""
+
+
+@query("stream_group", oracle(_WAITED).replace("WITH fx_traj AS", "WITH RECURSIVE fx_traj AS").replace(", RECURSIVE o AS", ", o AS"))
 def stream_group(spark, d):
-    """All attempts of a prompt come in one file here, so groups of at least four are emitted whole."""
-    s, path = streamed(spark, view(spark, d, "fx_traj").select("uid", F.col("accuracy").alias("score")), 2)
-    J.run_once(J.complete_groups(s, 4, timeout_ms=None).where("complete").select("uid", "n", F.round("mean", 6).alias("mean")), f"{path}/out", f"{path}/ck")
-    return spark.read.parquet(f"{path}/out")
+    """Groups of four attempts of a customer within 200 days, each year's orders in files of their own; a timer gives out groups that stay
+    short. A last row far ahead moves the watermark past all timers."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    t = view(spark, d, "fx_traj").select("uid", "traj_id", F.col("accuracy").alias("score"))
+    t = written(t.hint("merge").join(o.hint("merge"), F.col("traj_id") == F.col("k")).select("uid", "traj_id", "score", "ts"))
+    path = scratch(spark)
+    years = [r[0] for r in t.select(F.year("ts")).distinct().orderBy(F.year("ts")).collect()]
+    for y in years:  # a customer's orders of a year are in one file, and years come in order
+        t.where(F.year("ts") == y).repartition(2, "uid").write.mode("append").parquet(f"{path}/in")
+    _far_ahead(t, {"uid": -1, "traj_id": -1, "score": 0.0}).write.mode("append").parquet(f"{path}/in")
+    state.use_rocksdb(spark)
+    s = J.read_stream(spark, f"{path}/in", t.schema, 2)
+    J.run_once(state.wait_for_groups(s, 4, 200 * 86_400_000, "366 days"), f"{path}/out", f"{path}/ck")
+    return spark.read.parquet(f"{path}/out").where("uid >= 0").withColumn("advantage", F.round("advantage", 5))
 
 
 _ENDS = """t AS (SELECT *, sum(n_tokens) OVER w AS tok, sum(n_images) OVER w AS img FROM fx_turns WINDOW w AS (PARTITION BY traj_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
@@ -80,14 +103,60 @@ def end_reason_batch(spark, d):
 
 @query("stream_end_reason", oracle(f"WITH {_ENDS} SELECT traj_id, reason AS end_reason, e AS tool_calls FROM f WHERE reason IS NOT NULL"))
 def stream_end_reason(spark, d):
-    s, path = streamed(spark, view(spark, d, "fx_turns").drop("ts"), 2)
-    J.run_once(J.stream_end_reasons(s), f"{path}/out", f"{path}/ck")
-    return spark.read.parquet(f"{path}/out")
+    """Turns in files dealt by a hash, so that none comes in order."""
+    t = view(spark, d, "fx_turns").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch(spark)
+    t.repartition(4, F.md5(F.concat_ws("-", "traj_id", "turn"))).write.parquet(f"{path}/in")
+    _far_ahead(t, {"traj_id": -1, "turn": 0, "is_error": False, "done": True, "n_tokens": 0, "n_images": 0}).write.mode("append").parquet(f"{path}/in")
+    state.use_rocksdb(spark)
+    s = J.read_stream(spark, f"{path}/in", t.schema, 2)
+    J.run_once(state.fold_turns(s, 86_400_000, _span(t)), f"{path}/out", f"{path}/ck")
+    return spark.read.parquet(f"{path}/out").where("traj_id >= 0")
 
 
-@query("stream_accumulate")
+def _span(t):
+    """The time that ts spans, and a day, as a delay."""
+    days = t.agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0
+    return f"{days + 2} days"
+
+
+def _far_ahead(t, values):
+    """One row of t's columns, 100 years after its last."""
+    last = t.agg((F.max("ts") + F.expr("interval 100 years")).alias("ts"))
+    return last.select(*[F.col("ts") if f.name == "ts" else F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in t.schema])
+
+
+_KEPT = "p AS (SELECT step, count(*) FILTER (WHERE accuracy > 0) AS k FROM fx_traj GROUP BY 1), u AS (SELECT step, row_number() OVER (ORDER BY step) - 1 AS batch, coalesce(sum(k) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)"
+
+
+@query("stream_accumulate", oracle(f"WITH {_KEPT} SELECT t.traj_id, t.step, accuracy, batch FROM fx_traj t JOIN u ON t.step = u.step WHERE accuracy > 0 AND before < (SELECT count(*) / 3 FROM fx_traj WHERE accuracy > 0)"))
 def stream_accumulate(spark, d):
-    """Right answers, batch by batch, until 100 are there."""
-    s, path = streamed(spark, view(spark, d, "fx_traj").select("traj_id", "accuracy"), 4)
-    J.accumulate(s, lambda b: b.where("accuracy > 0"), 100, f"{path}/out", f"{path}/ck")
-    return spark.read.parquet(f"{path}/out")
+    """Right answers, a step a batch, until a third of all are there."""
+    t = view(spark, d, "fx_traj").select("traj_id", "step", "accuracy")
+    path = scratch(spark)
+    steps = [r[0] for r in t.select("step").distinct().orderBy("step").collect()]
+    for step in steps:  # files come in the order of their times
+        t.where(F.col("step") == step).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    target = -(-t.where("accuracy > 0").count() // 3)
+    s = J.read_stream(spark, f"{path}/in", t.schema, 1)
+    state.accumulate(s, lambda b: b.where("accuracy > 0"), target, f"{path}/out", f"{path}/ck")
+    return spark.read.schema("traj_id long, step long, accuracy double, batch long").parquet(f"{path}/out/rows")
+
+
+_SKETCHED = """s AS (SELECT step, count(*) AS n, min(accuracy) = max(accuracy) AS dead_accuracy, true AS dead_constant FROM fx_traj GROUP BY 1)"""
+
+
+@query("stream_step_sketches", oracle(f"WITH {_SKETCHED} SELECT step, n, dead_accuracy, dead_constant, true AS distinct_close, true AS median_close, true AS q90_close FROM s"))
+def stream_step_sketches(spark, d):
+    """Partial sketches of each step in each batch, merged: the alarm for components that never change, and whether the
+    estimates keep their bounds (distinct prompts within 5 %, quantiles within 0.02 in rank) against the exact batch form."""
+    t = view(spark, d, "fx_traj").select("traj_id", "uid", "step", "accuracy", "trajlength").withColumn("constant", F.lit(0.6))
+    s, path = streamed(spark, t)
+    state.step_sketches(s, ["accuracy", "constant"], "uid", "trajlength", f"{path}/out", f"{path}/ck")
+    m = written(state.merged_steps(spark, f"{path}/out", ["accuracy", "constant"]))
+    both = t.hint("merge").join(m.select(F.col("step").alias("s"), "q50", "q90").hint("merge"), F.col("step") == F.col("s"))
+    rank = lambda q: F.count_if(F.col("trajlength") <= F.col(q)) / F.count(F.lit(1))
+    exact = both.groupBy("s").agg(F.countDistinct("uid").alias("u"), rank("q50").alias("r50"), rank("q90").alias("r90"))
+    out = m.hint("merge").join(exact.hint("merge"), F.col("step") == F.col("s"))
+    near = lambda c, q: F.abs(F.col(c) - q) <= 0.02 + 1 / F.col("n")
+    return out.select("step", "n", "dead_accuracy", "dead_constant", (F.abs(F.col("distinct") - F.col("u")) <= 0.05 * F.col("u") + 1).alias("distinct_close"), near("r50", 0.5).alias("median_close"), near("r90", 0.9).alias("q90_close"))

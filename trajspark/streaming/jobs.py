@@ -3,12 +3,8 @@ starts a query on a checkpointed sink; the scoring code is the batch code."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import reward as R
 
@@ -45,34 +41,6 @@ def windowed_metrics(events: DataFrame, time: str, width: str, delay: str, by: l
     return events.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), *by).agg(*[v.alias(k) for k, v in metrics.items()])
 
 
-def complete_groups(attempts: DataFrame, n: int, timeout_ms: int | None = 600_000) -> DataFrame:
-    """uid, n, mean, std, complete: emitted when a prompt's n attempts are there, or after the timeout as a partial group.
-    State is three numbers a prompt. Timeouts need a query that keeps running: with None there are none, and a query that
-    stops when all is read (availableNow) can end."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, total, square = state.get if state.exists else (0, 0.0, 0.0)
-        out = lambda done: pd.DataFrame({"uid": [key[0]], "n": [count], "mean": [total / max(count, 1)], "std": [max(0.0, square / max(count, 1) - (total / max(count, 1)) ** 2) ** 0.5], "complete": [done]})
-        if state.hasTimedOut:
-            state.remove()
-            yield out(False)
-            return
-        for b in batches:
-            count += len(b)
-            total += float(b["score"].sum())
-            square += float((b["score"] ** 2).sum())
-        if count >= n:
-            if state.exists:
-                state.remove()
-            yield out(True)
-        else:
-            state.update((count, total, square))
-            if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
-
-    return attempts.select("uid", F.col("score").cast("double").alias("score")).groupBy("uid").applyInPandasWithState(fold, "uid long, n long, mean double, std double, complete boolean", "n long, total double, square double", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def end_reasons(turns: DataFrame, max_tokens: int = 4000, max_turns: int = 50, max_images: int = 32) -> DataFrame:
     """Batch form over a turn log: traj_id, end_reason, turns, tool_calls at the first turn that ends the trajectory. A turn
     that ends it does not raise the tool count."""
@@ -84,39 +52,3 @@ def end_reasons(turns: DataFrame, max_tokens: int = 4000, max_turns: int = 50, m
     ended = t.withColumn("_r", reason)
     first = ended.groupBy("traj_id").agg(F.min(F.when(F.col("_r").isNotNull(), F.struct("turn", "_r"))).alias("_e"), F.count(F.lit(1)).alias("_n"))
     return first.select("traj_id", F.coalesce("_e._r", F.lit("ON_GOING")).alias("end_reason"), F.coalesce(F.col("_e.turn") + 1, "_n").alias("turns"), F.coalesce("_e.turn", "_n").alias("tool_calls"))
-
-
-def stream_end_reasons(turns: DataFrame, max_tokens: int = 4000, max_turns: int = 50, max_images: int = 32) -> DataFrame:
-    """Streaming form: the turns of a trajectory must arrive in order; emits once, at the turn that ends it."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, images, count, over = state.get if state.exists else (0, 0, 0, False)
-        for row in pd.concat(list(batches)).sort_values("turn").itertuples() if not over else ():
-            tokens, images = tokens + int(row.n_tokens), images + int(row.n_images)
-            reason = OVER_LENGTH if tokens > max_tokens else ERROR if row.is_error else DONE if row.done else MAX_TURNS if row.turn + 1 >= max_turns else MAX_IMAGES if images >= max_images else None
-            if reason:
-                state.update((tokens, images, count, True))
-                yield pd.DataFrame({"traj_id": [key[0]], "end_reason": [reason], "tool_calls": [count]})
-                return
-            count += 1
-        state.update((tokens, images, count, over))
-
-    return turns.groupBy("traj_id").applyInPandasWithState(fold, "traj_id long, end_reason string, tool_calls long", "tokens long, images long, n long, done boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def accumulate(source: DataFrame, keep: Callable[[DataFrame], DataFrame], target: int, table_path: str, checkpoint: str) -> None:
-    """Kept rows are appended batch by batch until the target is there; what is there is counted in the table itself, under
-    the batch's number, so a repeated batch does not count twice."""
-    spark = source.sparkSession
-
-    def add(batch: DataFrame, number: int) -> None:
-        try:
-            have = spark.read.parquet(table_path).where(F.col("batch") != number).count()
-        except Exception as e:  # only the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = 0
-        if have < target:
-            keep(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table_path)
-
-    source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

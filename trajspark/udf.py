@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import importlib.util
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,6 +47,29 @@ def scorer(f: Callable) -> Callable[..., Column]:
     return run
 
 
+_LOADED: dict[tuple, Callable] = {}
+
+
+def _shipped(file: str, name: str, fixed: tuple) -> Callable:
+    """The function of a shipped file, loaded once in each Python worker."""
+    key = (file, name, fixed)
+    if key not in _LOADED:
+        _LOADED[key] = load_function(SparkFiles.get(file), name, **dict(fixed))
+    return _LOADED[key]
+
+
+def shipped_scorer(spark: SparkSession, path: str, name: str, sql_name: str | None = None, **fixed) -> Callable[..., Column]:
+    """A scorer from a file that only the driver sees: the file goes to every executor, its function gets the fixed arguments, and
+    SQL can call it by sql_name. The function is looked up here too, so a wrong name fails before any task runs."""
+    load_function(path, name)
+    spark.sparkContext.addFile(path)
+    file, given = os.path.basename(path), tuple(sorted(fixed.items()))
+    run = scorer(lambda *row: _shipped(file, name, given)(*row))
+    if sql_name:
+        spark.udf.register(sql_name, run)
+    return run
+
+
 def batch_scorer(df: DataFrame, f: Callable[[list, list, list], list], out: str = "score") -> DataFrame:
     """df with f over whole columns (data_source, solution, ground_truth) of each Arrow batch."""
     schema = StructType([*df.schema.fields]).add(out, "double")
