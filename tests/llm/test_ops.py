@@ -10,6 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from trajspark.llm import components, decontaminate, language, lm, mixing, near_copies, neighbours, pii, quality, simhash, spans, urls
 
@@ -548,3 +550,14 @@ def test_decontaminate_blocks_keep_rows_apart(spark):
     assert have == Counter((d, n, hit, sha) for d, n, hit, _, sha, _ in decontaminate.brute_force(rows, items))
     capitals = spark.createDataFrame([(i, " ".join(["WORD"] * 30)) for i in range(4)], "item_id long, text string")
     assert len(list(decontaminate._blocks(capitals, 10, 21))) == 4
+
+
+def test_mixed_keeps_rows_that_differ_in_any_column(spark):
+    # sources x and y: everything is taken; equal rows are taken together
+    rows = [(1, "a b c", "en", "x"), (1, "a b c", "de", "x"), (1, "a b c", None, "x"), (1, "a b c", "en", "x"), (2, "a b c", "en", None), (3, None, "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("note", F.when(F.col("lang") == "de", "k"))
+    whole = mixing.mix(docs)
+    got = mixing.mixed(docs, share=2.0)  # every source's target is twice its size
+    assert got.columns == [*docs.columns, "mix_copy"] and whole.count() == len(rows)
+    count = Counter((r.doc_id, r.lang, r.source) for r in got.collect())
+    assert count == {(1, "en", "x"): 4, (1, "de", "x"): 2, (1, None, "x"): 2, (2, "en", None): 2}

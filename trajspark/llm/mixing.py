@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stash, table
@@ -154,12 +154,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken, with mix_copy numbering the copies from 1 (a
-    column of that name is replaced)."""
-    choice = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("body").alias("mix_body"), "copies")
-    # rows of equal doc_id, source and text: their copies are added up and dealt to one of them
-    choice = choice.groupBy("mix_doc", "mix_source", "mix_body").agg(F.sum("copies").cast("int").alias("mix_copies"))
-    rows = docs.select(F.struct(*docs.columns).alias("mix_row"), F.col("doc_id").cast("long").alias("doc"), F.col("source").cast("string").alias("origin"), F.xxhash64("text").alias("body"))
-    on = rows["doc"].eqNullSafe(choice["mix_doc"]) & rows["origin"].eqNullSafe(choice["mix_source"]) & (rows["body"] == choice["mix_body"])
-    taken = rows.hint("merge").join(choice.hint("merge"), on).groupBy("doc", "origin", "body").agg(F.min_by("mix_row", F.xxhash64("mix_row")).alias("mix_row"), F.first("mix_copies").alias("mix_copies"))
+    column of that name is replaced). Rows of equal doc_id, source and text that differ in another column are units of their
+    own, numbered by a hash of the whole row; rows equal in all columns are taken together."""
+    choice = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("body").alias("mix_body"), (F.col("copy") + 1).alias("mix_unit"), "copies")
+    # nulls have no part in a hash, so where they stand is hashed too
+    whole = F.xxhash64(*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("mix_row"), F.col("doc_id").cast("long").alias("doc"), F.col("source").cast("string").alias("origin"), F.xxhash64("text").alias("body"), whole.alias("mix_whole"))
+    last = F.sum("n").over(Window.partitionBy("doc", "origin", "body").orderBy("mix_whole"))
+    kinds = rows.groupBy("doc", "origin", "body", "mix_whole").agg(F.count(F.lit(1)).alias("n")).withColumn("last", last)
+    units = kinds.select("doc", "origin", "body", "mix_whole", F.explode(F.sequence(F.col("last") - F.col("n") + 1, "last")).alias("unit"))
+    on = units["doc"].eqNullSafe(choice["mix_doc"]) & units["origin"].eqNullSafe(choice["mix_source"]) & (units["body"] == choice["mix_body"]) & (units["unit"] == choice["mix_unit"])
+    taken = units.hint("merge").join(choice.hint("merge"), on).groupBy("mix_doc", "mix_source", "mix_body", "mix_whole").agg(F.sum("copies").cast("int").alias("mix_copies")).withColumnRenamed("mix_whole", "mix_hash")
+    on = rows["doc"].eqNullSafe(taken["mix_doc"]) & rows["origin"].eqNullSafe(taken["mix_source"]) & (rows["body"] == taken["mix_body"]) & (rows["mix_whole"] == taken["mix_hash"])
+    out = rows.hint("merge").join(taken.hint("merge"), on).groupBy("doc", "origin", "body", "mix_whole").agg(F.first("mix_row").alias("mix_row"), F.first("mix_copies").alias("mix_copies"))
     own = [F.col("mix_row")[c].alias(c) for c in docs.columns if c != "mix_copy"]
-    return taken.select(*own, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
+    return out.select(*own, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
