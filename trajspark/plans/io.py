@@ -122,12 +122,15 @@ def log_metrics(spark, d):
     return spark.read.parquet(path)
 
 
-@query("src_annotations", oracle("SELECT concat('q', id) AS question, 1 AS boxes FROM fx_annotations"))
+@query("src_annotations", oracle("SELECT test_type, CAST(id AS VARCHAR) AS stem, CASE WHEN id % 5 = 1 THEN NULL ELSE concat('q', id) END AS question, CASE WHEN id % 5 = 1 THEN NULL ELSE CAST(x AS DOUBLE) END AS x, CASE id % 5 WHEN 0 THEN 'no_image' WHEN 1 THEN 'no_note' ELSE 'paired' END AS status FROM fx_annotations"))
 def src_annotations(spark, d):
-    """Annotation files: written from the whole view, then read with the annotation schema. Pairing with images of the same
-    name is read_annotations()'s."""
+    """A folder for each kind of question and each picture of the view, with an image file, a note, or both; listed, paired and
+    read, orphans of either side kept."""
     path = scratch(spark)
+    a = view(spark, d, "fx_annotations").withColumn("stem", F.col("id").cast("string"))
     note = F.struct(F.concat(F.lit("q"), "id").alias("question"), F.array(F.array("x", "y", "bw", "bh")).alias("bbox"))
-    view(spark, d, "fx_annotations").select(F.to_json(note).alias("value")).write.text(f"{path}/notes")
-    notes = spark.read.schema("question string, bbox array<array<double>>").json(f"{path}/notes")
-    return notes.select("question", F.size("bbox").alias("boxes"))
+    # every folder's one row is in one task, so a task writes its folders one after the other
+    a.where("id % 5 <> 1").select("test_type", "stem", F.to_json(note).alias("value")).repartition("test_type", "stem").write.partitionBy("test_type", "stem").text(f"{path}/notes")
+    a.where("id % 5 <> 0").select("test_type", "stem", F.lit("pixels").alias("value")).repartition("test_type", "stem").write.partitionBy("test_type", "stem").text(f"{path}/images")
+    got = io.read_annotations(spark, path, "notes/*/*/*.txt", "images/*/*/*.txt", r"test_type=([^/]+)/stem=([^/]+)/[^/]+$", orphans=True)
+    return got.select("test_type", "stem", "question", F.get(F.get("bbox", F.lit(0)), F.lit(0)).alias("x"), "status")

@@ -95,7 +95,11 @@ def cost_firing(spark, d):
 # --- utility: one row a call with the question and the first box ----------------------------------------------------
 
 _Q3, _O3 = words_sql("question", 3), words_sql("output", 3)
-_LADDER = "\n".join(f"WHEN regexp_matches(lower(question), '{q}') AND regexp_matches(lower(output), '{o}') THEN {v}" for q, o, v in R.KINDS)
+# fixed values, written out here so that the SQL does not follow the implementation's own tables
+_LADDER = """WHEN regexp_matches(lower(question), 'color|colour') AND regexp_matches(lower(output), 'red|blue|green|yellow|white|black|pink|purple|orange|brown|gray|grey') THEN 0.8
+WHEN regexp_matches(lower(question), 'number|count|how many') AND regexp_matches(lower(output), '[0-9]+') THEN 0.7
+WHEN regexp_matches(lower(question), 'where|location|position|side') AND regexp_matches(lower(output), 'left|right|top|bottom|center|middle|front|back|behind|above|below') THEN 0.7
+WHEN regexp_matches(lower(question), 'shape|size') AND regexp_matches(lower(output), 'large|small|big|tiny|round|square|rectangular|circular') THEN 0.6"""
 UTILITY_CTE = f"""g AS (SELECT c.*, t.question, b.x1 AS gx1, b.y1 AS gy1, b.x2 AS gx2, b.y2 AS gy2,
   c.x1 IS NOT NULL AND c.tool_name IN ('crop','zoom') AS spatial FROM fx_calls c JOIN fx_traj t ON c.traj_id = t.traj_id JOIN fx_gt b ON b.traj_id = c.traj_id AND b.box_idx = 0),
 gg AS (SELECT traj_id, step, gx1 AS x1, gy1 AS y1, gx2 AS x2, gy2 AS y2 FROM g),
@@ -105,8 +109,8 @@ lastsp AS (SELECT traj_id, max(step) AS step FROM g WHERE spatial GROUP BY 1),
 lastbox AS (SELECT g.traj_id, g.step, (x2-x1)*(y2-y1) AS area FROM g JOIN lastsp l ON g.traj_id = l.traj_id AND g.step = l.step),
 parts AS (SELECT g.traj_id, g.step,
   CASE WHEN len({_Q3}) = 0 OR len({_O3}) = 0 THEN 0.0 WHEN len(list_intersect({_Q3}, {_O3})) > 0 THEN 0.6 {_LADDER}
-   WHEN regexp_matches(lower(question), '{R.EXISTENCE}') AND length(output) > 20 THEN 0.5 ELSE 0.0 END AS relevance,
-  CASE WHEN regexp_matches(output, '[0-9]') AND regexp_matches(lower(question), '{R.NUMBER_CUES.replace("'", "''")}') THEN 0.15 ELSE 0.0 END AS hint,
+   WHEN regexp_matches(lower(question), 'yes|no|is there|does|contains|has|have') AND length(output) > 20 THEN 0.5 ELSE 0.0 END AS relevance,
+  CASE WHEN regexp_matches(output, '[0-9]') AND regexp_matches(lower(question), 'how many|count|number|what is|what''s') THEN 0.15 ELSE 0.0 END AS hint,
   CASE WHEN len(list_filter({words_sql('output', 4)}, lambda x: NOT list_contains(string_split(lower(question), ' '), x))) >= 3 THEN 0.15 ELSE 0.0 END AS novelty,
   CASE WHEN NOT spatial THEN 0.0 WHEN {iou_sql('g', 'gg')} > 0.5 THEN 0.3 WHEN {iou_sql('g', 'gg')} > 0.2 THEN 0.1 ELSE 0.0 END AS gt_iou,
   CASE WHEN spatial AND (g.x2-g.x1)*(g.y2-g.y1) > 0.85 THEN CASE WHEN big.step IS NOT NULL THEN -0.5 ELSE -0.3 END ELSE 0.0 END AS lazy,
@@ -181,7 +185,12 @@ def _match_sql(pattern, weight):
     return "CASE WHEN " + " AND ".join(f"coalesce({c}, '') = '{p}'" for c, p in zip(cols, pattern)) + f" THEN {weight} ELSE 0.0 END"
 
 
-SEQ_CTE = f"""pat AS (SELECT traj_id, sum(CAST({' + '.join(_match_sql(p, w) for p, w in R.PREFERRED + R.ANTI)} AS DOUBLE)) AS pattern, count(*) AS n, count(DISTINCT tool_name) AS kinds FROM flags GROUP BY 1),
+# fixed values, as above: patterns of consecutive tools and their weights
+_PATTERNS = [
+    (("crop", "ocr"), 0.4), (("crop", "zoom", "ocr"), 0.6), (("zoom", "ocr"), 0.4), (("zoom", "rotate", "ocr"), 0.5), (("crop", "ocr", "answer"), 0.5),
+    (("ocr", "crop", "ocr"), -0.4), (("ocr", "zoom", "ocr"), -0.4), (("crop", "crop", "crop"), -0.3), (("ocr", "ocr"), -0.3),
+]
+SEQ_CTE = f"""pat AS (SELECT traj_id, sum(CAST({' + '.join(_match_sql(p, w) for p, w in _PATTERNS)} AS DOUBLE)) AS pattern, count(*) AS n, count(DISTINCT tool_name) AS kinds FROM flags GROUP BY 1),
 seq AS (SELECT traj_id, n, kinds, pattern, CASE WHEN kinds >= 3 THEN 0.2 WHEN kinds = 2 THEN 0.1 WHEN kinds = 1 AND n > 1 THEN -0.3 ELSE 0.0 END AS diversity FROM pat),
 ss AS (SELECT *, CASE WHEN n < 2 THEN 0.0 ELSE greatest(-1.0, least(1.0, pattern + diversity)) END AS s FROM seq)"""
 

@@ -242,3 +242,38 @@ def pref_pair_tokens(spark, d):
     p = view(spark, d, "fx_pairs")
     toks = lambda c: F.slice(F.split(F.concat("prompt", F.lit(" "), c), " "), 1, 16)
     return p.select("id", toks("chosen").alias("chosen"), toks("rejected").alias("rejected"))
+
+
+#: Where the public vocabularies are on this machine.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("subword_lengths")
+def subword_lengths(spark, d, ranks: str = RANKS):
+    """Prompts of at most 12,000 subwords (flt_overlong_prompt with a real tokeniser): every document's length and verdict."""
+    from ..fixtures import table
+    from ..functions.tokenizers import with_subwords
+
+    docs = with_subwords(table(spark, d, "documents").select("doc_id", "text"), {"text": "ids"}, ranks)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("tokens"), (F.size("ids") <= 12_000).alias("kept"))
+
+
+@query("subword_loss_mask")
+def subword_loss_mask(spark, d, ranks: str = RANKS):
+    """Tokens of each conversation in turn order with 1 on the assistant's (multiturn_loss_mask with a real tokeniser)."""
+    from ..fixtures import table
+    from ..functions.tokenizers import with_subwords
+
+    turns = with_subwords(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), {"text": "ids"}, ranks)
+    t = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "ids"))).alias("m"))
+    mask = F.flatten(F.transform("m", lambda x: F.array_repeat(F.when(x["role"] == "assistant", 1).otherwise(0), F.size(x["ids"]))))
+    return t.select("conv_id", F.flatten("m.ids").alias("ids"), mask.alias("mask"))
+
+
+@query("subword_pairs")
+def subword_pairs(spark, d, ranks: str = RANKS):
+    """Preference pairs as token ids, the prompt before either answer (pref_pair_tokens with a real tokeniser)."""
+    from ..functions.tokenizers import with_subwords
+
+    p = view(spark, d, "fx_pairs").select("id", F.concat("prompt", F.lit(" "), "chosen").alias("c"), F.concat("prompt", F.lit(" "), "rejected").alias("r"))
+    return with_subwords(p, {"c": "chosen", "r": "rejected"}, ranks).select("id", "chosen", "rejected")

@@ -47,14 +47,17 @@ def read_parquets(spark: SparkSession, paths: list[str], merge: bool = False) ->
     return spark.read.option("mergeSchema", merge).parquet(*paths)
 
 
-def read_annotations(spark: SparkSession, root: str) -> DataFrame:
-    """One row an image that has a JSON of the same stem in its folder: only names are listed for images, not contents."""
-    parts = r"([^/]+)/([^/]+)\.[A-Za-z]+$"
-    named = lambda df: df.withColumns({"test_type": F.regexp_extract("_file", parts, 1), "stem": F.regexp_extract("_file", parts, 2)})
-    notes = spark.read.schema("question string, options array<string>, bbox array<array<double>>, target_object array<string>").option("multiLine", True).json(f"{root}/*/*.json")
-    notes = named(notes.withColumn("_file", F.col("_metadata.file_path"))).drop("_file")
-    images = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(f"{root}/*").select(F.col("path").alias("_file"), F.col("path").alias("image"))
-    return named(images).drop("_file").join(notes, ["test_type", "stem"])
+def read_annotations(spark: SparkSession, root: str, notes: str = "*/*.json", images: str = "*/*.jpg", parts: str = r"([^/]+)/([^/]+)\.[A-Za-z]+$", orphans: bool = False) -> DataFrame:
+    """One row an image that has a JSON of the same stem in its folder: test_type, stem, image, and the note's columns. Images are
+    only listed, not read. parts: the pattern that gives folder and stem of a path. With orphans, images without a note and notes without
+    an image are kept, told apart by status (paired, no_note, no_image)."""
+    named = lambda df: df.withColumns({"test_type": F.regexp_extract("_file", parts, 1), "stem": F.regexp_extract("_file", parts, 2)}).drop("_file")
+    noted = spark.read.schema("question string, options array<string>, bbox array<array<double>>, target_object array<string>").option("multiLine", True).json(f"{root}/{notes}")
+    noted = named(noted.withColumn("_file", F.col("_metadata.file_path"))).withColumn("_noted", F.lit(True))
+    listed = named(spark.read.format("binaryFile").load(f"{root}/{images}").select(F.col("path").alias("_file"), F.col("path").alias("image")))
+    both = listed.hint("merge").join(noted.hint("merge"), ["test_type", "stem"], "full" if orphans else "inner")
+    status = F.when(F.col("image").isNull(), "no_image").when(F.col("_noted").isNull(), "no_note").otherwise("paired")
+    return (both.withColumn("status", status) if orphans else both).drop("_noted")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
