@@ -129,8 +129,9 @@ def src_annotations(spark, d):
     path = scratch(spark)
     a = view(spark, d, "fx_annotations").withColumn("stem", F.col("id").cast("string"))
     note = F.struct(F.concat(F.lit("q"), "id").alias("question"), F.array(F.array("x", "y", "bw", "bh")).alias("bbox"))
-    # every folder's one row is in one task, so a task writes its folders one after the other
-    a.where("id % 5 <> 1").select("test_type", "stem", F.to_json(note).alias("value")).repartition("test_type", "stem").write.partitionBy("test_type", "stem").text(f"{path}/notes")
-    a.where("id % 5 <> 0").select("test_type", "stem", F.lit("pixels").alias("value")).repartition("test_type", "stem").write.partitionBy("test_type", "stem").text(f"{path}/images")
+    # every folder's one row is in one task; the number is given, so that Spark does not join small tasks that open many files
+    n = 4 * spark.sparkContext.defaultParallelism
+    a.where("id % 5 <> 1").select("test_type", "stem", F.to_json(note).alias("value")).repartition(n, "test_type", "stem").write.partitionBy("test_type", "stem").text(f"{path}/notes")
+    a.where("id % 5 <> 0").select("test_type", "stem", F.lit("pixels").alias("value")).repartition(n, "test_type", "stem").write.partitionBy("test_type", "stem").text(f"{path}/images")
     got = io.read_annotations(spark, path, "notes/*/*/*.txt", "images/*/*/*.txt", r"test_type=([^/]+)/stem=([^/]+)/[^/]+$", orphans=True)
     return got.select("test_type", "stem", "question", F.get(F.get("bbox", F.lit(0)), F.lit(0)).alias("x"), "status")

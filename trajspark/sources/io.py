@@ -51,6 +51,8 @@ def read_annotations(spark: SparkSession, root: str, notes: str = "*/*.json", im
     """One row an image that has a JSON of the same stem in its folder: test_type, stem, image, and the note's columns. Images are
     only listed, not read. parts: the pattern that gives folder and stem of a path. With orphans, images without a note and notes without
     an image are kept, told apart by status (paired, no_note, no_image)."""
+    # else each of many folders is a task of its own when files are listed
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism)
     named = lambda df: df.withColumns({"test_type": F.regexp_extract("_file", parts, 1), "stem": F.regexp_extract("_file", parts, 2)}).drop("_file")
     noted = spark.read.schema("question string, options array<string>, bbox array<array<double>>, target_object array<string>").option("multiLine", True).json(f"{root}/{notes}")
     noted = named(noted.withColumn("_file", F.col("_metadata.file_path"))).withColumn("_noted", F.lit(True))
