@@ -18,7 +18,7 @@ entry = importlib.import_module("__spark_entry__")
 HEADLINE = [
     "reward_by_source", "reward_total", "reward_ablation", "cost_total", "util_total", "seq_score", "adv_grpo", "flt_chain_train", "flt_sft_pipeline", "job_locate", "gt_iou_stats", "job_parse_responses", "job_score_responses", "val_best_worst", "val_majority", "agg_pool",
     "spearman", "balance_equal", "topk_std", "dedupe_prompt", "selfjoin_pairs", "audit_calls", "adv_gae", "masked_whiten", "loss_aggregate", "build_sft_messages", "bp_loader", "stream_score",
-    "op1_spans", "op2_pii", "op3_decontaminate", "op4_simhash", "op5_language", "op6_lm_score", "op7_quality", "op8_mixing", "op9_neighbours", "op10_urls", "pipeline",
+    "op1_spans", "op2_pii", "op3_decontaminate", "op4_simhash", "op5_language", "op6_lm_score", "op7_quality", "op8_mixing", "op9_neighbours", "op10_urls", "op11_prefix_trie", "op12_warc", "op13_collocations", "val_bootstrap", "balance_differencing", "pipeline",
 ]
 
 

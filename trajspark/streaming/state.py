@@ -51,6 +51,7 @@ class WaitForGroup(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         group = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        before = list(group)
         new = sorted((_ms(r.ts), int(r.traj_id), float(r.score)) for b in rows for r in b.itertuples())
         for row in new:
             if group and row[0] > group[0][0] + self.timeout_ms:
@@ -60,12 +61,15 @@ class WaitForGroup(StatefulProcessor):
             if len(group) == self.n:
                 yield self._emit(key[0], group)
                 group = []
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.rows.clear()
+        # each call is a round trip to the state store: the timer follows the group's first row and is moved only with it
+        if before and before[:1] != group[:1]:
+            self.handle.deleteTimer(before[0][0] + self.timeout_ms + 1)
+        if group and before[:1] != group[:1]:
+            self.handle.registerTimer(group[0][0] + self.timeout_ms + 1)
         if group:
             self.rows.put(group)
-            self.handle.registerTimer(group[0][0] + self.timeout_ms + 1)
+        elif before:
+            self.rows.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.rows.exists():
@@ -93,6 +97,7 @@ class FoldTurns(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         turn, tokens, images, latest = self.sofar.get() if self.sofar.exists() else (0, 0, 0, 0)
+        timer = latest + self.idle_ms if latest else None
         for b in rows:
             for r in b.itertuples():
                 latest = max(latest, _ms(r.ts))
@@ -105,15 +110,17 @@ class FoldTurns(StatefulProcessor):
             tokens, images = tokens + more, images + pictures
             reason = OVER_LENGTH if tokens > self.max_tokens else ERROR if error else DONE if done else MAX_TURNS if turn + 1 >= self.max_turns else MAX_IMAGES if images >= self.max_images else None
             turn += reason is None
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        moved = reason or latest + self.idle_ms != timer
+        if timer is not None and moved:
+            self.handle.deleteTimer(timer)
         if reason:
             self.sofar.clear()
             self.waiting.clear()
             yield pd.DataFrame({"traj_id": [key[0]], "end_reason": pd.Series([reason], dtype=object), "tool_calls": [turn]})
         else:
             self.sofar.update((turn, tokens, images, latest))
-            self.handle.registerTimer(latest + self.idle_ms)
+            if moved:
+                self.handle.registerTimer(latest + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.sofar.clear()
