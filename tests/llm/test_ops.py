@@ -152,6 +152,21 @@ def test_cross_parsing_by_definition(block, room):
     assert parser.phrases(texts, block=block, room=room).tolist() == want
 
 
+def test_language_of_unequal_samples_by_definition():
+    rng = random.Random(24)
+    vocabulary = {k: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8))) for _ in range(120)] for k in "xy"}
+    speak = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    samples = {"x": speak("x", 7000), "y": speak("y", 70)}
+    parser = language.Parser(samples)
+    own = [(k, speak(k, 40)) for k in "xy" for _ in range(50)]
+    found = parser.predict([t for _, t in own])
+    assert sum(k == p for (k, _), (p, _) in zip(own, found)) >= 98
+    for (_, t), (pred, score) in zip(own[::25], found[::25]):
+        bits = {k: phrases_by_definition(t, s) * math.log2(len(s) + 1) for k, s in samples.items()}
+        low, high = sorted(bits.values())
+        assert pred == min(bits, key=bits.get) and math.isclose(score, 1 - low / high)
+
+
 def test_language_tells_scripts_and_whole_texts(spark):
     rng = random.Random(12)
     words = {"zh": [chr(0x4E00 + rng.randrange(3000)) + chr(0x4E00 + rng.randrange(3000)) for _ in range(60)], "ja": [chr(0x3041 + rng.randrange(80)) * 2 + chr(0x4E00 + rng.randrange(3000)) for _ in range(60)], "ko": [chr(0xAC00 + rng.randrange(2000)) + chr(0xAC00 + rng.randrange(2000)) for _ in range(60)], "ru": [chr(0x430 + rng.randrange(32)) * 3 for _ in range(30)]}

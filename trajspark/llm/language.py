@@ -1,8 +1,10 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text recognises all its substrings. A text is cross-parsed against
-every language: the longest match from the current place is one phrase, then the next phrase starts. Phrases for each
-character, normalised, estimate the cross entropy; the language that needs fewest wins. Every letter of Unicode that the
+every language: the longest match from the current place is one phrase, then the next phrase starts. A phrase is a place
+in the sample, which takes log2 of the sample's length in bits: phrases times these bits estimate the cross entropy (as
+all languages parse the same text, its length is left out), so that a small sample, whose matches are shorter, does not
+lose by its size. The language that needs fewest bits wins. Every letter of Unicode that the
 sample shows is a symbol of its own, lower-cased; letters that no sample has share one symbol, everything else another.
 
 The arcs of all automata lie in one open hash table (arrays of numpy), so memory goes with the sample and not with the
@@ -140,6 +142,7 @@ class Parser:
                 keys.append((a[:, 0] + begin) * self.n_symbols + a[:, 1])
                 to.append((a[:, 2] + begin).astype(np.int32))
             begin += len(nxt)
+        self.bits = np.log2([len(samples[x]) + 1.0 for x in self.languages])
         self.arcs = Arcs(np.concatenate(keys), np.concatenate(to))
         self.roots = np.array(self.roots, np.int32)
 
@@ -203,12 +206,12 @@ class Parser:
         return (states >= _PHRASE).sum(0), last()[:, -1]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) for each text; score is the share that the runner-up's phrases exceed the winner's by."""
+        """(language, score) for each text; score is the share by which the winner's bits are below the runner-up's."""
         use = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
         found: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        for i, row in zip(use, self.phrases([texts[i] for i in use])):
+        for i, row in zip(use, self.phrases([texts[i] for i in use]) * self.bits if use else ()):
             best = int(np.argmin(row))
-            second = int(np.min(np.delete(row, best))) if len(row) > 1 else 2 * int(row[best])
+            second = float(np.min(np.delete(row, best))) if len(row) > 1 else 2 * float(row[best])
             found[i] = (self.languages[best], float(min(1.0, max(0.0, 1 - row[best] / second))))
         return found
 
