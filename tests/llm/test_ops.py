@@ -544,6 +544,26 @@ def test_near_copies_equal_brute_force(spark):
     assert near_copies.keep_first(docs_frame(spark, [])).count() == 0
 
 
+def test_near_copies_of_unequal_lengths_and_a_shared_shingle(spark, monkeypatch):
+    rng = random.Random(25)
+    rows = []
+    for g in range(12):
+        base = prose(rng, 150, 3000).split()
+        for k in range(8):
+            part = base[rng.randrange(12) : len(base) - rng.randrange(20)]
+            part[rng.randrange(len(part))] = f"new{g}x{k}"
+            rows.append((100 * g + k, " ".join(part)))
+    line = prose(rng, 5, 3000)
+    rows += [(5000 + k, f"{line} {prose(rng, 60, 10**6)}") for k in range(150)]
+    met, count = [], near_copies._candidates
+    monkeypatch.setattr(near_copies, "_candidates", lambda m: met.append(m.where("na > 55 and na < 65 and nb > 55 and nb < 65").count()) or count(m))
+    monkeypatch.setattr(near_copies, "_often", lambda source: np.zeros(0, np.int64))  # the shared shingle stays in its place
+    want = near_copies.brute_force(rows)
+    got = {r.doc_id: r.lowest.doc_id for r in near_copies.components(docs_frame(spark, [(d, t, "en", "a") for d, t in rows])).collect()}
+    assert got == {d: rows[g][0] for (d, _), g in zip(rows, want)}
+    assert 12 < len(set(got.values())) - 150 < 96 and sum(met) == 0
+
+
 def test_pipeline_drops_near_copies(spark):
     rng = random.Random(22)
     text = prose(rng, 200, 3000)
