@@ -2,9 +2,11 @@
 
 A tree is a sorted array of hash strings. The characters of a string are the axes that a randomly rotated vector lies
 nearest to, the nearest first, each with its sign (cross-polytope hashing about the mean of a bounded sample). A query
-descends in every tree to its longest-prefix match; then all trees ascend together, one character at a time, and every
-entry of the shorter prefix is met, until `share` of a shard (at least `least`) has been met. Of those met, that many with
-the most characters in common over all trees are compared exactly.
+descends in every tree to its longest-prefix match; then all trees ascend together, one character at a time, down to
+prefixes of two characters. From there a whole step up would meet half of a shard, so the last step is taken one sibling
+at a time: all trees go on together to the subtree of two characters whose axes the query lies nearest to next. The
+ascent stops as soon as `share` of a shard (at least `least`) has been met; everything met, and nothing else, is compared
+exactly. If the `STEPS` nearest subtrees hold too few, the ascent ends at the root: the whole shard.
 
 Every valid vector is indexed: shards of about `shard` vectors, dealt by hash of vec_id, are built once and written, each
 with the sorted arrays of all trees. Queries come in blocks of at most `block`, which are broadcast and look up their own
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import stash, table
 
-LENGTH = 4
+LENGTH = 8  # characters of a string, one byte each
+AXES = 12  # a query's nearest axes, whose pairs are the subtrees of two characters
+STEPS = 64
+AT_ONCE = 256  # queries looked up together
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
@@ -38,30 +43,45 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
 class Forest:
     """Centre and rotation of every tree, for one vector length of at most 128 rotated axes."""
 
-    def __init__(self, sample: np.ndarray, trees: int = 128, seed: int = 9):
+    def __init__(self, sample: np.ndarray, trees: int = 192, seed: int = 9):
         rng, dim = np.random.default_rng(seed), sample.shape[1]
         self.centre = sample.mean(0)
         self.rotations = np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :128] for _ in range(trees)]).astype(np.float32)
 
-    def strings(self, x: np.ndarray) -> np.ndarray:
-        """Hash strings of the vectors as numbers whose first character is the highest byte: one row a tree."""
-        x, out = (x - self.centre).astype(np.float32), np.zeros((len(self.rotations), len(x)), np.uint32)
-        rows = np.arange(len(x))
-        for t, turn in enumerate(self.rotations):
+    def nearest_axes(self, x: np.ndarray, most: int):
+        """For each tree: the characters of the `most` axes nearest to each vector, nearest first, and their distances along them."""
+        x, rows = (x - self.centre).astype(np.float32), np.arange(len(x))[:, None]
+        for turn in self.rotations:
             y = x @ turn
             size = np.abs(y)
-            for _ in range(LENGTH):
-                axis = size.argmax(1)
-                out[t] = out[t] << np.uint32(8) | (axis * 2 + (y[rows, axis] > 0)).astype(np.uint32)
-                size[rows, axis] = -1
+            axes = np.argsort(-size, axis=1, kind="stable")[:, :most]
+            yield axes * 2 + (y[rows, axes] > 0), size[rows, axes]
+
+    def strings(self, x: np.ndarray) -> np.ndarray:
+        """Hash strings of the vectors as numbers whose first character is the highest byte: one row a tree."""
+        out = np.zeros((len(self.rotations), len(x)), np.uint64)
+        for t, (characters, _) in enumerate(self.nearest_axes(x, LENGTH)):
+            for at in range(characters.shape[1]):
+                out[t] |= characters[:, at].astype(np.uint64) << np.uint64(8 * (LENGTH - 1 - at))
         return out
 
+    def subtrees(self, x: np.ndarray) -> np.ndarray:
+        """Prefixes of two characters in each vector's order of ascent, its own first: trees x vectors x steps."""
+        out = []
+        for characters, size in self.nearest_axes(x, AXES):
+            i, j = (m.ravel() for m in np.indices((characters.shape[1],) * 2))
+            i, j = i[i != j], j[i != j]
+            # the first axis weighs a little more: an entry lies nearest to it
+            order = np.argsort(-(1.15 * size[:, i] + size[:, j]), axis=1, kind="stable")[:, :STEPS]
+            out.append((characters[:, i] << 8 | characters[:, j])[np.arange(len(x))[:, None], order])
+        return np.stack(out)
+
 
 class Shard:
     """Entries (distinct vectors, each with its smallest ids) and, for every tree, their strings in order."""
 
     NAMES = ("ids", "begin", "points", "strings", "order")
-    KINDS = (np.int64, np.int64, np.float64, np.uint32, np.int32)
+    KINDS = (np.int64, np.int64, np.float64, np.uint64, np.int32)
 
     def __init__(self, ids: np.ndarray, begin: np.ndarray, points: np.ndarray, strings: np.ndarray, order: np.ndarray):
         self.ids, self.begin, self.points, self.strings, self.order = ids, begin, points, strings, order
@@ -89,30 +109,45 @@ class Shard:
         n = len(points) // dim
         return cls(ids, begin, points.reshape(n, dim), strings.reshape(-1, n), order.reshape(-1, n))
 
-    def met(self, own: np.ndarray, enough: int):
-        """For each query (column of own: its strings), the `enough` entries met first and most often."""
-        trees, n = self.strings.shape
-        enough = min(enough, n)
-        levels = []
-        for length in range(LENGTH, 0, -1):
-            rest = np.uint32((1 << 8 * (LENGTH - length)) - 1)
-            low = np.stack([np.searchsorted(a, s & ~rest, "left") for a, s in zip(self.strings, own)])
-            high = np.stack([np.searchsorted(a, s | rest, "right") for a, s in zip(self.strings, own)])
-            levels.append((low, high - low))
-        flat = self.order.ravel()
-        for q in range(own.shape[1]):
-            common = np.zeros(n, np.int32)
-            for low, size in levels:
-                m = size[:, q]
-                base = np.repeat(np.arange(trees) * n + low[:, q] - np.append(0, np.cumsum(m)[:-1]), m)
-                common += np.bincount(flat[base + np.arange(len(base))], minlength=n)
-                if np.count_nonzero(common) >= enough:
-                    break
-            yield np.sort(np.argpartition(-common, enough - 1)[:enough]) if enough < n else np.arange(n)
-
-    def search(self, q_ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, enough: int):
+    def ranges(self, low_string: np.ndarray, high_string: np.ndarray):
+        """Start and size, in every tree, of the entries between two strings (trees x ...)."""
+        low = np.stack([np.searchsorted(a, s, "left") for a, s in zip(self.strings, low_string)])
+        return low, np.stack([np.searchsorted(a, s, "right") for a, s in zip(self.strings, high_string)]) - low
+
+    def mark(self, seen: np.ndarray, low: np.ndarray, size: np.ndarray) -> int:
+        """Marks the entries of one range a tree; the number of all entries marked."""
+        m = size.astype(np.int64)
+        base = np.repeat(np.arange(len(m)) * len(self.points) + low - np.append(0, np.cumsum(m)[:-1]), m)
+        seen[self.order.ravel()[base + np.arange(len(base))]] = True
+        return int(np.count_nonzero(seen))
+
+    def met(self, forest: Forest, q: np.ndarray, enough: int):
+        """For each query, the entries met when the ascent stops."""
+        n = len(self.points)
+        if n <= enough:
+            yield from (np.arange(n) for _ in q)
+            return
+        for start in range(0, len(q), AT_ONCE):
+            part = q[start : start + AT_ONCE]
+            own, steps = forest.strings(part), forest.subtrees(part).astype(np.uint64) << np.uint64(8 * (LENGTH - 2))
+            levels = []
+            for length in range(LENGTH, 2, -1):
+                rest = np.uint64((1 << 8 * (LENGTH - length)) - 1)
+                levels.append(self.ranges(own & ~rest, own | rest))
+            low, size = self.ranges(steps, steps | np.uint64((1 << 8 * (LENGTH - 2)) - 1))
+            for i in range(len(part)):
+                seen, count = np.zeros(n, bool), 0
+                walk = [(a[:, i], m[:, i]) for a, m in levels] + [(low[:, i, s], size[:, i, s]) for s in range(low.shape[2])]
+                for a, m in walk:
+                    if m.any():
+                        count = self.mark(seen, a, m)
+                    if count >= enough:
+                        break
+                yield np.flatnonzero(seen) if count >= enough else np.arange(n)
+
+    def search(self, forest: Forest, q_ids: np.ndarray, q: np.ndarray, k: int, enough: int):
         """(query, vec_id, distance) of the k nearest entries met, for each query."""
-        for q_id, v, candidates in zip(q_ids, q, self.met(own, enough)):
+        for q_id, v, candidates in zip(q_ids, q, self.met(forest, q, enough)):
             d = np.sqrt(((self.points[candidates] - v) ** 2).sum(1))
             if len(d) > k + 1:  # the query itself may be among them
                 near = d <= np.partition(d, k)[k]
@@ -139,7 +174,7 @@ def build_index(rows: DataFrame, forests: dict[int, Forest], counts: dict[int, i
     return stash(dealt.groupBy("dim", "shard").applyInArrow(build, _INDEX))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, trees: int = 128, share: float = 0.08, least: int = 250, shard: int = 8192, block: int = 20_000, sample: int = 4000) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, trees: int = 192, share: float = 0.08, least: int = 300, shard: int = 8192, block: int = 20_000, sample: int = 4000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found rows for each query (frames of vec_id, embedding)."""
     spark = rows.sparkSession
     asked = stash(valid_vectors(queries))
@@ -162,7 +197,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, trees: int = 128,
             if not part:
                 continue
             q = np.array([r["embedding"] for r in part], float)
-            shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in part], np.int64), q, forests[dim].strings(q)))
+            shared = spark.sparkContext.broadcast((forests[dim], np.array([r["vec_id"] for r in part], np.int64), q))
 
             def look(batches, dim=dim, shared=shared):
                 for batch in batches:
