@@ -30,6 +30,7 @@ from .common import stash, table
 LENGTH = 8  # characters of a string, one byte each
 AXES = 12  # a query's nearest axes, whose pairs are the subtrees of two characters
 STEPS = 64
+LOOKED_UP = 12  # steps looked up together; most queries need no more
 AT_ONCE = 256  # queries looked up together
 
 
@@ -54,7 +55,7 @@ class Forest:
         for turn in self.rotations:
             y = x @ turn
             size = np.abs(y)
-            axes = np.argsort(-size, axis=1, kind="stable")[:, :most]
+            axes = np.argsort(-size, axis=1)[:, :most]
             yield axes * 2 + (y[rows, axes] > 0), size[rows, axes]
 
     def strings(self, x: np.ndarray) -> np.ndarray:
@@ -115,35 +116,54 @@ class Shard:
         return low, np.stack([np.searchsorted(a, s, "right") for a, s in zip(self.strings, high_string)]) - low
 
     def mark(self, seen: np.ndarray, low: np.ndarray, size: np.ndarray) -> int:
-        """Marks the entries of one range a tree; the number of all entries marked."""
-        m = size.astype(np.int64)
-        base = np.repeat(np.arange(len(m)) * len(self.points) + low - np.append(0, np.cumsum(m)[:-1]), m)
+        """Marks the entries of ranges (trees x steps); the number of all entries marked."""
+        m = size.ravel().astype(np.int64)
+        start = (low + np.arange(len(low))[:, None] * len(self.points)).ravel()
+        base = np.repeat(start - np.append(0, np.cumsum(m)[:-1]), m)
         seen[self.order.ravel()[base + np.arange(len(base))]] = True
         return int(np.count_nonzero(seen))
 
+    def ascend(self, low: np.ndarray, size: np.ndarray, seen: np.ndarray, enough: int) -> bool:
+        """Takes steps (trees x steps) in turn until `enough` entries are met; False where these steps do not suffice."""
+        total = int(np.count_nonzero(seen)) + np.cumsum(size.sum(0))
+        # entries met in several trees count once, so no step before this one can suffice
+        first = min(int(np.searchsorted(total, enough)) + 1, low.shape[1])
+        count = self.mark(seen, low[:, :first], size[:, :first])
+        while count < enough and first < low.shape[1]:
+            count = self.mark(seen, low[:, first : first + 1], size[:, first : first + 1])
+            first += 1
+        return count >= enough
+
     def met(self, forest: Forest, q: np.ndarray, enough: int):
         """For each query, the entries met when the ascent stops."""
         n = len(self.points)
         if n <= enough:
             yield from (np.arange(n) for _ in q)
             return
+        last = np.uint64((1 << 8 * (LENGTH - 2)) - 1)
         for start in range(0, len(q), AT_ONCE):
             part = q[start : start + AT_ONCE]
-            own, steps = forest.strings(part), forest.subtrees(part).astype(np.uint64) << np.uint64(8 * (LENGTH - 2))
-            levels = []
-            for length in range(LENGTH, 2, -1):
-                rest = np.uint64((1 << 8 * (LENGTH - length)) - 1)
-                levels.append(self.ranges(own & ~rest, own | rest))
-            low, size = self.ranges(steps, steps | np.uint64((1 << 8 * (LENGTH - 2)) - 1))
-            for i in range(len(part)):
-                seen, count = np.zeros(n, bool), 0
-                walk = [(a[:, i], m[:, i]) for a, m in levels] + [(low[:, i, s], size[:, i, s]) for s in range(low.shape[2])]
-                for a, m in walk:
-                    if m.any():
-                        count = self.mark(seen, a, m)
-                    if count >= enough:
-                        break
-                yield np.flatnonzero(seen) if count >= enough else np.arange(n)
+            steps = forest.subtrees(part).astype(np.uint64) << np.uint64(8 * (LENGTH - 2))
+            seen, done = np.zeros((len(part), n), bool), np.zeros(len(part), bool)
+            for at in range(0, max(1, steps.shape[2]), LOOKED_UP):
+                left = np.flatnonzero(~done)
+                some = steps[:, left, at : at + LOOKED_UP]
+                low, size = self.ranges(some, some | last)
+                if at == 0:
+                    # longer prefixes lie in the first subtree: they can only suffice where that one is large enough
+                    deep = np.flatnonzero(size[:, :, :1].sum((0, 2)) >= enough)
+                    if len(deep):
+                        own = forest.strings(part[deep])
+                        rest = [np.uint64((1 << 8 * (LENGTH - length)) - 1) for length in range(LENGTH, 2, -1)]
+                        levels = [self.ranges(own & ~r, own | r) for r in rest]
+                        for j, i in enumerate(deep):
+                            done[i] = self.ascend(np.stack([a[:, j] for a, _ in levels], 1), np.stack([m[:, j] for _, m in levels], 1), seen[i], enough)
+                for j, i in enumerate(left):
+                    if not done[i]:
+                        done[i] = self.ascend(low[:, j], size[:, j], seen[i], enough)
+                if done.all():
+                    break
+            yield from (np.flatnonzero(m) if d else np.arange(n) for m, d in zip(seen, done))
 
     def search(self, forest: Forest, q_ids: np.ndarray, q: np.ndarray, k: int, enough: int):
         """(query, vec_id, distance) of the k nearest entries met, for each query."""
