@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.reward import canonical_tool
+from ..tools import function_schema
 
 BLOCK = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
 ANY_BLOCK = r"(?s)<tool_call>.*?</tool_call>"
@@ -74,10 +75,62 @@ def user_prompt(question: Column, options: Column, instruction: str) -> Column:
     return F.concat(F.lit("Question: "), question, F.lit("\n"), F.array_join(lettered, "\n"), F.lit("\n" + instruction))
 
 
-def system_prompt(tools: list[str], mode: str = "tools") -> Column:
-    """A literal column: the tools' names and the rules of the mode (tools or direct)."""
-    rules = {"tools": "Call a tool where it helps, then answer inside <answer> tags.", "direct": "Answer inside <answer> tags without tools."}
-    return F.lit(f"Tools: {', '.join(tools)}.\n{rules[mode]}" if mode == "tools" else rules[mode])
+# fixed values: the texts of a system prompt around the tools' schemas, and the two answer policies
+PROMPT_HEAD = """You are a helpful assistant.
+
+# Tools
+You may call one or more functions to assist with the user query.
+You are provided with function signatures within <tools></tools> XML tags:
+<tools>
+"""
+PROMPT_CALLS = """
+</tools>
+
+# How to call a tool
+Return a json object with function name and arguments within <tool_call></tool_call> XML tags:
+<tool_call>
+{"name": <function-name>, "arguments": <args-json-object>}
+</tool_call>
+
+# Coordinate system (IMPORTANT)
+All bbox_2d values MUST be NORMALIZED coordinates: each value is a fraction
+of the image size in [0, 1], where (0,0) = top-left corner and (1,1) = bottom-right
+corner of the image you are currently viewing. Do NOT use pixel values.
+Your coordinates are scaled automatically by the tool executor.
+
+# Answer policy (IMPORTANT)
+"""
+PROMPT_POLICIES = {
+    "answer_first": """1. FIRST, answer directly from the full image: <answer>your answer</answer>
+2. ONLY if you cannot determine the answer from the full image
+   (object too small, text unreadable, details unclear) may you call a tool
+   to inspect. Call ONE tool per turn, inspect the returned image, then answer.
+""",
+    "tool_first": """1. BEFORE answering, you MUST call a tool to verify the target object:
+   zoom into the relevant region (or crop it) and inspect the returned image.
+2. Call ONE tool per turn; you may call several tools in sequence.
+""",
+}
+PROMPT_TAIL = """3. After inspecting tool results, give your final answer in <answer> tags.
+
+Tools available:
+<tool_call>
+{"name": "zoom", "arguments": {"bbox_2d": [0.15, 0.25, 0.28, 0.38]}}
+</tool_call>
+Use ocr to read text, rotate only if the image orientation is wrong.
+
+When you have enough evidence, provide your answer inside <answer> tags:
+<answer>your answer</answer>"""
+
+
+def system_prompt(tools: list[str], mode: Column, specs: dict | None = None) -> Column:
+    """The prompt of a row's mode (answer_first or tool_first; null for any other) with the schemas of `tools` in their order.
+
+    `specs` describes tools as `tools.SPECS` does; a tool that it lacks is an error when the column is built.
+    """
+    schemas = "\n".join(function_schema(t, specs) for t in tools)
+    text = {k: PROMPT_HEAD + schemas + PROMPT_CALLS + policy + PROMPT_TAIL for k, policy in PROMPT_POLICIES.items()}
+    return F.create_map(*[F.lit(x) for kv in text.items() for x in kv])[mode]
 
 
 def build_question(problem: Column, options: Column, guideline: str, templates: dict[str, str], kind: Column) -> Column:

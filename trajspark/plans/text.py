@@ -122,10 +122,62 @@ def user_prompt(spark, d):
     return view(spark, d, "fx_traj").select("traj_id", X.user_prompt(F.col("question"), F.array(F.lit("red"), F.col("pred")), "Answer with a letter.").alias("prompt"))
 
 
-@query("system_prompt", oracle("SELECT ability, CASE WHEN ability = 'q0' THEN 'Answer inside <answer> tags without tools.' ELSE concat('Tools: crop, zoom.', chr(10), 'Call a tool where it helps, then answer inside <answer> tags.') END AS prompt FROM fx_traj GROUP BY 1"))
+_BOX = '{"type": "array", "items": {"type": "number"}, "minItems": 4, "maxItems": 4, '
+_PROMPT = f"""WITH s(i, name, about, param, kind, meaning, required) AS (VALUES
+  (1, 'crop', 'Crop a region of the image to examine details.', 'bbox_2d', '{_BOX}', 'The region as NORMALIZED [x1, y1, x2, y2]: each value in [0,1], 0,0 = top-left corner of the image, 1,1 = bottom-right.', '"bbox_2d"'),
+  (2, 'zoom', 'Zoom into a region to see fine details.', 'bbox_2d', '{_BOX}', 'The region to zoom into as NORMALIZED [x1, y1, x2, y2]: each value in [0,1], 0,0 = top-left, 1,1 = bottom-right.', '"bbox_2d"'),
+  (3, 'rotate', 'Rotate the image by a specified angle.', 'angle', '{{"type": "integer", ', 'Rotation angle in degrees (e.g., 90, 180, 270). Positive values rotate counter-clockwise.', '"angle"'),
+  (4, 'ocr', 'Extract text from a region of the image.', 'bbox_2d', '{_BOX}', 'The region to read as NORMALIZED [x1, y1, x2, y2]: each value in [0,1], 0,0 = top-left, 1,1 = bottom-right. Omit to OCR the whole image.', '')),
+lines AS (SELECT string_agg('{{"type": "function", "function": {{"name": "' || name || '", "description": "' || about || '", "parameters": {{"type": "object", "properties": {{"' || param || '": ' || kind || '"description": "' || meaning || '"}}}}, "required": [' || required || ']}}}}}}', chr(10) ORDER BY i) AS tools FROM s)
+SELECT traj_id, length(p) AS characters, sha256(p) AS digest, len(regexp_extract_all(p, '"type": "function"')) AS tools FROM (
+SELECT traj_id, 'You are a helpful assistant.
+
+# Tools
+You may call one or more functions to assist with the user query.
+You are provided with function signatures within <tools></tools> XML tags:
+<tools>
+' || tools || '
+</tools>
+
+# How to call a tool
+Return a json object with function name and arguments within <tool_call></tool_call> XML tags:
+<tool_call>
+{{"name": <function-name>, "arguments": <args-json-object>}}
+</tool_call>
+
+# Coordinate system (IMPORTANT)
+All bbox_2d values MUST be NORMALIZED coordinates: each value is a fraction
+of the image size in [0, 1], where (0,0) = top-left corner and (1,1) = bottom-right
+corner of the image you are currently viewing. Do NOT use pixel values.
+Your coordinates are scaled automatically by the tool executor.
+
+# Answer policy (IMPORTANT)
+' || CASE WHEN has_image THEN '1. BEFORE answering, you MUST call a tool to verify the target object:
+   zoom into the relevant region (or crop it) and inspect the returned image.
+2. Call ONE tool per turn; you may call several tools in sequence.
+' ELSE '1. FIRST, answer directly from the full image: <answer>your answer</answer>
+2. ONLY if you cannot determine the answer from the full image
+   (object too small, text unreadable, details unclear) may you call a tool
+   to inspect. Call ONE tool per turn, inspect the returned image, then answer.
+' END || '3. After inspecting tool results, give your final answer in <answer> tags.
+
+Tools available:
+<tool_call>
+{{"name": "zoom", "arguments": {{"bbox_2d": [0.15, 0.25, 0.28, 0.38]}}}}
+</tool_call>
+Use ocr to read text, rotate only if the image orientation is wrong.
+
+When you have enough evidence, provide your answer inside <answer> tags:
+<answer>your answer</answer>' AS p FROM fx_traj, lines)"""
+
+
+@query("system_prompt", oracle(_PROMPT))
 def system_prompt(spark, d):
-    p = F.when(F.col("ability") == "q0", X.system_prompt([], "direct")).otherwise(X.system_prompt(["crop", "zoom"]))
-    return view(spark, d, "fx_traj").select("ability", p.alias("prompt")).distinct()
+    """The prompt of every trajectory: tools first where it has an image, else the answer first; compared by digest."""
+    mode = F.when(F.col("has_image"), "tool_first").otherwise("answer_first")
+    t = view(spark, d, "fx_traj").select("traj_id", X.system_prompt(["crop", "zoom", "rotate", "ocr"], mode).alias("p"))
+    tools = F.regexp_count("p", F.lit('"type": "function"')).cast("long")
+    return t.select("traj_id", F.length("p").cast("long").alias("characters"), F.sha2("p", 256).alias("digest"), tools.alias("tools"))
 
 
 @query("build_question", oracle("SELECT traj_id, concat(question, chr(10), 'x', chr(10), pred, chr(10), 'Think first.', CASE ability WHEN 'q1' THEN ' Give a number.' ELSE '' END) AS question FROM fx_traj"))
