@@ -42,6 +42,38 @@ def ordered(df):
     return sorted(map(tuple, df.collect()), key=lambda r: tuple((x is None, x) for x in r))
 
 
+def test_pattern_tables_by_definition():
+    """Few different words, so that blocks, buckets and shifts collide; patterns of every length up to the width."""
+    rng = random.Random(4)
+    for _ in range(150):
+        some = [f"w{i}" for i in range(rng.choice([1, 2, 3, 40]))]
+        text = lambda n: " ".join(rng.choice(some) for _ in range(n))
+        items = [(i, text(rng.choice([0, 1, 2, 3, 9, 12]))) for i in range(rng.choice([1, 5]))]
+        docs = [(i, text(rng.randrange(40)) + rng.choice(["", " other ", " other w1 w0"])) for i in range(4)]
+        width = rng.choice([1, 2, 4, 10])
+        tables = decontaminate.build_tables([(i, t.encode()) for i, t in items], width)
+        for (_, t), want in zip(docs, decontaminate.brute_force(docs, items, width)):
+            ranges, ids = decontaminate.search(decontaminate.words(t.encode()), tables)
+            assert (sum(b - a for a, b in ranges), len(ids)) == want[2:4]
+
+
+def test_item_above_a_block_is_cut(spark):
+    rng = random.Random(6)
+    items = [(1, " ".join(f"w{rng.randrange(50)}" for _ in range(600))), (None, "a b c d e f g h i j k l"), (3, "x y")]
+    long = items[0][1].split()
+    rows = [(i, " ".join(["pre", *long[i * 7 : i * 7 + 8 + i % 5], "post"]), "en", "a") for i in range(80)] + [(None, "a b c d e f g h i j", "en", "a"), (None, "clean", "en", "a"), (90, None, "en", "a"), (91, items[0][1], "en", "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes = [sum(max(1, len(t.split()) - 9) for _, t in part) for _, part in decontaminate._blocks(bench, 10, 100)]
+    assert len(sizes) == 6 and sum(sizes) == 591 + 3 + 1 and max(sizes) < 300
+    want = sorted((w for w in decontaminate.brute_force([r[:2] for r in rows], items)), key=str)
+    found = decontaminate.find_overlaps(docs_frame(spark, rows), bench, max_windows=100)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, len(r.item_ids), hashlib.sha256(",".join(r.item_ids).encode()).hexdigest(), r.n_hit > 0) for r in found.collect()), key=str) == want
+    clashing = docs_frame(spark, rows).withColumn("_row", F.lit("mine"))
+    kept = decontaminate.drop_contaminated(clashing, bench, max_windows=100)
+    assert kept.columns == clashing.columns and {r._row for r in kept.collect()} == {"mine"}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want if not w[5])
+
+
 def test_decontaminate_equals_brute_force(spark, texts):
     rng = random.Random(1)
     items = [(1, prose(rng, 25, 40)), (2, "short one"), (3, None), (4, ""), (2, "w1 w2 W3"), (5, texts[7][1])]
