@@ -1,5 +1,6 @@
 """Streams whose state ends: timers, turns out of order, exactly-once accumulation, mergeable sketches."""
 
+import datetime
 import random
 
 import pytest
@@ -41,6 +42,29 @@ def test_groups_complete_time_out_and_leave_no_state(spark, tmp_path):
     assert left == 0
 
 
+def test_prompts_of_one_bucket_keep_their_own_groups_and_times(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(u, 100 * u + k, f"2024-{1 + k % 6:02d}-{rng.randrange(1, 29):02d}", float(k)) for u in range(60) for k in range(rng.choice([1, 2, 5, 9]))]
+    schema = "uid long, traj_id long, ts string, score double"
+    for half in ("2024-01 2024-02 2024-03", "2024-04 2024-05 2024-06"):  # half-years in files of their own
+        df = write(spark, tmp_path, [r for r in rows if r[2][:7] in half], schema)
+    write(spark, tmp_path, [(-1, -1, "2124-01-01", 0.0)], schema)
+    seen = []
+    got, left = run(spark, df, lambda s: S.wait_for_groups(s, 3, 40 * DAY, "100 days", buckets=2), tmp_path, "out")
+    for u in range(60):
+        group = []
+        for _, traj, ts, _ in sorted((r for r in rows if r[0] == u), key=lambda r: r[2:0:-1]):
+            day = (datetime.date.fromisoformat(ts) - datetime.date(2024, 1, 1)).days
+            if group and (len(group) == 3 or day > group[0][1] + 40):
+                seen += [(u, t, len(group), len(group) == 3) for t, _ in group]
+                group = []
+            group.append((traj, day))
+        seen += [(u, t, len(group), len(group) == 3) for t, _ in group]
+    assert sorted((r.uid, r.traj_id, r.n, r.complete) for r in got if r.uid >= 0) == sorted(seen)
+    # what is left is the last row's: one attempt and its bucket's timer (kept under the key and under the time)
+    assert left <= 3
+
+
 def test_shuffled_turns_give_the_batch_rows_and_leave_no_state(spark, tmp_path):
     rng = random.Random(3)
     rows = []

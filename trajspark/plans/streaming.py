@@ -76,18 +76,19 @@ SELECT uid, traj_id, CAST(n AS INTEGER) AS n, n = 4 AS complete, round(CASE WHEN
 @query("stream_group", oracle(_WAITED).replace("WITH fx_traj AS", "WITH RECURSIVE fx_traj AS").replace(", RECURSIVE o AS", ", o AS"))
 def stream_group(spark, d):
     """Groups of four attempts of a customer within 200 days, each year's orders in files of their own; a timer gives out groups that stay
-    short. A last row far ahead moves the watermark past all timers."""
+    short. A last row far ahead moves the watermark past all timers. Buckets of about 8,000 rows, files of at most some 4 million."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     t = view(spark, d, "fx_traj").select("uid", "traj_id", F.col("accuracy").alias("score"))
     t = written(t.hint("merge").join(o.hint("merge"), F.col("traj_id") == F.col("k")).select("uid", "traj_id", "score", "ts"))
-    path = scratch(spark)
+    path, rows = scratch(spark), t.count()
+    files = 2 + rows // 28_000_000
     years = [r[0] for r in t.select(F.year("ts")).distinct().orderBy(F.year("ts")).collect()]
     for y in years:  # a customer's orders of a year are in one file, and years come in order
-        t.where(F.year("ts") == y).repartition(2, "uid").write.mode("append").parquet(f"{path}/in")
+        t.where(F.year("ts") == y).repartition(files, "uid").write.mode("append").parquet(f"{path}/in")
     _far_ahead(t, {"uid": -1, "traj_id": -1, "score": 0.0}).write.mode("append").parquet(f"{path}/in")
     state.use_rocksdb(spark)
-    s = J.read_stream(spark, f"{path}/in", t.schema, 8)
-    J.run_once(state.wait_for_groups(s, 4, 200 * 86_400_000, "366 days"), f"{path}/out", f"{path}/ck")
+    s = J.read_stream(spark, f"{path}/in", t.schema, 4 * files)
+    J.run_once(state.wait_for_groups(s, 4, 200 * 86_400_000, "366 days", 16 + rows // 8_000), f"{path}/out", f"{path}/ck")
     return spark.read.parquet(f"{path}/out").where("uid >= 0").withColumn("advantage", F.round("advantage", 5))
 
 

@@ -32,9 +32,10 @@ def _advantages(scores: list[float]) -> list[float]:
     return [(s - mean) / (std + 1e-6) for s in scores]
 
 
-class WaitForGroup(StatefulProcessor):
-    """Holds the attempts of a prompt until n are there or timeout_ms have passed in event time since the first. At most n - 1
-    attempts a prompt are in state."""
+class WaitForGroups(StatefulProcessor):
+    """Holds the attempts of each prompt of a bucket until n are there or timeout_ms have passed in event time since the prompt's first.
+    At most n - 1 attempts a prompt are in state. A bucket's attempts are read and put back in one go and its timer is that of its
+    oldest group, so that calls to the state store grow with buckets, not with prompts."""
 
     OUT = "uid long, traj_id long, n int, complete boolean, advantage double"
 
@@ -43,38 +44,63 @@ class WaitForGroup(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "ts long, traj_id long, score double")
+        self.rows = handle.getListState("rows", "uid long, ts long, traj_id long, score double")
+
+    def _held(self) -> dict[int, list[tuple]]:
+        """The open group of each prompt."""
+        groups: dict[int, list[tuple]] = {}
+        for uid, *row in self.rows.get() if self.rows.exists() else ():
+            groups.setdefault(uid, []).append(tuple(row))
+        return groups
+
+    def _hold(self, groups: dict[int, list[tuple]], timer: int | None) -> None:
+        """Puts the open groups back; timer: the one that is set."""
+        due = min((g[0][0] for g in groups.values()), default=None)
+        due = None if due is None else due + self.timeout_ms + 1
+        if groups:
+            self.rows.put([(uid, *row) for uid, g in groups.items() for row in g])
+        elif timer is not None:
+            self.rows.clear()
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+
+    def _timer(self, groups: dict[int, list[tuple]]) -> int | None:
+        return min(g[0][0] for g in groups.values()) + self.timeout_ms + 1 if groups else None
 
-    def _emit(self, uid: int, group: list[tuple]) -> pd.DataFrame:
-        adv = _advantages([s for *_, s in group])
-        return pd.DataFrame({"uid": uid, "traj_id": [t for _, t, _ in group], "n": len(group), "complete": len(group) == self.n, "advantage": adv})
+    def _rows(self, done: list[tuple[int, list[tuple]]]) -> pd.DataFrame:
+        out = [(uid, row[1], len(g), len(g) == self.n, a) for uid, g in done for row, a in zip(g, _advantages([s for *_, s in g]))]
+        return pd.DataFrame(out, columns=["uid", "traj_id", "n", "complete", "advantage"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        group = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        before = list(group)
-        new = sorted((_ms(r.ts), int(r.traj_id), float(r.score)) for b in rows for r in b.itertuples())
-        for row in new:
+        groups = self._held()
+        timer, done, new = self._timer(groups), [], []
+        for b in rows:
+            ms = b["ts"].to_numpy().astype("datetime64[ms]").astype("int64").tolist()
+            new += zip(ms, b["traj_id"].tolist(), b["score"].tolist(), b["uid"].tolist())
+        new.sort()
+        for *row, uid in new:
+            group = groups.setdefault(uid, [])
             if group and row[0] > group[0][0] + self.timeout_ms:
-                yield self._emit(key[0], group)
-                group = []
-            group.append(row)
+                done.append((uid, group))
+                group = groups[uid] = []
+            group.append(tuple(row))
             if len(group) == self.n:
-                yield self._emit(key[0], group)
-                group = []
-        # each call is a round trip to the state store: the timer follows the group's first row and is moved only with it
-        if before and before[:1] != group[:1]:
-            self.handle.deleteTimer(before[0][0] + self.timeout_ms + 1)
-        if group and before[:1] != group[:1]:
-            self.handle.registerTimer(group[0][0] + self.timeout_ms + 1)
-        if group:
-            self.rows.put(group)
-        elif before:
-            self.rows.clear()
+                done.append((uid, groups.pop(uid)))
+        self._hold(groups, timer)
+        if done:
+            yield self._rows(done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.rows.exists():
-            yield self._emit(key[0], [tuple(r) for r in self.rows.get()])
-            self.rows.clear()
+        groups, now = self._held(), timerValues.getCurrentWatermarkInMs()
+        done = [(uid, g) for uid, g in groups.items() if g[0][0] + self.timeout_ms + 1 <= now]
+        # the timer that fired goes by itself
+        left = {uid: g for uid, g in groups.items() if g[0][0] + self.timeout_ms + 1 > now}
+        self.rows.clear()
+        self._hold(left, None)
+        if done:
+            yield self._rows(done)
 
     def close(self) -> None:
         pass
@@ -131,10 +157,11 @@ class FoldTurns(StatefulProcessor):
         pass
 
 
-def wait_for_groups(attempts: DataFrame, n: int, timeout_ms: int, delay: str) -> DataFrame:
-    """A row for each attempt (uid, traj_id, ts, score) when its group is complete or timed out. delay: how late rows may come."""
-    rows = attempts.withWatermark("ts", delay).select("uid", "traj_id", "ts", F.col("score").cast("double").alias("score"))
-    return rows.groupBy("uid").transformWithStateInPandas(WaitForGroup(n, timeout_ms), WaitForGroup.OUT, "Append", "eventTime")
+def wait_for_groups(attempts: DataFrame, n: int, timeout_ms: int, delay: str, buckets: int = 1024) -> DataFrame:
+    """A row for each attempt (uid, traj_id, ts, score) when its group is complete or timed out. delay: how late rows may come.
+    Prompts are dealt to buckets by their hash, a key of the state each; the number stays the same over restarts from a checkpoint."""
+    rows = attempts.withWatermark("ts", delay).select(F.pmod(F.xxhash64("uid"), F.lit(buckets)).alias("bucket"), "uid", "traj_id", "ts", F.col("score").cast("double").alias("score"))
+    return rows.groupBy("bucket").transformWithStateInPandas(WaitForGroups(n, timeout_ms), WaitForGroups.OUT, "Append", "eventTime")
 
 
 def fold_turns(turns: DataFrame, idle_ms: int, delay: str, **limits) -> DataFrame:
