@@ -189,3 +189,18 @@ def test_positions_of_a_value_that_most_rows_share(spark):
     assert max(r["count"] for r in dealt) < 700
     batches = minibatches(placed, 64, 3, seed=5).groupBy("epoch", "batch_id").count().collect()
     assert sorted(r["count"] for r in batches) == [16] * 3 + [64] * 93
+
+
+def test_scores_compute_each_part_once(spark):
+    """Spark interprets what stands inside of lambdas, so a part that is written out twice is computed twice; results as by plain loops."""
+    calls = [("crop", [0.0, 0.0, 0.5, 0.5], "Größe 12 mm"), ("crop", [0.0, 0.0, 0.5, 0.5], None), ("crop", [0.0, 0.0, 0.1, 0.1], "x"), ("ocr", None, "left side 5"), ("ocr", None, "left side 5"), (None, None, "ocr"), ("ocr", None, "")]
+    schema = "question string, gt_box array<double>, tool_calls array<struct<tool_name:string,raw_name:string,bbox:array<double>,output:string>>"
+    df = spark.createDataFrame([("How many mm?", [0.0, 0.0, 0.5, 0.4], [(t, t, b, o) for t, b, o in calls])], schema)
+    scored = R.with_scores(df)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("how many") <= 2 and plan.count(".bbox") < 90
+    names = [t for t, _, _ in calls]
+    total = sum(w for i in range(len(names)) for p, w in R.PREFERRED + R.ANTI if names[i : i + len(p)] == p)
+    got = scored.select("utility", "cost", "cost_dup_spatial", "cost_dup_ocr", R.pattern_score(F.transform("tool_calls", lambda c: c["tool_name"])).alias("p"), R.words(F.lit("Größe größe a_1 ١٢")).alias("w")).first()
+    assert abs(got.p - total) < 1e-9 and sorted(got.w) == sorted(["größe", "a_1", "١٢"])
+    assert (got.cost_dup_spatial, got.cost_dup_ocr) == (1, 1)
