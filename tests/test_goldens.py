@@ -166,6 +166,22 @@ def test_readers(spark, tmp_path):
     assert [(r.test_type, r.stem, r.question, r.bbox) for r in a] == [("direct", "x", "q", [[1.0, 2.0, 3.0, 4.0]])]
 
 
+def test_packed_annotations_read_as_loose_files(spark, tmp_path):
+    from trajspark.sources import io
+
+    loose = {"direct/x.jpg": b"0", "direct/y.jpg": b"0", "direct/x.json": b'{"question": "q",\n "bbox": [[1, 2, 3, 4]]}', "other/x.json": b'{"options": ["a"]}'}
+    for name, content in loose.items():
+        (tmp_path / "n" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "n" / name).write_bytes(content)
+    for folder, ending in (("notes", "json"), ("images", "jpg")):
+        files = [(k, v) for k, v in loose.items() if k.endswith(ending)]
+        io.write_pack(spark.createDataFrame(files, "path string, content binary"), str(tmp_path / "packs" / folder))
+    rows = lambda df: sorted(map(repr, df.drop("image").collect()))
+    for orphans in (False, True):
+        want = rows(io.read_annotations(spark, str(tmp_path / "n"), orphans=orphans))
+        assert rows(io.read_annotations(spark, str(tmp_path / "packs"), "notes", "images", orphans=orphans, packed=True)) == want and len(want) == (3 if orphans else 1)
+
+
 def test_cues_and_expressions(spark):
     texts = {"Thus the answer is 5.": "5", "the correct answer is: 7 cm": "7 cm", "the answer is none": None, "so 4 ... ANSWER: x = 3": "x = 3", "nothing": None}
     df = spark.createDataFrame([(k,) for k in texts], "t string").select("t", S.answer_cue_match(F.col("t")).alias("a"))

@@ -47,21 +47,37 @@ def read_parquets(spark: SparkSession, paths: list[str], merge: bool = False) ->
     return spark.read.option("mergeSchema", merge).parquet(*paths)
 
 
-def read_annotations(spark: SparkSession, root: str, notes: str = "*/*.json", images: str = "*/*.jpg", parts: str = r"([^/]+)/([^/]+)\.[A-Za-z]+$", orphans: bool = False) -> DataFrame:
+_NOTE = "question string, options array<string>, bbox array<array<double>>, target_object array<string>"
+
+
+def read_annotations(spark: SparkSession, root: str, notes: str = "*/*.json", images: str = "*/*.jpg", parts: str = r"([^/]+)/([^/]+)\.[A-Za-z]+$", orphans: bool = False, packed: bool = False) -> DataFrame:
     """One row an image that has a JSON of the same stem in its folder: test_type, stem, image, and the note's columns. Images are
     only listed, not read. parts: the pattern that gives folder and stem of a path. With orphans, images without a note and notes without
-    an image are kept, told apart by status (paired, no_note, no_image)."""
-    # else each of many folders is a task of its own when files are listed
-    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism)
+    an image are kept, told apart by status (paired, no_note, no_image).
+
+    Of files by the million each is a row in the driver's listing. packed: notes and images are folders of packs (see write_pack), where
+    the listing is a column: nothing of it passes through the driver, and the images' contents are not read either."""
     named = lambda df: df.withColumns({"test_type": F.regexp_extract("_file", parts, 1), "stem": F.regexp_extract("_file", parts, 2)}).drop("_file")
-    noted = spark.read.schema("question string, options array<string>, bbox array<array<double>>, target_object array<string>").option("multiLine", True).json(f"{root}/{notes}")
-    noted = named(noted.withColumn("_file", F.col("_metadata.file_path"))).withColumn("_noted", F.lit(True))
-    listed = named(spark.read.format("binaryFile").load(f"{root}/{images}").select(F.col("path").alias("_file"), F.col("path").alias("image")))
-    both = listed.hint("merge").join(noted.hint("merge"), ["test_type", "stem"], "full" if orphans else "inner")
+    if packed:
+        files = lambda folder: spark.read.schema("path string, content binary").parquet(f"{root}/{folder}")
+        noted = files(notes).select(F.from_json(F.col("content").cast("string"), _NOTE).alias("n"), F.col("path").alias("_file")).select("n.*", "_file")
+        listed = files(images).select(F.col("path").alias("_file"), F.col("path").alias("image"))
+    else:
+        # else each of many folders is a task of its own when files are listed
+        spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism)
+        noted = spark.read.schema(_NOTE).option("multiLine", True).json(f"{root}/{notes}").withColumn("_file", F.col("_metadata.file_path"))
+        listed = spark.read.format("binaryFile").load(f"{root}/{images}").select(F.col("path").alias("_file"), F.col("path").alias("image"))
+    noted = named(noted).withColumn("_noted", F.lit(True))
+    both = named(listed).hint("merge").join(noted.hint("merge"), ["test_type", "stem"], "full" if orphans else "inner")
     status = F.when(F.col("image").isNull(), "no_image").when(F.col("_noted").isNull(), "no_note").otherwise("paired")
     return (both.withColumn("status", status) if orphans else both).drop("_noted")
 
 
+def write_pack(files: DataFrame, path: str) -> None:
+    """Small files (path, content) packed: Parquet with a row a file, as many packs as files has partitions."""
+    files.select(F.col("path").cast("string"), F.col("content").cast("binary")).write.mode("overwrite").parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
