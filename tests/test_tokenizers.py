@@ -52,3 +52,14 @@ def test_queries(spark):
 def test_missing_vocabulary(spark):
     with pytest.raises(Exception):
         K.with_subwords(spark.createDataFrame([("a",)], "text string"), {"text": "ids"}, "/none/x.tiktoken").collect()
+
+
+def test_slices_bound_the_text_of_a_batch():
+    import pyarrow as pa
+
+    from trajspark.functions.tokenizers import _slices
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(6)), "a": ["x" * 40, None, "x" * 500, "", "é" * 30, "y"], "b": ["z" * 70, "z", None, "", "z" * 30, "w"]})
+    parts = list(_slices(batch, ["a", "b"], 100))
+    assert [p.column(0).to_pylist() for p in parts] == [[0], [1], [2], [3, 4, 5]]
+    assert list(_slices(batch.slice(0, 0), ["a"], 100)) == []

@@ -11,6 +11,7 @@ import os
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,19 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def _slices(batch: pa.RecordBatch, columns: list[str], most: int = 1 << 20):
+    """Slices of about `most` bytes of text, so that ids as Python numbers take some tens of MB whatever the batch holds; a longer text is alone."""
+    sizes = [sum(n or 0 for n in row) for row in zip(*(pc.binary_length(batch.column(c)).to_pylist() for c in columns))]
+    at = total = 0
+    for i, n in enumerate(sizes):
+        if i > at and total + n > most:
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def with_subwords(df: DataFrame, columns: dict[str, str], path: str, pieces: str = PIECES) -> DataFrame:
     """df with an array<int> column of token ids for each (text column -> new column) of columns; null texts have null ids.
 
@@ -55,7 +69,7 @@ def with_subwords(df: DataFrame, columns: dict[str, str], path: str, pieces: str
 
     def run(batches):
         encode = encoder(SparkFiles.get(file), pieces).encode_ordinary
-        for b in batches:
+        for b in (part for batch in batches for part in _slices(batch, list(columns))):
             made = [pa.array([None if t is None else encode(t) for t in b.column(c).to_pylist()], pa.list_(pa.int32())) for c in columns]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *columns.values()])
 
