@@ -443,6 +443,17 @@ def test_spans_equal_brute_force(spark):
     assert got == {d: (t, n) for d, t, n in spans.brute_force(rows)}
 
 
+def test_span_table_counts_the_sentences_of_every_text(spark):
+    rng = random.Random(43)
+    texts = ["", None, "One. Two. Three.", " ".join(f"w{rng.randrange(50)}" for _ in range(300)) + ". " + "Ay. " * 30, "\u3042\u3005 \u6f22\u3002" * 40]
+    docs = docs_frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).selectExpr("doc_id", "text", "hash(text) AS body")
+    rows = spans.span_table(docs).collect()
+    assert sorted((r.doc_id, r.j) for r in rows if r.h is None) == [(i, len(spans.sentences(t or ""))) for i, t in enumerate(texts)]
+    assert sorted((r.doc_id, r.h, r.i, r.j) for r in rows if r.h is not None) == sorted((i, *s) for i, t in enumerate(texts) for s in spans.spans(t or ""))
+    got = {r.doc_id: r.n_sentences for r in spans.dedup_spans(docs.drop("body")).collect()}
+    assert got == {i: len(spans.sentences(t or "")) for i, t in enumerate(texts)}
+
+
 def test_passages_inside_sentences_are_caught():
     rng = random.Random(42)
     line = lambda n, cut: " ".join(f"v{rng.randrange(90_000)}" + ("." if rng.random() < cut else "") for _ in range(n))

@@ -15,6 +15,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ _BREAK = re.compile(r"(?<![.!?])[.!?]+\s+|[。！？]+\s*|\n+")
 #: Scripts without spaces: Thai, kana, Han, Hangul syllables.
 _WIDE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
 _WORD = re.compile(rf"[{_WIDE}]\s*|[^\s{_WIDE}]+\s*")
+_PLAIN = re.compile(r"\S+\s*")
 _ANY_WIDE = re.compile(f"[{_WIDE}]")
 
 
@@ -44,26 +46,47 @@ def count_words(s: str) -> int:
     return len(_WORD.findall(s)) if not s.isascii() and _ANY_WIDE.search(s) else len(s.split())
 
 
+def _word_hash(word: str) -> int:
+    return crc32(word.strip().lower().encode("utf-8", "surrogatepass"))
+
+
+#: Most words recur; only those of short sentences are kept, so that the table stays small.
+_short_hash = lru_cache(1 << 15)(_word_hash)
+
+
 def _pieces(sentence: str, long: int, window: int = 8) -> list[str]:
     if len(sentence) <= long or count_words(sentence) <= long:
         return [sentence]
-    words = list(_WORD.finditer(sentence))
-    h = [crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) for m in words]
-    out, at, last = [], 0, -1
-    for end in range(window, len(h) + 1):
-        low = min(h[end - window : end])
-        if last < end - window or h[last] > low:
-            last = max(i for i in range(end - window, end) if h[i] == low)
-            out.append(sentence[at : words[last].end()])
-            at = words[last].end()
-    return out + [sentence[at:]] if at < len(sentence) else out
+    wide = not sentence.isascii() and _ANY_WIDE.search(sentence)
+    words = (_WORD if wide else _PLAIN).findall(sentence)
+    h = list(map(_short_hash if len(sentence) < 512 else _word_hash, words))
+    # the white space before the first word stands in no word
+    words[0] = sentence[: len(sentence) - sum(map(len, words))] + words[0]
+    out, at, low, leaves = [], 0, 0, 0  # low: the hash cut at last; leaves: the word with which it is out of the window
+    for k, x in enumerate(h[window - 1 :], window - 1):
+        if k >= leaves:
+            seen = h[k - window + 1 : k + 1]
+            low = min(seen)
+            last = k - seen[::-1].index(low)
+        elif x < low:
+            low, last = x, k
+        else:
+            continue
+        leaves = last + window
+        out.append("".join(words[at : last + 1]))
+        at = last + 1
+    return out + ["".join(words[at:])] if at < len(words) else out
 
 
 def spans(text: str, size: int = 3, least: int = 20) -> list[tuple[int, int, int]]:
     """(hash, first sentence, end sentence) of the span that starts at each sentence, if the text is long enough for it."""
+    return _spans(text, sentences(text), size, least)
+
+
+def _spans(text: str, parts: list[str], size: int = 3, least: int = 20) -> list[tuple[int, int, int]]:
     from xxhash import xxh64_intdigest
 
-    parts, wide = sentences(text), not text.isascii() and _ANY_WIDE.search(text)
+    wide = not text.isascii() and _ANY_WIDE.search(text)
     split = [s.lower().encode("utf-8", "surrogatepass").split() for s in parts]
     words = [count_words(s) for s in parts] if wide else [len(w) for w in split]
     joined, out, end, total = [b" ".join(w) for w in split], [], 0, 0
@@ -80,12 +103,14 @@ def spans(text: str, size: int = 3, least: int = 20) -> list[tuple[int, int, int
 
 
 def span_table(docs: DataFrame) -> DataFrame:
-    """h, doc_id, body, i, j: every span of every row of docs (doc_id, text)."""
+    """h, doc_id, body, i, j: every span of every row of docs (doc_id, text), and a row without h for each row of docs, whose j is
+    the number of its sentences."""
 
     def run(cols):
         out = [[] for _ in range(5)]
         for doc, body, text in zip(*cols):
-            for h, i, j in spans(text or ""):
+            parts = sentences(text or "")
+            for h, i, j in [(None, None, len(parts)), *_spans(text or "", parts)]:
                 for c, v in zip(out, (h, doc, body, i, j)):
                     c.append(v)
         return out
@@ -96,7 +121,8 @@ def span_table(docs: DataFrame) -> DataFrame:
 def dedup_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text (without repeated spans), n_sentences, n_removed, n_chars_removed for every row of docs."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash("text", F.xxhash64("text")).alias("body"))
-    found = stash(span_table(source))
+    every = stash(span_table(source))
+    found = every.where("h is not null")
     # counts first: only the hash is shuffled, and a hash that stands once goes no further. Each small side is written and
     # read again, so that Spark can split the tasks of a passage that very many documents share.
     often = stash(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
@@ -104,22 +130,27 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     where = F.struct("doc_id", "body", "i")
     first = stash(shared.groupBy("h").agg(F.min(where).alias("first")))
     later = shared.hint("merge").join(first.hint("merge"), "h").where(~where.eqNullSafe(F.col("first")))
-    cut = later.groupBy("doc_id", "body").agg(F.collect_set(F.struct("i", "j")).alias("cut")).withColumnsRenamed({"doc_id": "cut_doc", "body": "cut_body"})
+    counts = every.where("h is null").select("doc_id", "body", "i", "j")
+    either = later.select("doc_id", "body", "i", "j").unionByName(counts).groupBy("doc_id", "body")
+    cut = either.agg(F.collect_set(F.when(F.col("i").isNotNull(), F.struct("i", "j"))).alias("cut"), F.max(F.when(F.col("i").isNull(), F.col("j"))).alias("n")).withColumnsRenamed({"doc_id": "cut_doc", "body": "cut_body"})
     joined = source.hint("merge").join(cut.hint("merge"), source["doc_id"].eqNullSafe(cut["cut_doc"]) & (source["body"] == cut["cut_body"]), "left")
 
     def run(cols):
         out = [[] for _ in range(5)]
-        for doc, text, ranges in zip(*cols):
-            parts = sentences(text or "")
-            keep = [True] * len(parts)
-            for r in ranges or ():
-                keep[r["i"] : r["j"]] = [False] * (r["j"] - r["i"])
-            kept = text if all(keep) else "".join(p for p, k in zip(parts, keep) if k)
-            for c, v in zip(out, (doc, kept, len(parts), keep.count(False), len(text or "") - len(kept or ""))):
+        for doc, text, ranges, n in zip(*cols):
+            # a text is split again only where something is cut out of it
+            kept, gone = text, 0
+            if ranges:
+                parts = sentences(text or "")
+                keep = [True] * n
+                for r in ranges:
+                    keep[r["i"] : r["j"]] = [False] * (r["j"] - r["i"])
+                kept, gone = "".join(p for p, k in zip(parts, keep) if k), keep.count(False)
+            for c, v in zip(out, (doc, kept, n, gone, len(text or "") - len(kept or ""))):
                 c.append(v)
         return out
 
-    return map_batches(joined.select("doc_id", "text", "cut"), run, "doc_id long, text string, n_sentences long, n_removed long, n_chars_removed long")
+    return map_batches(joined.select("doc_id", "text", "cut", "n"), run, "doc_id long, text string, n_sentences long, n_removed long, n_chars_removed long")
 
 
 def op1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
