@@ -119,3 +119,32 @@ def test_majority_equals_the_loop(spark, group_rows):
 def test_picks_are_the_same_in_spark_and_numpy(spark):
     got = S.picks(spark.createDataFrame([(7,)], "n long"), 20, 42).where(F.col("k") == 4).orderBy("b", "j").collect()
     assert [r.i - 1 for r in got] == picked(7, 4, 20).ravel().tolist()
+
+
+def test_majority_of_many_prompts_at_once(spark):
+    """Prompts of as many attempts are drawn together, also where they lie across Arrow batches."""
+    rng = np.random.default_rng(8)
+    rows = [(u if u else None, i, rng.choice(["A", "B", None, f"own{u}"]), float(rng.integers(9))) for u in range(60) for i in range(1 + u % 4 * 3)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "uid int, i int, pred string, v double")
+        got = {(r.uid, r.n, r.k): (r.majority, r.majority_std) for r in S.bootstrap_majority(df, ["uid"], "pred", "v", "i", draws=30).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for u in range(60):
+        own = [r for r in rows if r[0] == (u if u else None)]
+        n = len(own)
+        for k in {2, 4, 8} & set(range(n)) | {n}:
+            values = []
+            for picked in S.draw_matrix(n, k, 30, 42).tolist():
+                answers = [own[p][2] for p in picked]
+                best = max(map(answers.count, answers))
+                values.append(next(own[p][3] for p in picked if answers.count(own[p][2]) == best))
+            want[u if u else None, n, k] = (pytest.approx(np.mean(values)), pytest.approx(np.std(values)))
+    assert got == want
+
+
+def test_majority_values_take_many_prompts():
+    codes, values = np.array([[0, 1, 1], [0, 1, 2]]), np.array([[5.0, 6.0, 7.0], [1.0, 2.0, 3.0]])
+    assert S.majority_values(codes, values, np.array([[0, 1, 2], [2, 0, 0]])).tolist() == [[6.0, 5.0], [1.0, 1.0]]

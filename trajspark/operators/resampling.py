@@ -6,7 +6,7 @@ prompts with equally many attempts share their draws, as they would with one see
 Best and worst need no exploded table: the best of a draw is the attempt of its highest picked rank, so the share of draws whose
 highest (lowest) rank is r is a weight table of at most `draws` rows for each (n, k), and the metric is a weighted sum over the
 ranked attempts, in one join. A majority depends on the answers themselves: prompts of up to `group_rows` attempts are drawn
-with numpy, a prompt at a time, larger ones by a join of picks and attempts, whose rows Spark deals out; both are the same draws.
+with numpy, those of as many attempts together, larger ones by a join of picks and attempts, whose rows Spark deals out; both are the same draws.
 """
 
 from __future__ import annotations
@@ -62,17 +62,41 @@ def draw_matrix(n: int, k: int, draws: int, seed: int) -> np.ndarray:
 
 
 def majority_values(codes: np.ndarray, values: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-    """For each draw the value of its first pick of the most frequent answer; ties go to the answer picked first."""
-    got = codes[drawn]
-    draws, k = got.shape
+    """For each prompt (a row of codes and values) and each draw the value of its first pick of the most frequent answer; ties go to
+    the answer picked first. Codes count from 0 in each row."""
+    got = codes[:, drawn]
+    prompts, draws, k = got.shape
     width = int(codes.max()) + 1
-    at = got + np.arange(draws)[:, None] * width
-    votes = np.bincount(at.ravel(), minlength=draws * width).reshape(draws, width)
-    first = np.full(draws * width, k)
-    np.minimum.at(first, at.ravel(), np.tile(np.arange(k), draws))
-    first = first.reshape(draws, width)
-    winner = np.where(votes == votes.max(axis=1, keepdims=True), first, k).min(axis=1)
-    return values[drawn[np.arange(draws), winner]]
+    at = got.reshape(-1, k) + np.arange(prompts * draws)[:, None] * width
+    votes = np.bincount(at.ravel(), minlength=prompts * draws * width).reshape(prompts, draws, width)
+    first = np.full(prompts * draws * width, k)
+    first[at[:, ::-1].ravel()] = np.tile(np.arange(k)[::-1], prompts * draws)  # the last one written is the first pick
+    winner = np.where(votes == votes.max(axis=2, keepdims=True), first.reshape(votes.shape), k).min(axis=2)
+    return np.take_along_axis(values, drawn[np.arange(draws), winner], axis=1)
+
+
+def own_codes(answers: np.ndarray) -> np.ndarray:
+    """Codes that count from 0 in each row, in place of codes of the whole table."""
+    rows = np.arange(len(answers))[:, None] * (int(answers.max()) + 1)
+    codes = np.unique(answers + rows, return_inverse=True)[1].reshape(answers.shape)
+    return codes - codes.min(axis=1, keepdims=True)
+
+
+def _whole_prompts(batches):
+    """(n, rows): runs of whole prompts of n rows each, from batches sorted by n and prompt."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        sizes, at = t["_n"].to_numpy(), 0
+        while at < len(sizes):
+            n = int(sizes[at])
+            whole = (int(np.searchsorted(sizes, n, "right")) - at) // n * n
+            if not whole:
+                break
+            yield n, t.slice(at, whole)
+            at += whole
+        held = t.slice(at)
 
 
 def bootstrap_majority(df: DataFrame, by: list[str], answer: str, value: str, order: str, draws: int = 1000, seed: int = 42, group_rows: int = 20_000) -> DataFrame:
@@ -82,29 +106,30 @@ def bootstrap_majority(df: DataFrame, by: list[str], answer: str, value: str, or
     schema = ranked.select(*by).schema
     for name, kind in (("n", "long"), ("k", "long"), ("majority", "double"), ("majority_std", "double")):
         schema = schema.add(name, kind)
-    cache: dict = {}
-
-    def draw(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("_i", "ascending")])
-        n = t.num_rows
-        codes = np.asarray(t["_a"].combine_chunks().dictionary_encode(null_encoding="encode").indices)
-        values = np.asarray(t["_v"])
-        ks = [1 << e for e in range(1, 30) if 1 << e < n] + [n]
-        rows = []
-        for k in ks:
-            # drawn once a worker for prompts of common size; large ones are not kept
-            drawn = cache.get((n, k))
-            if drawn is None:
-                drawn = draw_matrix(n, k, draws, seed)
-                if drawn.size <= 100_000 and len(cache) < 500:
-                    cache[n, k] = drawn
-            got = majority_values(codes, values, drawn)
-            rows.append((n, k, float(got.mean()), float(got.std())))
-        cols = list(zip(*rows))
-        head = [pa.array([t[c][0].as_py()] * len(rows), t.schema.field(c).type) for c in by]
-        return pa.table([*head, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3])], names=[*by, "n", "k", "majority", "majority_std"])
-
-    out = small.groupBy(*by).applyInArrow(draw, schema)
+
+    def draw(batches):
+        cache: dict = {}
+        for n, t in _whole_prompts(batches):
+            t = t.combine_chunks()
+            answers = np.asarray(t["_a"].combine_chunks().dictionary_encode(null_encoding="encode").indices).reshape(-1, n)
+            codes, values = own_codes(answers), np.asarray(t["_v"]).reshape(-1, n)
+            heads = t.select(by).take(pa.array(np.arange(0, t.num_rows, n)))
+            for k in [1 << e for e in range(1, 30) if 1 << e < n] + [n]:
+                # drawn once a task for prompts of common size; large ones are not kept
+                drawn = cache.get((n, k))
+                if drawn is None:
+                    drawn = draw_matrix(n, k, draws, seed)
+                    if drawn.size <= 100_000 and len(cache) < 500:
+                        cache[n, k] = drawn
+                step = max(1, 500_000 // (draws * n))
+                for i in range(0, len(codes), step):
+                    got = majority_values(codes[i : i + step], values[i : i + step], drawn)
+                    m = len(got)
+                    cols = [*heads.slice(i, m).combine_chunks().columns, np.full(m, n), np.full(m, k), got.mean(axis=1), got.std(axis=1)]
+                    yield from pa.table(cols, names=[*by, "n", "k", "majority", "majority_std"]).to_batches()
+
+    # prompts of as many attempts stand together and are drawn together
+    out = small.repartition(*by).sortWithinPartitions("_n", *by, "_i").mapInArrow(draw, schema)
     large = ranked.where(F.col("_n") > group_rows)
     if large.isEmpty():
         return out
