@@ -22,3 +22,16 @@ def test_cases(spark):
 @pytest.mark.parametrize("text,parts", [("1,2", ["1", "2"]), ("(1,2),[3,(4,5)]", ["(1,2)", "[3,(4,5)]"]), ("f(1,{2,3}), x", ["f(1,{2,3})", "x"]), ("", [""]), (",", ["", ""])])
 def test_split_at_depth_zero(spark, text, parts):
     assert spark.createDataFrame([(text,)], "t string").select(S.split_list(F.col("t")).alias("p")).first().p == parts
+
+
+def test_every_text_that_casts_to_a_number_is_tried(spark):
+    texts = ["1", "-1.5e3", " 7 ", "\t7", "+.5", "1d", "2F", "0x1p3", "NaN", "nan", "inf", "-Infinity", "+INF", "Infinity", "", "(1", "1,2", "x", "red", "--1", "1e", "\u0661", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.as_number(F.col("t")).alias("got"), F.trim("t").try_cast("double").alias("want")).collect()
+    assert [(r.t, str(r.got)) for r in rows] == [(r.t, str(r.want)) for r in rows]
+
+
+def test_parts_used_often_are_made_once(spark):
+    """Written out, the cuts of a list stood 30 times and more in the plan, and the normal form of a text in the fold over its words."""
+    df = spark.range(1).selectExpr("cast(id as string) p", "cast(id as string) g")
+    plan = lambda c: df.select(c)._jdf.queryExecution().analyzed().toString()
+    assert plan(S.score_numeric_close(F.col("p"), F.col("g"), deep=1)).count("split(") <= 12

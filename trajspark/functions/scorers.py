@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lambdas import bind
+
 # fixed values: letters of choices and the share thresholds of relative accuracy
 LETTERS = "ABCDEF"
 THETAS = [0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95]
@@ -90,16 +92,17 @@ def score_rule(pred: Column, gt: Column, numeric: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """The parts of text between commas outside of brackets. The fold goes over the pieces between commas, not over characters."""
-    count = lambda t, kinds: F.length(F.regexp_replace(t, f"[^{kinds}]", ""))
+    count = lambda t, kinds: F.length(t) - F.length(F.translate(t, kinds, ""))
     begin = F.struct(F.lit(0).alias("deep"), F.array().cast("array<string>").alias("parts"))
 
     def add(acc, piece):
         n = F.size(acc["parts"])
         longer = F.concat(F.slice(acc["parts"], 1, n - 1), F.array(F.concat(F.element_at(acc["parts"], -1), F.lit(","), piece)))
         parts = F.when(acc["deep"] > 0, longer).otherwise(F.array_append(acc["parts"], piece))
-        return F.struct((acc["deep"] + count(piece, r"(\[{") - count(piece, r")\]}")).alias("deep"), parts.alias("parts"))
+        return F.struct((acc["deep"] + count(piece, "([{") - count(piece, ")]}")).alias("deep"), parts.alias("parts"))
 
-    return F.transform(F.aggregate(F.split(text, ","), begin, add)["parts"], lambda p: F.trim(p))
+    many = F.transform(F.aggregate(F.split(text, ","), begin, add)["parts"], lambda p: F.trim(p))
+    return F.when(~F.contains(text, F.lit(",")), F.array(F.trim(text))).otherwise(many)
 
 
 def matrix_as_list(text: Column) -> Column:
@@ -110,27 +113,48 @@ def matrix_as_list(text: Column) -> Column:
     return F.when(rows != "", F.concat(F.lit("["), inside, F.lit("]"))).otherwise(text)
 
 
+#: A character that stands in no text which casts to a double. The cast of other texts raises and catches an exception a row.
+NOT_IN_NUMBERS = r"[^\x00-\x20+\-.0-9a-fA-FinptxyINPTXY]"
+
+
+def as_number(text: Column) -> Column:
+    """The whole text as a double, else null."""
+    return bind(F.trim(text), lambda t: F.when(~t.rlike(NOT_IN_NUMBERS), t.try_cast("double")))
+
+
 def near_number(pred: Column, gt: Column, rel: float = 1e-4) -> Column:
     """pred is a number near gt, its hundredth or its hundredfold."""
-    p, g = F.trim(pred).try_cast("double"), F.trim(gt).try_cast("double")
-    near = F.exists(F.array(g / 100, g, g * 100), lambda x: F.abs(p - x) <= rel * F.greatest(F.abs(p), F.abs(x)))
-    return F.coalesce(near, F.lit(False))
+
+    def near(n: Column) -> Column:
+        p, g = n["p"], n["g"]
+        hit = F.exists(F.array(g / 100, g, g * 100), lambda x: F.abs(p - x) <= rel * F.greatest(F.abs(p), F.abs(x)))
+        return F.when(p.isNotNull() & g.isNotNull(), hit).otherwise(False)
+
+    return bind(F.struct(as_number(pred).alias("p"), as_number(gt).alias("g")), near)
 
 
 def _close(pred: Column, gt: Column, rel: float, deep: int) -> Column:
+    """Each side is cut once a level: written out, every use of a part would cut the text again."""
     bare = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
-    scalar = (bare(pred) == bare(gt)) | near_number(pred, gt, rel)
+    scalar = lambda x, y: (bare(x) == bare(y)) | near_number(x, y, rel)
     if deep == 0:
-        return scalar
-    p, g = F.trim(pred), F.trim(gt)
+        return scalar(pred, gt)
     ends = lambda c: F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
-    bracketed = lambda c: ends(c).isin("()", "[]", "(]", "[)", "{}") & (F.size(split_list(c)) == 1)
     inner = lambda c: F.substr(c, F.lit(2), F.greatest(F.length(c) - 2, F.lit(0)))
-    both, neither = bracketed(p) & bracketed(g) & (ends(p) == ends(g)), ~bracketed(p) & ~bracketed(g)
-    a, b = (split_list(F.when(both, inner(c)).otherwise(c)) for c in (p, g))
-    # one pair of brackets, or lists of two and more
-    listed = (both | (neither & (F.size(a) > 1))) & (F.size(a) == F.size(b))
-    return scalar | (listed & F.forall(F.zip_with(a, b, lambda x, y: _close(x, y, rel, deep - 1)), lambda ok: ok))
+    cut = lambda c: bind(F.trim(c), lambda t: F.struct(t.alias("text"), ends(t).alias("ends"), split_list(t).alias("parts")))
+    bracketed = lambda c: c["ends"].isin("()", "[]", "(]", "[)", "{}") & (F.size(c["parts"]) == 1)
+
+    def sides(p: Column, g: Column) -> Column:
+        both, neither = bracketed(p) & bracketed(g) & (p["ends"] == g["ends"]), ~bracketed(p) & ~bracketed(g)
+        return F.struct(both.alias("both"), neither.alias("neither"), *[F.when(both, split_list(inner(c["text"]))).otherwise(c["parts"]).alias(n) for c, n in ((p, "a"), (g, "b"))])
+
+    def listed(s: Column) -> Column:
+        # one pair of brackets, or lists of two and more
+        fits = (s["both"] | (s["neither"] & (F.size(s["a"]) > 1))) & (F.size(s["a"]) == F.size(s["b"]))
+        return fits & F.forall(F.zip_with(s["a"], s["b"], lambda x, y: _close(x, y, rel, deep - 1)), lambda ok: ok)
+
+    lists = lambda x, y: bind(F.struct(cut(x).alias("p"), cut(y).alias("g")), lambda c: bind(sides(c["p"], c["g"]), listed))
+    return bind(F.struct(pred.alias("x"), gt.alias("y")), lambda t: scalar(t["x"], t["y"]) | lists(t["x"], t["y"]))
 
 
 def score_numeric_close(pred: Column, gt: Column, rel: float = 1e-4, deep: int = 2) -> Column:
