@@ -35,3 +35,4 @@ def test_parts_used_often_are_made_once(spark):
     df = spark.range(1).selectExpr("cast(id as string) p", "cast(id as string) g")
     plan = lambda c: df.select(c)._jdf.queryExecution().analyzed().toString()
     assert plan(S.score_numeric_close(F.col("p"), F.col("g"), deep=1)).count("split(") <= 12
+    assert plan(S.qa_f1(F.col("p"), F.col("g"))).count("(a|an|the)") <= 4
