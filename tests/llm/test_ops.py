@@ -667,3 +667,29 @@ def test_mixed_keeps_rows_that_differ_in_any_column(spark):
     assert got.columns == [*docs.columns, "mix_copy"] and whole.count() == len(rows)
     count = Counter((r.doc_id, r.lang, r.source) for r in got.collect())
     assert count == {(1, "en", "x"): 4, (1, "de", "x"): 2, (1, None, "x"): 2, (2, "en", None): 2}
+
+
+def test_span_cuts_follow_definition():
+    """Breaks and winnowing cuts against their definitions, word by word."""
+    import random
+    import re
+
+    from trajspark.llm import spans
+
+    def ends(h, window):
+        least = lambda k: max(i for i in range(k - window + 1, k + 1) if h[i] == min(h[k - window + 1 : k + 1]))
+        out, low, leaves = [], 0, 0
+        for k in range(window - 1, len(h)):
+            if k >= leaves or h[k] < low:
+                last = least(k) if k >= leaves else k
+                low, leaves = h[last], last + window
+                out.append(last + 1)
+        return out
+
+    r = random.Random(2)
+    plain = re.compile(r"(?<![.!?])[.!?]+\s+|[。！？]+\s*|\n+")
+    for _ in range(2000):
+        h = [r.randrange(9) for _ in range(r.randrange(40))]
+        assert spans._cuts(h, 8) == ends(h, 8)
+        text = "".join(r.choices("ab .!?\n。！漢Σ\x1c", k=r.randrange(60)))
+        assert [m.end() for m in spans._BREAK.finditer(text)] == [m.end() for m in plain.finditer(text)]

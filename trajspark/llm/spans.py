@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, stash, table
 
-_BREAK = re.compile(r"(?<![.!?])[.!?]+\s+|[。！？]+\s*|\n+")
+#: Only where a match ends counts. It begins with a set of characters, for which the regex engine searches fast.
+_BREAK = re.compile(r"[.!?\n。！？](?:(?<=[.!?])\s+|(?<=\n)\n*|(?<=[。！？])[。！？]*\s*)")
 #: Scripts without spaces: Thai, kana, Han, Hangul syllables.
 _WIDE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
 _WORD = re.compile(rf"[{_WIDE}]\s*|[^\s{_WIDE}]+\s*")
@@ -50,34 +51,49 @@ def _word_hash(word: str) -> int:
     return crc32(word.strip().lower().encode("utf-8", "surrogatepass"))
 
 
-#: Most words recur; only those of short sentences are kept, so that the table stays small.
+#: Most short words recur, above all single characters; only those are kept, so that the table stays small.
 _short_hash = lru_cache(1 << 15)(_word_hash)
 
 
 def _pieces(sentence: str, long: int, window: int = 8) -> list[str]:
-    if len(sentence) <= long or count_words(sentence) <= long:
+    if len(sentence) <= long:
         return [sentence]
-    wide = not sentence.isascii() and _ANY_WIDE.search(sentence)
-    words = (_WORD if wide else _PLAIN).findall(sentence)
-    h = list(map(_short_hash if len(sentence) < 512 else _word_hash, words))
+    if sentence.isascii() or not _ANY_WIDE.search(sentence):
+        low = sentence.lower().split()
+        if len(low) <= long:
+            return [sentence]
+        words, h = _PLAIN.findall(sentence), [crc32(w.encode("utf-8", "surrogatepass")) for w in low]
+    else:
+        words = _WORD.findall(sentence)
+        if len(words) <= long:
+            return [sentence]
+        h = [_short_hash(w) if len(w) < 16 else _word_hash(w) for w in words]
     # the white space before the first word stands in no word
     words[0] = sentence[: len(sentence) - sum(map(len, words))] + words[0]
-    out, at, low, leaves = [], 0, 0, 0  # low: the hash cut at last; leaves: the word with which it is out of the window
-    for k, x in enumerate(h[window - 1 :], window - 1):
-        if k >= leaves:
-            seen = h[k - window + 1 : k + 1]
-            low = min(seen)
-            last = k - seen[::-1].index(low)
-        elif x < low:
-            low, last = x, k
-        else:
-            continue
-        leaves = last + window
-        out.append("".join(words[at : last + 1]))
-        at = last + 1
+    out, at = [], 0
+    for end in _cuts(h, window):
+        out.append("".join(words[at:end]))
+        at = end
     return out + ["".join(words[at:])] if at < len(words) else out
 
 
+def _cuts(h: list[int], window: int) -> list[int]:
+    """The places after the last least hash of every window."""
+    out, k = [], window - 1
+    while k < len(h):
+        seen = h[k - window + 1 : k + 1]
+        low = min(seen)
+        last = k - seen[::-1].index(low)
+        out.append(last + 1)
+        # up to the word with which that hash is out of the window, only a smaller one counts
+        while (more := h[k + 1 : last + window]) and min(more) < low:
+            k += 1 + next(i for i, x in enumerate(more) if x < low)
+            low, last = h[k], k
+            out.append(last + 1)
+        k = last + window
+    return out
+
+
 def spans(text: str, size: int = 3, least: int = 20) -> list[tuple[int, int, int]]:
     """(hash, first sentence, end sentence) of the span that starts at each sentence, if the text is long enough for it."""
     return _spans(text, sentences(text), size, least)
@@ -88,10 +104,10 @@ def _spans(text: str, parts: list[str], size: int = 3, least: int = 20) -> list[
 
     wide = not text.isascii() and _ANY_WIDE.search(text)
     split = [s.lower().encode("utf-8", "surrogatepass").split() for s in parts]
-    words = [count_words(s) for s in parts] if wide else [len(w) for w in split]
-    joined, out, end, total = [b" ".join(w) for w in split], [], 0, 0
-    for i in range(len(parts)):
-        while end < len(parts) and not (end - i >= size and total >= least):
+    words = list(map(count_words, parts)) if wide else list(map(len, split))
+    joined, out, end, total, n = list(map(b" ".join, split)), [], 0, 0, len(parts)
+    for i in range(n):
+        while end < n and (total < least or end - i < size):
             total += words[end]
             end += 1
         if end - i < size or total < least:
@@ -110,9 +126,9 @@ def span_table(docs: DataFrame) -> DataFrame:
         out = [[] for _ in range(5)]
         for doc, body, text in zip(*cols):
             parts = sentences(text or "")
-            for h, i, j in [(None, None, len(parts)), *_spans(text or "", parts)]:
-                for c, v in zip(out, (h, doc, body, i, j)):
-                    c.append(v)
+            h, i, j = zip((None, None, len(parts)), *_spans(text or "", parts))
+            for c, v in zip(out, (h, [doc] * len(h), [body] * len(h), i, j)):
+                c += v
         return out
 
     return map_batches(docs.select("doc_id", "body", "text"), run, "h long, doc_id long, body int, i int, j int")
