@@ -18,7 +18,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates (5-word shingles, similarity 0.8 or more)."""
+    """One document, that of the smallest doc_id, of each group of near-duplicates (5-word shingles, similarity 0.8 or more).
+
+    Candidates come from op4's anchor points over fingerprints and from prefixes of shingles, which reach what 2 of 64 bits cannot; an
+    exact comparison of the sets decides."""
     return near_copies.keep_first(docs)
 
 

@@ -646,6 +646,24 @@ def test_pipeline_drops_near_copies(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == {1, 3}
 
 
+def test_near_duplicate_stage_links_by_anchor_points(spark, monkeypatch):
+    """What op4's anchor points link is found by them alone, and only if its five-word similarity is 0.8 or more."""
+    rng = random.Random(26)
+    rows, near = [(i, prose(rng, 400, 10**6)) for i in range(6)], {}
+    fp = lambda t: simhash.fingerprint_of(t.encode())
+    for i, t in rows[:4]:
+        words = t.split()
+        tries = (" ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in range(len(words)))
+        near[100 + i] = next(c for c in tries if 0 < (fp(c) ^ fp(t)).bit_count() <= 2)
+    line = prose(rng, 3, 10**6)
+    far = [(200 + k, f"{line} " * 60 + prose(rng, 12, 10**6)) for k in range(2)]
+    assert fp(far[0][1]) == fp(far[1][1])
+    docs = docs_frame(spark, [(d, t, "en", "a") for d, t in rows + list(near.items()) + far])
+    monkeypatch.setattr(near_copies, "_pairs_of_stars", lambda shared: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(near_copies, "_pairs_between", lambda shared, roots: spark.createDataFrame([], "a long, b long"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 1, 2, 3, 4, 5, 200, 201]
+
+
 def test_decontaminate_blocks_keep_rows_apart(spark):
     rng = random.Random(23)
     items = [(i, prose(rng, 12, 10**6)) for i in range(6)]

@@ -6,7 +6,8 @@ shares at least 0.8 n of them with another has one of them among its first n - c
 Any order will do. Here it is that of the hashes, with the shingles that a bounded sample shows often put last; the
 sample changes only how many rows meet, never the result.
 
-Equal sets are one class from the start. In a first round each class is compared with two classes at each shingle of its
+Equal sets are one class from the start. Classes whose fingerprints op4's anchor points link (simhash.near_links: 64 bits over 3-word
+shingles, 2 bits) or who share a fingerprint are candidates first. Beside these, in a first round, each class is compared with two classes at each shingle of its
 prefix, the one with the largest share of shingles that others have too and the one with the largest number: this joins a
 large group of near copies by stars, in rows linear in the group. A second round compares the rest: at each shingle, pairs
 of classes that are in different components so far. What lies behind the prefix that ends first adds at most
@@ -25,6 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import map_batches, stash
 from .components import connected_components
 
@@ -129,6 +131,16 @@ def _pair(a: str, na: str, b: str, nb: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.when(first, F.col(na)).otherwise(F.col(nb)).alias("na"), F.greatest(a, b).alias("b"), F.when(first, F.col(nb)).otherwise(F.col(na)).alias("nb")]
 
 
+def _pairs_of_anchors(classes: DataFrame) -> DataFrame:
+    """a, b from classes (cls, n, fp): those whose fingerprints are equal or linked by anchor points, by the first class of each fingerprint."""
+    first = stash(classes.groupBy("fp").agg(F.min(F.struct("cls", "n")).alias("first")))
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("first.cls").alias(f"{c}_cls"), F.col("first.n").alias(f"{c}_n")).hint("merge")
+    near = simhash.near_links(first.select("fp")).hint("merge").join(end("a"), "a").join(end("b"), "b")
+    same = classes.select("cls", "n", F.col("fp").alias("a")).hint("merge").join(end("a"), "a").where("cls <> a_cls")
+    met = near.select(*_pair("a_cls", "a_n", "b_cls", "b_n")).unionByName(same.select(*_pair("cls", "n", "a_cls", "a_n")))
+    return met.where(_long_enough("na", "nb")).select("a", "b")
+
+
 def _pairs_of_stars(shared: DataFrame) -> DataFrame:
     end = F.struct("cls", "n", "known")
     core = F.max(F.struct((F.col("known") / F.col("n")).alias("share"), "cls", "n", "known")).alias("core")
@@ -163,21 +175,22 @@ def components(docs: DataFrame) -> DataFrame:
     def run(cols):
         from xxhash import xxh64_intdigest
 
-        out = [[] for _ in range(5)]
+        out = [[] for _ in range(6)]
         for text, doc, h in zip(*cols):
             s = shingles(text)
             cls = xxh64_intdigest(s.tobytes(), 7)
-            for c, v in zip(out, (doc, h, cls - (1 << 64) if cls >> 63 else cls, len(s), prefix(s, late.value))):
+            for c, v in zip(out, (doc, h, cls - (1 << 64) if cls >> 63 else cls, len(s), prefix(s, late.value), simhash.fingerprint_of(text))):
                 c.append(v)
         return out
 
-    rows = stash(map_batches(source.select("text", "doc_id", "h"), run, "doc_id long, h long, cls long, n long, prefix array<long>"))
+    rows = stash(map_batches(source.select("text", "doc_id", "h"), run, "doc_id long, h long, cls long, n long, prefix array<long>, fp long"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    classes = stash(rows.groupBy("cls").agg(F.min(key).alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    classes = stash(rows.groupBy("cls").agg(F.min(key).alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("fp").alias("fp")))
     at = classes.select("cls", "n", F.explode("prefix").alias("token"))
     many = stash(at.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
-    shared = _with_known(at.hint("merge").join(many.hint("merge"), "token", "left_semi").select("token", "cls", "n"))
-    links = _confirmed(stash(_pairs_of_stars(shared)), classes, source)
+    shared = _with_known(stash(at.hint("merge").join(many.hint("merge"), "token", "left_semi").select("token", "cls", "n")))
+    near = _pairs_of_anchors(classes.select("cls", "n", "fp"))
+    links = _confirmed(stash(near.unionByName(_pairs_of_stars(shared)).distinct()), classes, source)
     roots = connected_components(links)
     more = stash(_pairs_between(shared, roots))
     if not more.isEmpty():

@@ -71,12 +71,16 @@ def _unit(position: Column) -> Column:
     return F.when(position == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), (position - 1).cast("int")))
 
 
-def anchored(fps: DataFrame) -> DataFrame:
-    """half, anchor, fp, home: each fp at its home anchor and at all anchors within radius 1 + threshold 1, in both halves."""
+def _halves(fps: DataFrame) -> DataFrame:
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     high = F.shiftrightunsigned("fp", 32)
     halves = fps.select("fp", F.inline(F.array(F.struct(F.lit(0).alias("half"), low.alias("word")), F.struct(F.lit(1).alias("half"), high.alias("word")))))
-    halves = halves.withColumn("s", _syndrome(F.col("word")))
+    return halves.withColumn("s", _syndrome(F.col("word")))
+
+
+def anchored(fps: DataFrame) -> DataFrame:
+    """half, anchor, fp, home: each fp at its home anchor and at all anchors within radius 1 + threshold 1, in both halves."""
+    halves = _halves(fps)
     # flipping position j leads to the code word that also flips j xor s; each pair {j, j xor s} counts once
     j = halves.select("half", "word", "fp", "s", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("j"))
     other = F.col("j").bitwiseXOR(F.col("s"))
@@ -91,7 +95,9 @@ def near_links(fps: DataFrame, max_bits: int = 2, crowd: int = 4096) -> DataFram
     """a, b: links between distinct fingerprints whose components are those of all pairs within 2 bits."""
     if max_bits != 2:
         raise ValueError("the anchors are built for a threshold of 2 bits")
-    at = stash(anchored(fps))
+    # most copies stand at anchors that are no one's home: they are left out before anything is written
+    homes = stash(_halves(fps).select("half", F.col("word").bitwiseXOR(_unit(F.col("s"))).alias("anchor")).distinct())
+    at = stash(anchored(fps).hint("merge").join(homes.hint("merge"), ["half", "anchor"], "left_semi"))
     load = at.groupBy("half", "anchor").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("copies")).where("homes > 0 and copies > 1")
     load = stash(load)
     calm = load.where(F.col("homes") * F.col("copies") <= crowd).select("half", "anchor")
