@@ -60,3 +60,15 @@ def test_no_interpreted_lambdas_over_calls(spark):
     """The scores of all calls come from one Arrow step: no fold over calls is left to Spark's interpreter."""
     plan = R.with_scores(spark.createDataFrame(rows(3), SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "aggregate(" not in plan and "rlike" not in plan.lower()
+
+
+def test_a_repeated_text_is_cut_into_words_once(monkeypatch):
+    """Facts of a text are found once a batch, those of a text and a question once for each pair."""
+    kind = pa.list_(pa.struct({"tool_name": pa.string(), "raw_name": pa.string(), "bbox": pa.list_(pa.float64()), "output": pa.string()}))
+    call = lambda t: {"tool_name": "ocr", "raw_name": "ocr", "bbox": None, "output": t}
+    calls = pa.array([[call("red 42 mm"), call("a blue flag here"), call(None)]] * 50, kind)
+    seen, cut = [], call_scores.words
+    monkeypatch.setattr(call_scores, "words", lambda low: seen.append(low) or cut(low))
+    got = call_scores.score(calls, pa.array(["How many mm?", None] * 25), pa.array([None] * 50, pa.list_(pa.float64())), R.RewardConfig())
+    assert sum(low in ("red 42 mm", "a blue flag here", "none") for low in seen) == 3
+    assert len({str(x) for x in got.to_pylist()[::2]}) == len({str(x) for x in got.to_pylist()[1::2]}) == 1
