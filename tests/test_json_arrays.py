@@ -79,3 +79,20 @@ def test_damage_and_empty(spark, tmp_path):
     assert sorted(r.value for r in J.objects(spark, [str(tmp_path)], strict=False).collect()) == ['{"id": 1}', '{"id": 2}']
     J.write_json_array(spark.range(0), str(tmp_path / "none"))
     assert J.read_json_array(spark, [str(tmp_path / "none")], "id long").count() == 0
+
+
+def test_files_are_read_twice_and_marks_are_those_of_a_plain_loop(spark, tmp_path, monkeypatch):
+    scans, scan = [], J._scan
+    monkeypatch.setattr(J, "_scan", lambda *a: scans.append(a) or scan(*a))
+    (tmp_path / "a.json").write_text(json.dumps(ROWS))
+    assert J.objects(spark, [str(tmp_path)]).count() == len(ROWS) and len(scans) == 2
+    rng = random.Random(2)
+    for _ in range(300):
+        data = "".join(rng.choice('\\\\"{}[],a') for _ in range(rng.randrange(40))).encode()
+        want, quotes, run = [], 0, 0
+        for i, c in enumerate(data.decode()):
+            if c in "{}[]" or (c == '"' and run % 2 == 0):
+                quotes += c == '"'
+                want.append((i, quotes, 1 if c in "{[" else -1 if c in "}]" else 0))
+            run = run + 1 if c == "\\" else 0
+        assert list(zip(*(x.tolist() for x in J.marks(data)))) == want

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,54 +29,70 @@ def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     return found.select("_metadata.file_path", "_metadata.file_block_start", "_metadata.file_size", F.col("value").cast("binary").alias("value"))
 
 
-def _runs(batches) -> Iterator[tuple[str, int, bytes]]:
-    """(file, range, bytes) of segments that follow each other, each with its "}" again."""
+def _runs(batches) -> Iterator[tuple[str, int, int, bytes]]:
+    """(file, range, size of the file, bytes) of segments that follow each other, each with its "}" again."""
     for batch in batches:
-        files, blocks, values = (batch.column(i).to_pylist() for i in (0, 1, 3))
-        a = 0
-        for b in range(1, len(files) + 1):
-            if b == len(files) or (files[b], blocks[b]) != (files[a], blocks[a]):
-                yield files[a], blocks[a], b"}".join(values[a:b]) + b"}"
-                a = b
+        files, blocks, sizes, values = batch.columns
+        if not len(values):
+            continue
+        block = blocks.to_numpy()
+        ends = (block[1:] != block[:-1]) | pc.not_equal(files.slice(1), files.slice(0, len(files) - 1)).to_numpy(zero_copy_only=False)
+        at = [0, *(np.flatnonzero(ends) + 1).tolist(), len(values)]
+        for a, data in zip(at, pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), values), b"}")):
+            yield files[a].as_py(), int(block[a]), sizes[a].as_py(), data.as_py() + b"}"
+
+
+_BRACKET = np.zeros(256, np.int8)
+_BRACKET[[0x7B, 0x5B]], _BRACKET[[0x7D, 0x5D]] = 1, -1
+_MARK = _BRACKET != 0
+_MARK[0x22] = True
 
 
-def quotes_and_brackets(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte, how many unescaped quotes there are up to it, and +1 or -1 where a bracket opens or closes."""
+def marks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the brackets and the quotes that no backslash escapes stand; for each the number of such quotes up to it, and +1 or -1 where a
+    bracket opens or closes."""
     raw = np.frombuffer(data, np.uint8)
-    at = np.arange(len(raw))
-    plain = np.maximum.accumulate(np.where(raw != 0x5C, at, -1))  # the last byte that is no backslash
-    run = np.zeros(len(raw), np.int64)
-    run[1:] = at[:-1] - plain[:-1]
-    quote = (raw == 0x22) & (run % 2 == 0)
-    bracket = ((raw == 0x7B) | (raw == 0x5B)).astype(np.int8) - ((raw == 0x7D) | (raw == 0x5D))
-    return np.cumsum(quote), bracket
+    at = np.flatnonzero(_MARK[raw])
+    slash = np.flatnonzero(raw == 0x5C)
+    if len(slash):
+        # the run of backslashes that ends before a quote escapes it if it is odd
+        first = np.append(True, np.diff(slash) > 1)
+        run = slash - slash[np.maximum.accumulate(np.where(first, np.arange(len(slash)), 0))] + 1
+        behind = slash[run % 2 == 1] + 1
+        behind = behind[behind < len(raw)]
+        escaped = np.zeros(len(raw), bool)
+        escaped[behind[raw[behind] == 0x22]] = True
+        at = at[~escaped[at]]
+    return at, np.cumsum(raw[at] == 0x22), _BRACKET[raw[at]]
+
+
+_COUNTS = ["file", "block", "size", "bytes", "quotes", "even", "odd"]
 
 
 def _count(batches):
     now, sums = None, None
-    names = ["file", "block", "bytes", "quotes", "even", "odd"]
-    for file, block, data in _runs(batches):
-        if (file, block) != now:
+    for file, block, size, data in _runs(batches):
+        if (file, block, size) != now:
             if now is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*now, *sums)], names)
-            now, sums = (file, block), [0, 0, 0, 0]
-        quotes, bracket = quotes_and_brackets(data)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*now, *sums)], _COUNTS)
+            now, sums = (file, block, size), [0, 0, 0, 0]
+        _, quotes, bracket = marks(data)
         inside = (quotes + sums[1]) % 2 == 1
-        more = len(data), int(quotes[-1]), int(bracket[~inside].sum()), int(bracket[inside].sum())
+        more = len(data), int(quotes[-1]) if len(quotes) else 0, int(bracket[~inside].sum()), int(bracket[inside].sum())
         sums = [x + y for x, y in zip(sums, more)]
     if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*now, *sums)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*now, *sums)], _COUNTS)
 
 
 def _states(counts: DataFrame) -> DataFrame:
-    """file, block, at, inside, depth at the beginning of each range, and the file's depth at its end."""
+    """file, block, size, at, inside, depth at the beginning of each range, and the file's depth at its end."""
     w = Window.partitionBy("file").orderBy("block")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     sofar = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     s = counts.withColumn("inside", sofar("quotes") % 2)
     # brackets count outside of strings: those at odd quotes of the range if it begins inside one
     s = s.withColumn("delta", F.when(F.col("inside") == 0, F.col("even")).otherwise(F.col("odd")))
-    return s.select("file", "block", sofar("bytes").alias("at"), "inside", sofar("delta").alias("depth"), F.sum("delta").over(Window.partitionBy("file")).alias("end"))
+    return s.select("file", "block", "size", sofar("bytes").alias("at"), "inside", sofar("delta").alias("depth"), F.sum("delta").over(Window.partitionBy("file")).alias("end"))
 
 
 #: Pieces of a range: a whole object, the end of one that began before the range, a range inside of one, the beginning of one that goes on.
@@ -100,7 +117,7 @@ def _cut(batches, begin: dict):
 def _pieces(runs, begin: dict):
     now, held, kind = None, [], None  # held: the object that is open, in parts; kind: what it is if the range ends with it
     inside = depth = at = size = 0
-    for file, block, data in runs:
+    for file, block, _, data in runs:
         if (file, block) != now:
             if kind is not None:
                 yield (*now, kind, b"".join(held))
@@ -111,21 +128,23 @@ def _pieces(runs, begin: dict):
         data = data[:-1] if at > size else data  # no "}" stands behind the last segment of a file
         if not data:
             continue
-        quotes, bracket = quotes_and_brackets(data)
+        places, quotes, bracket = marks(data)
         out = (quotes + inside) % 2 == 0
         deep = depth + np.cumsum(np.where(out, bracket, 0))
-        raw = np.frombuffer(data, np.uint8)
-        opens = (raw == 0x7B) & out & (deep == 2)
+        char = np.frombuffer(data, np.uint8)[places]
+        opens = (char == 0x7B) & out & (deep == 2)
+        ends = opens | ((char == 0x7D) & out & (deep == 1))
         a = 0
-        for e in np.flatnonzero(opens | ((raw == 0x7D) & out & (deep == 1))).tolist():
-            if opens[e]:
+        for e, opened in zip(places[ends].tolist(), opens[ends].tolist()):
+            if opened:
                 a, held, kind = e, [], BEGIN
             elif kind is not None:
                 yield (*now, WHOLE if kind == BEGIN else END, b"".join([*held, data[a : e + 1]]))
                 held, kind = [], None
         if kind is not None:
             held.append(data[a:])
-        inside, depth = (inside + int(quotes[-1])) % 2, int(deep[-1])
+        if len(places):
+            inside, depth = (inside + int(quotes[-1])) % 2, int(deep[-1])
     if kind is not None:
         yield (*now, kind, b"".join(held))
 
@@ -133,13 +152,11 @@ def _pieces(runs, begin: dict):
 def objects(spark: SparkSession, paths: list[str], strict: bool = True) -> DataFrame:
     """file, value: the text of every object that stands directly in a file's array. strict: a file whose brackets do not close
     raises an error; without it the objects before the break are given. Other elements are passed over."""
-    sizes = _scan(spark, paths).groupBy("file_path").agg(F.max("file_size").alias("size"))
-    counts = _scan(spark, paths).mapInArrow(_count, "file string, block long, bytes long, quotes long, even long, odd long")
+    counts = _scan(spark, paths).mapInArrow(_count, "file string, block long, size long, bytes long, quotes long, even long, odd long")
     states = written(_states(written(counts)))
     # the "}" that is put behind a file's last segment takes one off the depth
     if strict and (bad := states.where("end <> -1").first()):
         raise ValueError(f"the array in {bad['file']} does not close: {bad['end'] + 1} brackets are open at its end")
-    states = states.hint("merge").join(sizes.hint("merge"), F.col("file") == F.col("file_path"))
     # one entry for each range of spark.sql.files.maxPartitionBytes: about 150 bytes for 128 MB
     begin = {(r["file"], r["block"]): (r["at"], r["inside"], r["depth"], r["size"]) for r in states.toLocalIterator()}
     shared = spark.sparkContext.broadcast(begin)
@@ -173,12 +190,10 @@ def write_json_array(df: DataFrame, path: str) -> None:
     def run(batches):
         mark = "["
         for b in batches:
-            lines = []
-            for row in b.column(0).to_pylist():
-                lines.append(mark + row)
+            if b.num_rows:
+                marks = pa.array([mark] + [","] * (b.num_rows - 1), b.column(0).type)
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, b.column(0), "")], ["value"])
                 mark = ","
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
         yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"], pa.string())], ["value"])
 
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
